@@ -282,6 +282,18 @@ def _descriptors(value: Column, train: Column, folds: int, path) -> Column:
     return _first(rules)
 
 
+def _integer_rule(path):
+    return lambda item: _integer(item, path)
+
+
+def _score_rule(metric: str, path):
+    def rule(fold: Column, i: Column) -> Column:
+        where = _at(path, ".folds[", i.cast("string"), f"].{metric}")
+        return _number(_get(fold, metric), where, 0, 1)
+
+    return rule
+
+
 def _params(value: Column, expected: Column, shape: dict, path) -> Column:
     """Parameters equal to a literal struct of one candidate, typed and with no other keys."""
     keys = F.array_sort(F.map_keys(_map(value)))
@@ -297,7 +309,7 @@ def _params(value: Column, expected: Column, shape: dict, path) -> Column:
             items = _list(item)
             rules += [
                 _rule(F.size(items) == F.size(want), where, "identity length mismatch"),
-                _first_of(items, lambda v, w=where: _integer(v, w)),
+                _first_of(items, _integer_rule(where)),
                 _rule(F.transform(items, _long) == want, where, "identity mismatch"),
             ]
         elif isinstance(sample, int):
@@ -339,12 +351,7 @@ def _trial(trial: Column, index: Column, literal: Column, shape: dict, k: int, p
     ]
     for metric in ("balanced_accuracy", "roc_auc"):
         rules += [
-            _first_of(
-                _list(_get(trial, "folds")),
-                lambda f, i, m=metric: _number(
-                    _get(f, m), _at(where, ".folds[", i.cast("string"), f"].{m}"), 0, 1
-                ),
-            ),
+            _first_of(_list(_get(trial, "folds")), _score_rule(metric, where)),
             _arithmetic(
                 _get(trial, f"mean_{metric}"),
                 ordered_mean(_fold_scores(trial, metric), k),
@@ -439,6 +446,10 @@ def _outer_score(split: Column, family: str) -> Column:
     )
 
 
+def _outer_scores(splits: Column, family: str) -> Column:
+    return F.transform(splits, lambda s: _outer_score(s, family))
+
+
 def _split(split: Column, index: Column, p: Protocol) -> Column:
     path = _at("outer_splits[", index.cast("string"), "]")
     seeds = F.array(*[F.lit(s).cast("bigint") for s in p.outer_seeds])
@@ -492,10 +503,7 @@ def _all_equal(values: Column) -> Column:
 def _aggregate(doc: Column, splits: Column, p: Protocol) -> Column:
     value = _get(doc, "aggregate")
     n = len(p.outer_seeds)
-    means = {
-        f: ordered_mean(F.transform(splits, lambda s, f=f: _outer_score(s, f)), n)
-        for f in C.FAMILIES
-    }
+    means = {f: ordered_mean(_outer_scores(splits, f), n) for f in C.FAMILIES}
     gap = means["DNN"] - means["GBDT"]
     tie = F.try_variant_get(_get(value, "near_tie_within_margin"), "$", "boolean")
     meta_path = "aggregate.meta_features"

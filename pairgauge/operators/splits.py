@@ -1,10 +1,13 @@
 """Seeded stratified hold-outs and folds for every dataset in one job.
 
-Rows are ranked inside (dataset, class) by an md5 of seed and row id: no random state, the same
-answer for any partitioning, and reproducible in SQL. md5 is uniform, so its leading digits cut
-a large class into equal buckets that are ranked in separate tasks; a small table of bucket
-sizes gives each bucket its starting rank. A class holding a third of all rows therefore never
-sits in one task.
+Inside (dataset, class), rows are ordered by an md5 of seed and row id: no random state, the same
+answer for any partitioning, and reproducible in SQL. The order is cut into consecutive blocks:
+the hold-out, then the inner folds. A row's block follows from comparing its token with the few
+tokens at the block ends, so the rows themselves are never shuffled or sorted.
+
+The block ends are exact order statistics. md5 is uniform, so leading digits cut a large class
+into equal buckets; a histogram of buckets shows where the ends lie and only those buckets are
+ranked. A class holding a third of all rows therefore never sits in one task.
 """
 
 from __future__ import annotations
@@ -61,65 +64,119 @@ def _bucket(token: Column, class_rows: Column, rows_per_task: int) -> Column:
     return F.when(class_rows > rows_per_task, spread).otherwise(F.lit(0).cast("long"))
 
 
-def assign_splits(
+def _block_ends(inner_folds: int) -> Column:
+    """Last rank of the hold-out and of each fold but the last one, for one class.
+
+    Train row j of a class is number ``train_before + j`` of its dataset and counts for fold
+    (number modulo k): fold i gets ``n // k + (i < n % k)`` rows over all classes, and every
+    class is spread evenly.
+    """
+    ends, last = [F.col("class_test")], F.col("class_test")
+    for fold in range(inner_folds - 1):
+        first = F.pmod(F.lit(fold) - F.col("train_before"), F.lit(inner_folds))
+        size = F.floor((F.col("class_train") - first + inner_folds - 1) / F.lit(inner_folds))
+        last = last + F.greatest(size, F.lit(0).cast("long"))
+        ends.append(last)
+    return F.array(*ends)
+
+
+def block_cutoffs(
     lf: LabelledFrame,
     seeds: Sequence[int],
     test_size: float,
     inner_folds: int,
-    carry: Sequence[str] = (),
     rows_per_task: int = ROWS_PER_RANK_TASK,
 ) -> DataFrame:
-    """Every row once per seed with ``part`` ('train'/'test') and its inner ``fold``.
+    """(keys, target, cutoffs): per class the tokens at the block ends, one list per seed.
 
-    Test rows (the lowest ranks of a class) have a NULL fold. Train row number
-    ``train_before + rank`` modulo ``inner_folds`` is its fold, so fold ``i`` has
-    ``n // k + (i < n % k)`` rows and every class is spread evenly. Both pipelines read
-    this one table, hence identical partitions.
+    ``cutoffs`` holds (outer_seed, ends) structs; an empty leading block ends at ''.
     """
-    quotas = class_quotas(lf, test_size)
-    ranked_keys = [*lf.keys, lf.target, "outer_seed", "bucket"]
+    by_class = [*lf.keys, lf.target]
+    quotas = class_quotas(lf, test_size).select(
+        *by_class, "class_rows", _block_ends(inner_folds).alias("ranks")
+    )
     tokens = (
-        lf.df.select(*lf.keys, lf.target, lf.row_id, *carry)
-        .join(
-            quotas.select(
-                *lf.keys, lf.target, "class_rows", "class_test", "train_before"
-            ),
-            [*lf.keys, lf.target],
-        )
+        lf.df.select(*by_class, lf.row_id)
+        .join(quotas, by_class)
         .withColumn("outer_seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
         .withColumn("token", seed_token(F.col("outer_seed"), F.col(lf.row_id)))
         .withColumn("bucket", _bucket(F.col("token"), F.col("class_rows"), rows_per_task))
     )
-    # Only classes above the task size have more than one bucket and need starting ranks.
-    bucket_sizes = (
-        tokens.filter(F.col("class_rows") > rows_per_task)
-        .groupBy(*ranked_keys)
-        .agg(F.count(F.lit(1)).alias("bucket_rows"))
-    )
+    large = F.col("class_rows") > rows_per_task
     earlier = (
-        Window.partitionBy(*lf.keys, lf.target, "outer_seed")
+        Window.partitionBy(*by_class, "outer_seed")
         .orderBy("bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = bucket_sizes.select(
-        *ranked_keys, F.coalesce(F.sum("bucket_rows").over(earlier), F.lit(0)).alias("start")
+    in_bucket = [*by_class, "outer_seed", "bucket"]
+    holds_end = F.exists(
+        F.col("ranks"),
+        lambda r: (r > F.col("bucket_start")) & (r <= F.col("bucket_start") + F.col("n")),
+    )
+    histogram = (
+        tokens.filter(large)
+        .groupBy(*in_bucket)
+        .agg(F.count(F.lit(1)).alias("n"), F.first("ranks").alias("ranks"))
+        .withColumn("bucket_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .filter(holds_end)
+        .select(*in_bucket, "bucket_start")
+    )
+    inside = Window.partitionBy(*in_bucket).orderBy("token")
+    ranked = (
+        tokens.join(histogram, in_bucket, "left")
+        .filter(~large | F.col("bucket_start").isNotNull())
+        .withColumn(
+            "rank",
+            F.coalesce(F.col("bucket_start"), F.lit(0)) + F.row_number().over(inside),
+        )
+        .filter(F.array_contains("ranks", F.col("rank")))
+        .groupBy(*by_class, "outer_seed")
+        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "token"))).alias("token_at"))
+    )
+    # A class can have all ends at rank 0 and so no ranked row at all.
+    listed = quotas.withColumn(
+        "outer_seed", F.explode(F.array(*[F.lit(s) for s in seeds]))
+    ).join(ranked, [*by_class, "outer_seed"], "left")
+    ends = F.transform(
+        "ranks", lambda r: F.coalesce(F.try_element_at(F.col("token_at"), r), F.lit(""))
+    )
+    return listed.groupBy(*by_class).agg(
+        F.collect_list(F.struct("outer_seed", ends.alias("ends"))).alias("cutoffs")
     )
-    inside = Window.partitionBy(*ranked_keys).orderBy("token", lf.row_id)
-    rank = F.coalesce(F.col("start"), F.lit(0)) + F.col("rank_in_bucket")
-    is_test = F.col("class_rank") <= F.col("class_test")
-    position = F.col("train_before") + F.col("class_rank") - F.col("class_test") - 1
+
+
+def assign_splits(
+    lf: LabelledFrame,
+    seeds: Sequence[int],
+    test_size: float,
+    inner_folds: int,
+    carry: Sequence[str] = (),
+    rows_per_task: int = ROWS_PER_RANK_TASK,
+) -> DataFrame:
+    """Every row once per seed with ``part`` ('train'/'test') and its inner ``fold``.
+
+    Test rows have a NULL fold. Both pipelines read this one table, hence identical partitions.
+    The rows only meet the small cutoff table; they are neither ranked nor exchanged.
+    """
+    cutoffs = block_cutoffs(lf, seeds, test_size, inner_folds, rows_per_task)
+    token = seed_token(F.col("split.outer_seed"), F.col(lf.row_id))
     return (
-        tokens.withColumn("rank_in_bucket", F.row_number().over(inside))
-        .join(starts, ranked_keys, "left")
-        .withColumn("class_rank", rank)
+        lf.df.select(*lf.keys, lf.target, lf.row_id, *carry)
+        .join(cutoffs, [*lf.keys, lf.target])
+        .withColumn("split", F.explode("cutoffs"))
+        .withColumn("split_token", token)
+        .withColumn(
+            "block",
+            F.size(F.filter("split.ends", lambda end: F.col("split_token") > end)),
+        )
         .select(
             *lf.keys,
-            "outer_seed",
+            F.col("split.outer_seed").alias("outer_seed"),
             lf.row_id,
             lf.target,
             *carry,
-            F.when(is_test, "test").otherwise("train").alias("part"),
-            F.when(~is_test, (position % inner_folds).cast("int")).alias("fold"),
+            F.when(F.col("block") == 0, "test").otherwise("train").alias("part"),
+            F.when(F.col("block") > 0, F.col("block") - 1).alias("fold"),
         )
     )
 

@@ -113,49 +113,59 @@ def ordered_mean(values: Column, count: int) -> Column:
 
 
 def trial_means(trial_folds: DataFrame, keys: Sequence[str], inner_folds: int) -> DataFrame:
-    """Mean scores of each candidate; only a trial whose every fold succeeded has means."""
-    fold = F.struct("fold", "balanced_accuracy", "roc_auc")
-    collected = trial_folds.groupBy(*keys, "family", "candidate_order").agg(
-        F.array_sort(F.collect_list(F.when(F.col("status") == "success", fold))).alias("folds"),
-        F.min(F.when(F.col("status") != "success", F.col("fold"))).alias("failed_fold"),
+    """Mean scores of each candidate from one row per fold (see ``means_of_folds``)."""
+    fold = F.struct("fold", "balanced_accuracy", "roc_auc", "status")
+    gathered = trial_folds.groupBy(*keys, "family", "candidate_order").agg(
+        F.array_sort(F.collect_list(fold)).alias("folds")
     )
-    done = F.size("folds") == inner_folds
-    return collected.select(
-        *keys,
-        "family",
-        "candidate_order",
-        F.when(done, "success").otherwise("failure").alias("status"),
-        F.size("folds").alias("completed_folds"),
-        "folds",
-        F.when(done, ordered_mean(F.col("folds.balanced_accuracy"), inner_folds)).alias(
-            "mean_balanced_accuracy"
-        ),
-        F.when(done, ordered_mean(F.col("folds.roc_auc"), inner_folds)).alias("mean_roc_auc"),
-        F.when(~done, F.lit("Not every inner fold completed.")).alias("error"),
+    return means_of_folds(gathered, inner_folds)
+
+
+def means_of_folds(candidates_with_folds: DataFrame, inner_folds: int) -> DataFrame:
+    """Adds status, completed folds and mean scores; means need every fold to have succeeded."""
+    good = F.filter("folds", lambda f: f["status"] == "success")
+    done = F.col("completed_folds") == inner_folds
+    return (
+        candidates_with_folds.withColumn("completed_folds", F.size(good))
+        .withColumn("status", F.when(done, "success").otherwise("failure"))
+        .withColumn(
+            "mean_balanced_accuracy",
+            F.when(done, ordered_mean(F.col("folds.balanced_accuracy"), inner_folds)),
+        )
+        .withColumn(
+            "mean_roc_auc", F.when(done, ordered_mean(F.col("folds.roc_auc"), inner_folds))
+        )
+        .withColumn("error", F.when(~done, F.lit("Not every inner fold completed.")))
     )
 
 
-def select_candidate(trials: DataFrame, keys: Sequence[str]) -> DataFrame:
+def select_candidate(
+    trials: DataFrame, keys: Sequence[str], payload: str | None = None
+) -> DataFrame:
     """Winner per search: highest mean balanced accuracy, exact ties to the lowest order.
 
     A family with any failed trial has no winner. An aggregate, not a window: the state per
-    group is a single struct.
+    group is a single struct. ``payload`` names a column to return from the winning trial.
     """
-    best = F.struct(
+    fields = [
         F.col("mean_balanced_accuracy").alias("score"),
         (-F.col("candidate_order")).alias("tie"),
-    )
+    ]
+    if payload is not None:
+        fields.append(F.col(payload))
     chosen = trials.groupBy(*keys, "family").agg(
         F.bool_and(F.col("status") == "success").alias("all_trials_completed"),
-        F.max(best).alias("best"),
+        F.max(F.struct(*fields)).alias("best"),
     )
     done = F.col("all_trials_completed")
+    extra = [] if payload is None else [F.when(done, F.col(f"best.{payload}")).alias(payload)]
     return chosen.select(
         *keys,
         "family",
         "all_trials_completed",
         F.when(done, -F.col("best.tie")).alias("selected_candidate_order"),
         F.when(done, F.col("best.score")).alias("inner_balanced_accuracy"),
+        *extra,
     )
 
 

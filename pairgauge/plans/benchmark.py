@@ -35,31 +35,25 @@ class RuleBenchmark:
     def split_keys(self) -> list[str]:
         return [*self.keys, "outer_seed"]
 
+    def candidates(self) -> DataFrame:
+        """Inner fold scores and refit scores of every candidate."""
+        return rules.candidate_scores(self.scores, self.keys, self.protocol)
+
     def trials(self) -> DataFrame:
-        folds = rules.trial_folds(self.scores, self.keys, self.protocol)
-        return trials.trial_means(folds, self.split_keys, self.protocol.inner_folds)
+        """Status and mean scores of every candidate."""
+        return trials.means_of_folds(self.candidates(), self.protocol.inner_folds)
 
     def selected(self) -> DataFrame:
-        """Winner per (dataset, seed, family), picked from rule means alone.
+        """Winner per (dataset, seed, family) with the test scores of its refit.
 
-        Candidates of one resolution tie exactly, so the search over candidates is the search
-        over resolutions with the lowest candidate order standing for each.
+        The refit scores ride along as payload; only inner means decide.
         """
-        return trials.select_candidate(self.trials(), self.split_keys)
+        chosen = trials.select_candidate(self.trials(), self.split_keys, payload="outer")
+        return chosen.select("*", "outer.balanced_accuracy", "outer.roc_auc").drop("outer")
 
     def outer_scores(self) -> DataFrame:
         """Test scores of each family's winner after the refit."""
-        by_rule = rules.candidate_rules(self.protocol)
-        order = F.col("selected_candidate_order")
-        picked = F.filter(
-            by_rule,
-            lambda c: (c["family"] == F.col("family")) & (c["candidate_order"] == order),
-        )
-        winners = self.selected().withColumn("cells", F.element_at(picked, 1)["cells"])
-        refit = self.scores.filter(F.col("stage") == self.protocol.inner_folds).select(
-            *self.split_keys, "family", "cells", "balanced_accuracy", "roc_auc"
-        )
-        return winners.join(refit, [*self.split_keys, "family", "cells"], "left")
+        return self.selected()
 
     def paired(self) -> DataFrame:
         return trials.paired_gap(self.outer_scores(), self.split_keys)
@@ -291,7 +285,7 @@ def run_artifacts(
         (F.abs(gap) <= protocol.recommendation_margin).alias("near_tie_within_margin"),
         F.struct(
             *[
-                mean_of(lambda s, d=d: s["meta_features"][d]).alias(d)
+                mean_of(lambda s: s["meta_features"][d]).alias(d)  # noqa: B023
                 for d in C.DESCRIPTORS
             ]
         ).alias("meta_features_mean_over_outer_training_partitions"),

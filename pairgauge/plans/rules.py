@@ -191,15 +191,40 @@ def candidate_rules(protocol: Protocol) -> Column:
 
 def trial_folds(scores: DataFrame, keys: Sequence[str], protocol: Protocol) -> DataFrame:
     """Fold scores of every candidate: each rule score is handed to the candidates using it."""
+    return (
+        scores.filter(F.col("stage") < protocol.inner_folds)
+        .withColumn("candidate_order", F.explode(_users(protocol)))
+        .select(
+            *keys, "outer_seed", "family", "candidate_order", F.col("stage").alias("fold"),
+            "balanced_accuracy", "roc_auc", "status",
+        )
+    )
+
+
+def _users(protocol: Protocol) -> Column:
+    """Orders of the candidates that use the rule of a row."""
     mine = F.filter(
         candidate_rules(protocol),
         lambda c: (c["family"] == F.col("family")) & (c["cells"] == F.col("cells")),
     )
+    return F.transform(mine, lambda c: c["candidate_order"])
+
+
+def candidate_scores(scores: DataFrame, keys: Sequence[str], protocol: Protocol) -> DataFrame:
+    """One row per candidate with its inner ``folds`` and the ``outer`` scores of its refit.
+
+    All stages of a rule are gathered once (inner folds + 1 entries), so search and refit need
+    no second look at the cells.
+    """
+    k = protocol.inner_folds
+    stage = F.struct(F.col("stage").alias("fold"), "balanced_accuracy", "roc_auc", "status")
     return (
-        scores.filter(F.col("stage") < protocol.inner_folds)
-        .withColumn("candidate_order", F.explode(F.transform(mine, lambda c: c["candidate_order"])))
+        scores.groupBy(*keys, "outer_seed", "family", "cells")
+        .agg(F.array_sort(F.collect_list(stage)).alias("stages"))
+        .withColumn("candidate_order", F.explode(_users(protocol)))
         .select(
-            *keys, "outer_seed", "family", "candidate_order", F.col("stage").alias("fold"),
-            "balanced_accuracy", "roc_auc", "status",
+            *keys, "outer_seed", "family", "candidate_order",
+            F.slice("stages", 1, k).alias("folds"),
+            F.element_at("stages", k + 1).alias("outer"),
         )
     )
