@@ -1,9 +1,10 @@
 """Admission of recorded benchmark runs: strict evidence rules and the duplicate policy.
 
-Each rule is an expression over VARIANT values that yields NULL when satisfied and a
-"path: reason" text otherwise; rules are tried in document order with ``coalesce``, so an
-artifact carries the first rule it breaks. An artifact is validated within its own row, without
-a shuffle. Only the duplicate policy groups artifacts, by claimed name or source id.
+A parsed artifact is cast once to a nested struct whose leaves stay VARIANT, so that every leaf
+keeps its JSON type. Each rule is a SQL expression over that struct: NULL when satisfied, else a
+"path: reason" text. Rules are tried in document order with ``coalesce``, so an artifact carries
+the first rule it breaks. An artifact is validated within its own row, without a shuffle; only
+the duplicate policy groups artifacts, by claimed name or source id.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..protocol import FULL, SMOKE, Protocol, candidates
 from ..sources import artifacts as A
-from .trials import ordered_mean, winner
 
 REPORT_VERSION = 1
 DUPLICATE_POLICY = "reject all same-mode claims sharing dataset name or OpenML ID (any version)"
@@ -22,631 +22,604 @@ DUPLICATE_POLICY = "reject all same-mode claims sharing dataset name or OpenML I
 # in ``conflict_members``, which lists every member of every group.
 NAMED_MEMBERS = 32
 
-_NUMERIC_KIND = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
-
-
-# --- typed access -----------------------------------------------------------------------
-
-
-def _get(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
-
-
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
-
-
-def _double(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
-
-
-def _long(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "bigint")
-
-
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
+_META_MEAN = "meta_features_mean_over_outer_training_partitions"
+
+
+def _leaves(*names: str) -> str:
+    return ", ".join(f"{n}: variant" for n in names)
+
+
+_SCORES = f"struct<{_leaves('balanced_accuracy', 'roc_auc')}>"
+_FOLD = f"struct<{_leaves('fold', 'balanced_accuracy', 'roc_auc')}>"
+_TRIAL = (
+    f"struct<{_leaves('candidate_order', 'status', 'mean_balanced_accuracy', 'mean_roc_auc')}, "
+    f"{_leaves('fit_seconds', 'error')}, params: map<string, variant>, "
+    f"folds: array<{_FOLD}>, convergence_warnings: array<variant>>"
+)
+_FAMILY = (
+    f"struct<{_leaves('family', 'model', 'all_trials_completed', 'search_seconds')}, "
+    f"{_leaves('refit_seconds', 'selected_candidate_order', 'inner_balanced_accuracy', 'error')}, "
+    f"trials: array<{_TRIAL}>, refit_convergence_warnings: array<variant>, "
+    f"preprocessing_folds: array<struct<{_leaves('fold', 'n_encoded_features')}, "
+    f"{_leaves('train_dense_bytes', 'validation_dense_bytes')}>>, "
+    f"best_params: map<string, variant>, outer_scores: {_SCORES}, final_preprocessing: "
+    f"struct<{_leaves('n_encoded_features', 'train_dense_bytes', 'test_dense_bytes')}>>"
+)
+_SPLIT = (
+    f"struct<{_leaves('outer_seed', 'train_rows', 'test_rows', 'paired_success', C.GAP)}, "
+    f"meta_features: map<string, variant>, families: map<string, {_FAMILY}>>"
+)
+ARTIFACT_TYPE = (
+    f"struct<{_leaves('project', 'research_valid', 'status', 'status_note')}, "
+    f"dataset: struct<{_leaves('name', 'openml_id', 'version', 'family', 'clinical')}>, "
+    f"protocol: map<string, variant>, outer_splits: array<{_SPLIT}>, "
+    f"aggregate: struct<{_leaves(C.SCORE_GBDT, C.SCORE_DNN, C.GAP)}, "
+    f"{_leaves('actual_best_pipeline', 'near_tie_within_margin')}, "
+    f"{_META_MEAN}: map<string, variant>>>"
+)
+
+
+# --- SQL of typed access ----------------------------------------------------------------
+
+
+def _kind(v: str) -> str:
+    return f"schema_of_variant({v})"
+
+
+def _is_number(v: str) -> str:
+    return f"left({_kind(v)}, 5) IN ('BIGIN', 'DOUBL', 'FLOAT', 'DECIM')"
+
+
+def _as(v: str, kind: str) -> str:
+    return f"try_variant_get({v}, '$', '{kind}')"
+
+
+def _sql(value) -> str:
+    """SQL literal of a Python value."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "\\'") + "'"
+    if isinstance(value, int):
+        return f"{value}L"
+    if isinstance(value, float):
+        return {"inf": "double('Infinity')", "-inf": "double('-Infinity')"}.get(
+            str(value), f"double('{value!r}')"
+        )
+    return "array(" + ", ".join(_sql(v) for v in value) + ")"
 
-def _map(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>")
 
+# --- elementary rules -------------------------------------------------------------------
 
-def _list(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
 
+def _rule(holds: str, path: str, reason: str) -> str:
+    reason = reason.replace("'", "\\'")
+    return f"CASE WHEN coalesce({holds}, false) THEN NULL ELSE concat({path}, ': {reason}') END"
 
-def _is_null(value: Column) -> Column:
-    return F.coalesce(F.is_variant_null(value), F.lit(False))
 
+def _first(*rules: str) -> str:
+    return f"coalesce({', '.join(rules)})"
 
-# --- elementary rules -------------------------------------------------------------------
 
+def _first_of(array: str, element: str, index: str, rule: str) -> str:
+    """First broken rule over the elements of an array."""
+    found = f"filter(transform({array}, ({element}, {index}) -> {rule}), r -> r IS NOT NULL)"
+    return f"try_element_at({found}, 1)"
 
-def _at(path, *more) -> Column:
-    parts = [p if isinstance(p, Column) else F.lit(p) for p in (path, *more)]
-    return F.concat(*parts)
 
+def _under(path: str, *more: str) -> str:
+    """Path expression extended by SQL text pieces."""
+    return f"concat({path}, {', '.join(more)})"
 
-def _rule(holds: Column, path, reason: str) -> Column:
-    message = F.concat(_at(path), F.lit(f": {reason}"))
-    return F.when(F.coalesce(holds, F.lit(False)), F.lit(None).cast("string")).otherwise(message)
 
+def _field(path: str, name: str) -> str:
+    return _under(path, f"'.{name}'")
 
-def _first(rules: list[Column]) -> Column:
-    return F.coalesce(*rules)
 
+def _item(path: str, index: str) -> str:
+    return _under(path, "'['", f"string({index})", "']'")
 
-def _first_of(array: Column, make) -> Column:
-    """First broken rule over the elements of an array."""
-    found = F.filter(F.transform(array, make), lambda r: r.isNotNull())
-    return F.try_element_at(found, F.lit(1))
 
+def _present(value: str, path: str) -> str:
+    return _rule(f"{value} IS NOT NULL", path, "required object")
 
-def _object(value: Column, path) -> Column:
-    return _rule(_map(value).isNotNull(), path, "required object")
 
-
-def _number(value: Column, path, low: float = 0.0, high: float = float("inf")) -> Column:
-    number = _double(value)
-    inside = (
-        (F.abs(number) != F.lit(float("inf")))
-        & (number >= F.lit(float(low)))
-        & (number <= F.lit(float(high)))
-    )
-    return _first(
-        [
-            _rule(_kind(value).rlike(_NUMERIC_KIND), path, "required numeric value (not bool)"),
-            _rule(inside, path, f"required finite value in [{low}, {high}]"),
-        ]
+def _number(v: str, path: str, low: float = 0.0, high: float = float("inf")) -> str:
+    number = _as(v, "double")
+    inside = f"abs({number}) < double('Infinity')"
+    if low > float("-inf"):
+        inside += f" AND {number} >= {_sql(float(low))}"
+    if high < float("inf"):
+        inside += f" AND {number} <= {_sql(float(high))}"
+    typed = f"coalesce({_is_number(v)}, false)"
+    return (
+        f"CASE WHEN coalesce({_is_number(v)} AND {inside}, false) THEN NULL "
+        f"WHEN NOT {typed} THEN concat({path}, ': required numeric value (not bool)') "
+        f"ELSE concat({path}, ': required finite value in [{low}, {high}]') END"
     )
 
 
-def _integer(value: Column, path, low: int = 0) -> Column:
-    whole = _long(value)
-    # An integer too large for BIGINT parses to another type; it is reported as not finite.
-    huge = _kind(value).rlike(_NUMERIC_KIND) & (
-        F.abs(_double(value)) > F.lit(float(C.MAX_EXACT_INTEGER))
-    )
-    return _first(
-        [
-            _rule(~F.coalesce(huge, F.lit(False)), path, "required finite value below 2^53"),
-            _rule(
-                (_kind(value) == "BIGINT") & (whole >= low), path, f"required integer >= {low}"
-            ),
-        ]
+def _integer(v: str, path: str, low: int = 0) -> str:
+    """An integer too large for BIGINT parses to another type; it is reported as not finite."""
+    whole = f"{_as(v, 'bigint')} BETWEEN {low} AND {C.MAX_EXACT_INTEGER}"
+    huge = f"{_is_number(v)} AND abs({_as(v, 'double')}) > {_sql(float(C.MAX_EXACT_INTEGER))}"
+    return (
+        f"CASE WHEN coalesce({_kind(v)} = 'BIGINT' AND {whole}, false) THEN NULL "
+        f"WHEN {huge} THEN concat({path}, ': required finite value below 2^53') "
+        f"ELSE concat({path}, ': required integer >= {low}') END"
     )
 
 
-def _same(value: Column, expected, path) -> Column:
-    """Exact typed equality with a Python literal."""
-    if isinstance(expected, dict):
-        keys = F.array_sort(F.map_keys(_map(value)))
-        wanted = F.array(*[F.lit(k) for k in sorted(expected)])
-        rules = [_object(value, path), _rule(keys == wanted, path, "identity keys mismatch")]
-        rules += [_same(_get(value, k), v, _at(path, f".{k}")) for k, v in expected.items()]
-        return _first(rules)
-    if isinstance(expected, (list, tuple)):
-        items = _list(value)
-        rules = [
-            _rule(items.isNotNull(), path, "required array"),
-            _rule(F.size(items) == len(expected), path, "identity length mismatch"),
-        ]
-        for i, item in enumerate(expected):
-            rules.append(_same(F.try_element_at(items, F.lit(i + 1)), item, _at(path, f"[{i}]")))
-        return _first(rules)
+def _same(v: str, expected, path: str) -> str:
+    """Exact typed equality with a Python scalar or list of integers."""
     reason = f"expected {expected!r}"
     if isinstance(expected, bool):
-        return _rule(
-            (_kind(value) == "BOOLEAN")
-            & (F.try_variant_get(value, "$", "boolean") == F.lit(expected)),
-            path,
-            reason,
-        )
+        holds = f"{_kind(v)} = 'BOOLEAN' AND {_as(v, 'boolean')} = {_sql(expected)}"
+        return _rule(holds, path, reason)
     if isinstance(expected, str):
-        return _rule((_kind(value) == "STRING") & (_text(value) == expected), path, reason)
+        holds = f"{_kind(v)} = 'STRING' AND {_as(v, 'string')} = {_sql(expected)}"
+        return _rule(holds, path, reason)
+    if isinstance(expected, (list, tuple)):
+        return _same_integers(v, _sql(list(expected)), path)
     if isinstance(expected, int):
-        return _first([_integer(value, path), _rule(_long(value) == expected, path, reason)])
+        return _same_long(v, _sql(expected), path, reason)
     return _first(
-        [
-            _number(value, path, float("-inf")),
-            _rule(_double(value) == F.lit(float(expected)), path, reason),
-        ]
+        _number(v, path, float("-inf")),
+        _rule(f"{_as(v, 'double')} = {_sql(expected)}", path, reason),
     )
 
 
-def _same_long(value: Column, expected: Column, path) -> Column:
+def _same_long(v: str, expected: str, path: str, reason: str = "identity mismatch") -> str:
+    return _first(_integer(v, path), _rule(f"{_as(v, 'bigint')} = {expected}", path, reason))
+
+
+def _same_integers(v: str, expected: str, path: str) -> str:
+    items = _as(v, "array<variant>")
     return _first(
-        [_integer(value, path), _rule(_long(value) == expected, path, "identity mismatch")]
+        _rule(f"size({items}) = size({expected})", path, "identity length mismatch"),
+        _first_of(items, "n", "_n", _integer("n", path)),
+        _rule(
+            f"transform({items}, n -> {_as('n', 'bigint')}) = {expected}",
+            path,
+            "identity mismatch",
+        ),
     )
 
 
+def _keys(map_value: str) -> str:
+    return f"array_sort(map_keys({map_value}))"
+
+
+def _same_keys(map_value: str, names, path: str, reason: str = "identity keys mismatch") -> str:
+    return _rule(f"{_keys(map_value)} = {_sql(sorted(names))}", path, reason)
+
+
 def _arithmetic(
-    value: Column, expected: Column, path, low: float = 0.0, high: float = float("inf")
-) -> Column:
-    close = F.abs(_double(value) - expected) <= F.lit(C.ARITHMETIC_TOLERANCE)
-    return _first([_number(value, path, low, high), _rule(close, path, "arithmetic mismatch")])
+    v: str, expected: str, path: str, low: float = 0.0, high: float = float("inf")
+) -> str:
+    close = f"abs({_as(v, 'double')} - {expected}) <= {_sql(C.ARITHMETIC_TOLERANCE)}"
+    return _first(_number(v, path, low, high), _rule(close, path, "arithmetic mismatch"))
 
 
-def _null_error(owner: Column, path) -> Column:
-    return _rule(_is_null(_get(owner, "error")), _at(path, ".error"), "success needs a null error")
+def _null_error(v: str, path: str) -> str:
+    return _rule(f"is_variant_null({v})", path, "success needs a null error")
 
 
-def _warnings(value: Column, path) -> Column:
-    texts = F.forall(_list(value), lambda w: F.coalesce(_kind(w) == "STRING", F.lit(False)))
+def _warnings(array: str, path: str) -> str:
+    texts = f"forall({array}, w -> coalesce({_kind('w')} = 'STRING', false))"
     return _rule(texts, path, "required array of warning strings")
 
 
-def _ordered(value: Column, count: int, key: str, path) -> Column:
+def _ordered(array: str, count: int, key: str, path: str) -> str:
     """A complete array whose entries are objects numbered 0.. in ``key``."""
-    items = _list(value)
-    complete = _rule(F.size(items) == count, path, f"required complete array of {count} entries")
-
-    def entry(item: Column, i: Column) -> Column:
-        where = _at(path, "[", i.cast("string"), "]")
-        return _first(
-            [
-                _object(item, where),
-                _same_long(_get(item, key), i.cast("bigint"), _at(where, f".{key}")),
-            ]
-        )
-
-    return _first([complete, _first_of(items, entry)])
+    where = _item(path, "q")
+    entry = _first(
+        _present("o", where), _same_long(f"o.{key}", "bigint(q)", _field(where, key))
+    )
+    return _first(
+        _rule(f"size({array}) = {count}", path, f"required complete array of {count} entries"),
+        _first_of(array, "o", "q", entry),
+    )
 
 
-def _matrix(value: Column, sizes: dict[str, Column], limit: int, path) -> Column:
+def _matrix(value: str, sizes: dict[str, str], limit: int, path: str) -> str:
     """bytes = rows x width x 8, within the limit; products in double, exact below 2^53."""
-    width = _get(value, "n_encoded_features")
-    rules = [_object(value, path), _integer(width, _at(path, ".n_encoded_features"), 1)]
+    width = f"{value}.n_encoded_features"
+    rules = [_present(value, path), _integer(width, _field(path, "n_encoded_features"), 1)]
     for name, rows in sizes.items():
-        size = _get(value, name)
-        exact = rows.cast("double") * _double(width) * F.lit(float(C.FLOAT_BYTES))
-        rules += [
-            _integer(size, _at(path, f".{name}"), 1),
+        size, where = f"{value}.{name}", _field(path, name)
+        exact = f"double({rows}) * {_as(width, 'double')} * {C.FLOAT_BYTES}"
+        rules.append(_integer(size, where, 1))
+        rules.append(
             _rule(
-                (_double(size) == exact) & (_long(size) <= limit),
-                _at(path, f".{name}"),
+                f"{_as(size, 'double')} = {exact} AND {_as(size, 'bigint')} <= {limit}",
+                where,
                 "dense float64 matrix size/limit mismatch",
-            ),
-        ]
-    return _first(rules)
+            )
+        )
+    return _first(*rules)
 
 
-# --- document parts ---------------------------------------------------------------------
+def _mean(doubles: str, count: int) -> str:
+    """Left-to-right sum of a short array, then divided: exact ties stay ties."""
+    return f"(aggregate({doubles}, double(0), (total, term) -> total + term) / {count})"
+
 
+def _winner(gap: str) -> str:
+    return f"CASE WHEN {gap} > 0 THEN 'DNN' ELSE 'GBDT' END"
 
-def _descriptors(value: Column, train: Column, folds: int, path) -> Column:
-    present = F.map_keys(_map(value))
-    needed = F.array(*[F.lit(d) for d in C.DESCRIPTORS])
-    reserved = F.array(*[F.lit(f) for f in C.RESERVED_ROW_FIELDS])
 
-    def field(name: str) -> Column:
-        return _get(value, name)
+# --- document parts ---------------------------------------------------------------------
+
 
-    def where(name: str) -> Column:
-        return _at(path, f".{name}")
+def _descriptors(m: str, train: str, folds: int, path: str) -> str:
+    def at(name: str) -> str:
+        return f"{m}['{name}']"
 
-    minority = _double(field("minority_class_fraction"))
-    minority_rows = F.bround(minority * train)
+    minority = _as(at("minority_class_fraction"), "double")
+    minority_rows = f"bround({minority} * {train})"
+    where = {name: _field(path, name) for name in C.DESCRIPTORS}
     rules = [
-        _object(value, path),
+        _present(m, path),
         _rule(
-            F.size(F.array_except(needed, present)) == 0,
+            f"size(array_except({_sql(C.DESCRIPTORS)}, map_keys({m}))) = 0",
             path,
             "missing outer-training descriptors",
         ),
         _rule(
-            ~F.arrays_overlap(reserved, present),
+            f"NOT arrays_overlap({_sql(C.RESERVED_ROW_FIELDS)}, map_keys({m}))",
             path,
             "descriptor collides with row metadata/outcomes",
         ),
-        _rule(F.forall(present, lambda k: k != ""), path, "descriptor keys must be strings"),
+        _rule(f"NOT array_contains(map_keys({m}), '')", path, "descriptor keys must be strings"),
         _first_of(
-            F.map_entries(_map(value)),
-            lambda e: _number(e["value"], _at(path, ".", e["key"]), float("-inf")),
+            f"map_entries({m})",
+            "d",
+            "_d",
+            _number("d.value", _under(path, "'.'", "d.key"), float("-inf")),
         ),
     ]
-    rules += [_integer(field(k), where(k), 1) for k in ("n_samples", "n_features", "n_classes")]
+    rules += [_integer(at(n), where[n], 1) for n in ("n_samples", "n_features", "n_classes")]
     rules += [
-        _same_long(field("n_samples"), train, where("n_samples")),
-        _same(field("n_classes"), 2, where("n_classes")),
+        _same_long(at("n_samples"), train, where["n_samples"]),
+        _same(at("n_classes"), 2, where["n_classes"]),
         _arithmetic(
-            field("samples_per_feature"),
-            F.try_divide(train, _double(field("n_features"))),
-            where("samples_per_feature"),
+            at("samples_per_feature"),
+            f"try_divide({train}, {_as(at('n_features'), 'double')})",
+            where["samples_per_feature"],
         ),
     ]
     rules += [
-        _number(field(k), where(k), 0, 1)
-        for k in sorted(C.DESCRIPTORS)
-        if k.endswith("_fraction")
+        _number(at(n), where[n], 0, 1) for n in sorted(C.DESCRIPTORS) if n.endswith("_fraction")
     ]
+    name = "minority_class_fraction"
     rules += [
-        _number(field("minority_class_fraction"), where("minority_class_fraction"), 0, 0.5),
-        _rule(minority_rows >= folds, path, "minority class must support every inner fold"),
-        _arithmetic(
-            field("minority_class_fraction"),
-            F.try_divide(minority_rows, train),
-            where("minority_class_fraction"),
-            0,
-            0.5,
+        _number(at(name), where[name], 0, 0.5),
+        _rule(
+            f"{minority_rows} >= {folds}", path, "minority class must support every inner fold"
         ),
+        _arithmetic(at(name), f"try_divide({minority_rows}, {train})", where[name], 0, 0.5),
         # From counts: a ratio of rounded fractions loses too much at strong imbalance.
         _arithmetic(
-            field("imbalance_ratio"),
-            F.try_divide(train - minority_rows, minority_rows),
-            where("imbalance_ratio"),
+            at("imbalance_ratio"),
+            f"try_divide({train} - {minority_rows}, {minority_rows})",
+            where["imbalance_ratio"],
             1,
         ),
     ]
-    return _first(rules)
-
-
-def _integer_rule(path):
-    return lambda item: _integer(item, path)
+    return _first(*rules)
 
 
-def _score_rule(metric: str, path):
-    def rule(fold: Column, i: Column) -> Column:
-        where = _at(path, ".folds[", i.cast("string"), f"].{metric}")
-        return _number(_get(fold, metric), where, 0, 1)
-
-    return rule
-
-
-def _params(value: Column, expected: Column, shape: dict, path) -> Column:
-    """Parameters equal to a literal struct of one candidate, typed and with no other keys."""
-    keys = F.array_sort(F.map_keys(_map(value)))
-    rules = [
-        _object(value, path),
-        _rule(
-            keys == F.array(*[F.lit(k) for k in sorted(shape)]), path, "identity keys mismatch"
-        ),
-    ]
+def _params(m: str, expected: str, shape: dict, path: str) -> str:
+    """Parameters equal to the struct of one candidate, typed and with no other keys."""
+    rules = [_present(m, path), _same_keys(m, shape, path)]
     for name, sample in shape.items():
-        item, want, where = _get(value, name), expected[name], _at(path, f".{name}")
+        v, want, where = f"{m}['{name}']", f"{expected}.{name}", _field(path, name)
         if isinstance(sample, tuple):
-            items = _list(item)
-            rules += [
-                _rule(F.size(items) == F.size(want), where, "identity length mismatch"),
-                _first_of(items, _integer_rule(where)),
-                _rule(F.transform(items, _long) == want, where, "identity mismatch"),
-            ]
+            rules.append(_same_integers(v, want, where))
         elif isinstance(sample, int):
-            rules.append(_same_long(item, want, where))
-        else:
-            rules += [
-                _number(item, where, float("-inf")),
-                _rule(_double(item) == want, where, "identity mismatch"),
-            ]
-    return _first(rules)
-
-
-def _literal_params(params: dict) -> Column:
-    fields = []
-    for name, value in params.items():
-        if isinstance(value, tuple):
-            fields.append(F.array(*[F.lit(v).cast("bigint") for v in value]).alias(name))
-        elif isinstance(value, int):
-            fields.append(F.lit(value).cast("bigint").alias(name))
+            rules.append(_same_long(v, want, where))
         else:
-            fields.append(F.lit(float(value)).alias(name))
-    return F.struct(*fields)
+            rules.append(_number(v, where, float("-inf")))
+            rules.append(_rule(f"{_as(v, 'double')} = {want}", where, "identity mismatch"))
+    return _first(*rules)
 
 
-def _fold_scores(trial: Column, metric: str) -> Column:
-    return F.transform(_list(_get(trial, "folds")), lambda f: _double(_get(f, metric)))
+def _candidate_literals(p: Protocol, family: str) -> tuple[str, dict]:
+    """SQL array of the canonical parameter structs, and one example for its shape."""
+    drawn = candidates(family, p.candidate_count, p.tuning_seed)
+    structs = []
+    for params in drawn:
+        fields = ", ".join(f"{_sql(v)} AS {k}" for k, v in params.items())
+        structs.append(f"struct({fields})")
+    return f"array({', '.join(structs)})", drawn[0]
+
+
+def _fold_doubles(trial: str, metric: str) -> str:
+    return f"transform({trial}.folds, g -> {_as(f'g.{metric}', 'double')})"
 
 
-def _trial(trial: Column, index: Column, literal: Column, shape: dict, k: int, path) -> Column:
-    where = _at(path, "[", index.cast("string"), "]")
-    expected = F.try_element_at(literal, (index + 1).cast("int"))
+def _trial(t: str, index: str, literal: str, shape: dict, k: int, path: str) -> str:
+    where = _item(path, index)
+    expected = f"try_element_at({literal}, {index} + 1)"
     rules = [
-        _params(_get(trial, "params"), expected, shape, _at(where, ".params")),
-        _same(_get(trial, "status"), "success", _at(where, ".status")),
-        _null_error(trial, where),
-        _number(_get(trial, "fit_seconds"), _at(where, ".fit_seconds")),
-        _warnings(_get(trial, "convergence_warnings"), _at(where, ".convergence_warnings")),
-        _ordered(_get(trial, "folds"), k, "fold", _at(where, ".folds")),
+        _params(f"{t}.params", expected, shape, _field(where, "params")),
+        _same(f"{t}.status", "success", _field(where, "status")),
+        _null_error(f"{t}.error", _field(where, "error")),
+        _number(f"{t}.fit_seconds", _field(where, "fit_seconds")),
+        _warnings(f"{t}.convergence_warnings", _field(where, "convergence_warnings")),
+        _ordered(f"{t}.folds", k, "fold", _field(where, "folds")),
     ]
     for metric in ("balanced_accuracy", "roc_auc"):
+        score_path = _field(_item(_field(where, "folds"), "x"), metric)
         rules += [
-            _first_of(_list(_get(trial, "folds")), _score_rule(metric, where)),
+            _first_of(f"{t}.folds", "f", "x", _number(f"f.{metric}", score_path, 0, 1)),
             _arithmetic(
-                _get(trial, f"mean_{metric}"),
-                ordered_mean(_fold_scores(trial, metric), k),
-                _at(where, f".mean_{metric}"),
+                f"{t}.mean_{metric}",
+                _mean(_fold_doubles(t, metric), k),
+                _field(where, f"mean_{metric}"),
                 0,
                 1,
             ),
         ]
-    return _first(rules)
+    return _first(*rules)
 
 
-def _fold_rows(train: Column, fold: Column, k: int) -> Column:
-    return F.floor(train / F.lit(k)) + (fold < train % k).cast("bigint")
+def _fold_rows(train: str, fold: str, k: int) -> str:
+    return f"({train} div {k} + bigint({fold} < {train} % {k}))"
 
 
-def _family(value: Column, family: str, p: Protocol, train: Column, test: Column, path) -> Column:
+def _family(v: str, family: str, p: Protocol, train: str, test: str, path: str) -> str:
     k = p.inner_folds
-    drawn = candidates(family, p.candidate_count, p.tuning_seed)
-    literal = F.array(*[_literal_params(d) for d in drawn])
-    trials = _list(_get(value, "trials"))
-    means = F.transform(trials, lambda t: ordered_mean(_fold_scores(t, "balanced_accuracy"), k))
-    best = F.array_max(
-        F.transform(means, lambda m, i: F.struct(m.alias("m"), (-i).alias("tie")))
-    )
-    selected = (-best["tie"]).cast("bigint")
-    scores = _get(value, "outer_scores")
-
-    def fold_matrix(evidence: Column, i: Column) -> Column:
-        held = _fold_rows(train, i, k)
-        return _matrix(
-            evidence,
-            {"train_dense_bytes": train - held, "validation_dense_bytes": held},
-            p.matrix_limit_bytes,
-            _at(path, ".preprocessing_folds[", i.cast("string"), "]"),
-        )
-
-    rules = [
-        _object(value, path),
-        _same(_get(value, "family"), family, _at(path, ".family")),
-        _same(_get(value, "model"), C.MODEL_OF_FAMILY[family], _at(path, ".model")),
-        _same(_get(value, "all_trials_completed"), True, _at(path, ".all_trials_completed")),
-        _null_error(value, path),
-        _number(_get(value, "search_seconds"), _at(path, ".search_seconds")),
-        _number(_get(value, "refit_seconds"), _at(path, ".refit_seconds")),
-        _warnings(
-            _get(value, "refit_convergence_warnings"), _at(path, ".refit_convergence_warnings")
-        ),
-        _ordered(_get(value, "preprocessing_folds"), k, "fold", _at(path, ".preprocessing_folds")),
-        _first_of(_list(_get(value, "preprocessing_folds")), fold_matrix),
-        _ordered(
-            _get(value, "trials"), p.candidate_count, "candidate_order", _at(path, ".trials")
-        ),
-        _first_of(
-            trials, lambda t, i: _trial(t, i, literal, drawn[0], k, _at(path, ".trials"))
-        ),
+    literal, shape = _candidate_literals(p, family)
+    score = _mean(_fold_doubles("t", "balanced_accuracy"), k)
+    best = f"array_max(transform({v}.trials, (t, j) -> struct({score} AS m, -j AS tie)))"
+    selected = "(-b.tie)"
+    choice = _first(
         _same_long(
-            _get(value, "selected_candidate_order"),
-            selected,
-            _at(path, ".selected_candidate_order"),
+            f"{v}.selected_candidate_order", selected, _field(path, "selected_candidate_order")
         ),
         _params(
-            _get(value, "best_params"),
-            F.try_element_at(literal, (selected + 1).cast("int")),
-            drawn[0],
-            _at(path, ".best_params"),
+            f"{v}.best_params",
+            f"try_element_at({literal}, {selected} + 1)",
+            shape,
+            _field(path, "best_params"),
         ),
         _arithmetic(
-            _get(value, "inner_balanced_accuracy"),
-            best["m"],
-            _at(path, ".inner_balanced_accuracy"),
-            0,
-            1,
+            f"{v}.inner_balanced_accuracy", "b.m", _field(path, "inner_balanced_accuracy"), 0, 1
         ),
+    )
+    held = _fold_rows(train, "j", k)
+    rules = [
+        _present(v, path),
+        _same(f"{v}.family", family, _field(path, "family")),
+        _same(f"{v}.model", C.MODEL_OF_FAMILY[family], _field(path, "model")),
+        _same(f"{v}.all_trials_completed", True, _field(path, "all_trials_completed")),
+        _null_error(f"{v}.error", _field(path, "error")),
+        _number(f"{v}.search_seconds", _field(path, "search_seconds")),
+        _number(f"{v}.refit_seconds", _field(path, "refit_seconds")),
+        _warnings(f"{v}.refit_convergence_warnings", _field(path, "refit_convergence_warnings")),
+        _ordered(f"{v}.preprocessing_folds", k, "fold", _field(path, "preprocessing_folds")),
+        _first_of(
+            f"{v}.preprocessing_folds",
+            "e",
+            "j",
+            _matrix(
+                "e",
+                {"train_dense_bytes": f"({train} - {held})", "validation_dense_bytes": held},
+                p.matrix_limit_bytes,
+                _item(_field(path, "preprocessing_folds"), "j"),
+            ),
+        ),
+        _ordered(f"{v}.trials", p.candidate_count, "candidate_order", _field(path, "trials")),
+        _first_of(
+            f"{v}.trials", "t", "j", _trial("t", "j", literal, shape, k, _field(path, "trials"))
+        ),
+        _first_of(f"array({best})", "b", "_b", choice),
         _matrix(
-            _get(value, "final_preprocessing"),
+            f"{v}.final_preprocessing",
             {"train_dense_bytes": train, "test_dense_bytes": test},
             p.matrix_limit_bytes,
-            _at(path, ".final_preprocessing"),
+            _field(path, "final_preprocessing"),
         ),
-        _object(scores, _at(path, ".outer_scores")),
+        _present(f"{v}.outer_scores", _field(path, "outer_scores")),
     ]
     rules += [
-        _number(_get(scores, m), _at(path, f".outer_scores.{m}"), 0, 1)
+        _number(f"{v}.outer_scores.{m}", _field(_field(path, "outer_scores"), m), 0, 1)
         for m in ("balanced_accuracy", "roc_auc")
     ]
-    return _first(rules)
+    return _first(*rules)
 
 
-def _outer_score(split: Column, family: str) -> Column:
-    return F.try_variant_get(
-        split, f"$.families.{family}.outer_scores.balanced_accuracy", "double"
-    )
-
+def _outer_score(split: str, family: str) -> str:
+    return _as(f"{split}.families['{family}'].outer_scores.balanced_accuracy", "double")
 
-def _outer_scores(splits: Column, family: str) -> Column:
-    return F.transform(splits, lambda s: _outer_score(s, family))
 
-
-def _split(split: Column, index: Column, p: Protocol) -> Column:
-    path = _at("outer_splits[", index.cast("string"), "]")
-    seeds = F.array(*[F.lit(s).cast("bigint") for s in p.outer_seeds])
-    train, test = _long(_get(split, "train_rows")), _long(_get(split, "test_rows"))
-    families = _get(split, "families")
+def _split(s: str, i: str, p: Protocol) -> str:
+    path = _item("'outer_splits'", i)
+    seeds = _sql(list(p.outer_seeds))
+    train, test = _as(f"{s}.train_rows", "bigint"), _as(f"{s}.test_rows", "bigint")
     rules = [
-        _object(split, path),
+        _present(s, path),
         _same_long(
-            _get(split, "outer_seed"),
-            F.try_element_at(seeds, (index + 1).cast("int")),
-            _at(path, ".outer_seed"),
+            f"{s}.outer_seed", f"try_element_at({seeds}, {i} + 1)", _field(path, "outer_seed")
         ),
-        _integer(_get(split, "train_rows"), _at(path, ".train_rows"), p.inner_folds * 2),
-        _integer(_get(split, "test_rows"), _at(path, ".test_rows"), 2),
+        _integer(f"{s}.train_rows", _field(path, "train_rows"), p.inner_folds * 2),
+        _integer(f"{s}.test_rows", _field(path, "test_rows"), 2),
         _rule(
-            test == F.ceil((train + test) * F.lit(p.test_size)),
+            f"{test} = ceil(({train} + {test}) * {_sql(p.test_size)})",
             path,
             "outer holdout row counts mismatch",
         ),
-        _same(_get(split, "paired_success"), True, _at(path, ".paired_success")),
-        _descriptors(
-            _get(split, "meta_features"), train, p.inner_folds, _at(path, ".meta_features")
-        ),
-        _rule(
-            F.array_sort(F.map_keys(_map(families)))
-            == F.array(*[F.lit(f) for f in sorted(C.FAMILIES)]),
-            _at(path, ".families"),
-            "required both families",
+        _same(f"{s}.paired_success", True, _field(path, "paired_success")),
+        _descriptors(f"{s}.meta_features", train, p.inner_folds, _field(path, "meta_features")),
+        _same_keys(
+            f"{s}.families", C.FAMILIES, _field(path, "families"), "required both families"
         ),
     ]
     rules += [
-        _family(_get(families, f), f, p, train, test, _at(path, f".families.{f}"))
+        _family(
+            f"{s}.families['{f}']", f, p, train, test, _field(_field(path, "families"), f)
+        )
         for f in C.FAMILIES
     ]
-    rules.append(
-        _arithmetic(
-            _get(split, C.GAP),
-            _outer_score(split, "DNN") - _outer_score(split, "GBDT"),
-            _at(path, f".{C.GAP}"),
-            -1,
-            1,
-        )
-    )
-    return _first(rules)
-
+    gap = f"({_outer_score(s, 'DNN')} - {_outer_score(s, 'GBDT')})"
+    rules.append(_arithmetic(f"{s}.{C.GAP}", gap, _field(path, C.GAP), -1, 1))
+    return _first(*rules)
 
-def _all_equal(values: Column) -> Column:
-    return F.size(F.array_distinct(values)) == 1
 
-
-def _aggregate(doc: Column, splits: Column, p: Protocol) -> Column:
-    value = _get(doc, "aggregate")
+def _aggregate(a: str, splits: str, p: Protocol) -> str:
     n = len(p.outer_seeds)
-    means = {f: ordered_mean(_outer_scores(splits, f), n) for f in C.FAMILIES}
-    gap = means["DNN"] - means["GBDT"]
-    tie = F.try_variant_get(_get(value, "near_tie_within_margin"), "$", "boolean")
-    meta_path = "aggregate.meta_features"
-    meta = _get(value, "meta_features_mean_over_outer_training_partitions")
-    keys = F.array_sort(F.map_keys(_map(meta)))
-
-    def descriptor_mean(entry: Column) -> Column:
-        recorded = F.transform(
-            splits, lambda s: _double(F.element_at(_map(_get(s, "meta_features")), entry["key"]))
-        )
-        return _arithmetic(
-            entry["value"],
-            ordered_mean(recorded, n),
-            _at(meta_path, ".", entry["key"]),
-            float("-inf"),
-        )
-
+    mean = {
+        f: _mean(f"transform({splits}, s -> {_outer_score('s', f)})", n) for f in C.FAMILIES
+    }
+    gap = f"({mean['DNN']} - {mean['GBDT']})"
+    meta, meta_path = f"{a}.{_META_MEAN}", "'aggregate.meta_features'"
+    recorded = f"transform({splits}, s -> {_as('s.meta_features[d.key]', 'double')})"
+    best, tie = f"{a}.actual_best_pipeline", f"{a}.near_tie_within_margin"
     return _first(
-        [
-            _object(value, "aggregate"),
+        _present(a, "'aggregate'"),
+        _arithmetic(f"{a}.{C.SCORE_GBDT}", mean["GBDT"], f"'aggregate.{C.SCORE_GBDT}'", 0, 1),
+        _arithmetic(f"{a}.{C.SCORE_DNN}", mean["DNN"], f"'aggregate.{C.SCORE_DNN}'", 0, 1),
+        _arithmetic(f"{a}.{C.GAP}", gap, f"'aggregate.{C.GAP}'", -1, 1),
+        _rule(
+            f"{_kind(best)} = 'STRING' AND {_as(best, 'string')} = {_winner(gap)}",
+            "'aggregate.actual_best_pipeline'",
+            "does not follow from the gap",
+        ),
+        _rule(
+            f"{_kind(tie)} = 'BOOLEAN' AND "
+            f"{_as(tie, 'boolean')} = (abs({gap}) <= {_sql(p.recommendation_margin)})",
+            "'aggregate.near_tie_within_margin'",
+            "does not follow from the gap",
+        ),
+        _present(meta, meta_path),
+        _rule(
+            f"forall({splits}, s -> {_keys('s.meta_features')} = {_keys(meta)})",
+            meta_path,
+            "descriptor keys mismatch across outer partitions/aggregate",
+        ),
+        _first_of(
+            f"map_entries({meta})",
+            "d",
+            "_d",
             _arithmetic(
-                _get(value, C.SCORE_GBDT), means["GBDT"], f"aggregate.{C.SCORE_GBDT}", 0, 1
+                "d.value", _mean(recorded, n), _under(meta_path, "'.'", "d.key"), float("-inf")
             ),
-            _arithmetic(_get(value, C.SCORE_DNN), means["DNN"], f"aggregate.{C.SCORE_DNN}", 0, 1),
-            _arithmetic(_get(value, C.GAP), gap, f"aggregate.{C.GAP}", -1, 1),
-            _rule(
-                (_kind(_get(value, "actual_best_pipeline")) == "STRING")
-                & (_text(_get(value, "actual_best_pipeline")) == winner(gap)),
-                "aggregate.actual_best_pipeline",
-                "does not follow from the gap",
-            ),
-            _rule(
-                (_kind(_get(value, "near_tie_within_margin")) == "BOOLEAN")
-                & (tie == (F.abs(gap) <= F.lit(p.recommendation_margin))),
-                "aggregate.near_tie_within_margin",
-                "does not follow from the gap",
-            ),
-            _object(meta, meta_path),
-            _rule(
-                F.forall(
-                    splits,
-                    lambda s: F.array_sort(F.map_keys(_map(_get(s, "meta_features")))) == keys,
-                ),
-                meta_path,
-                "descriptor keys mismatch across outer partitions/aggregate",
-            ),
-            _first_of(F.map_entries(_map(meta)), descriptor_mean),
-        ]
+        ),
     )
 
 
-def violation(doc: Column, p: Protocol, project: str = C.PROJECT) -> Column:
-    """First broken admission rule of a parsed artifact as 'path: reason', NULL if it is valid."""
+def violation_sql(art: str, p: Protocol, project: str = C.PROJECT) -> str:
+    """SQL of the first broken admission rule of a typed artifact column, NULL if it is valid."""
     if p not in (FULL, SMOKE):
         raise ValueError("expected_protocol: only the canonical full or smoke protocol is allowed")
-    dataset, note = _get(doc, "dataset"), _get(doc, "status_note")
-    splits = _list(_get(doc, "outer_splits"))
-    rows = F.transform(
-        splits, lambda s: _long(_get(s, "train_rows")) + _long(_get(s, "test_rows"))
-    )
-    widths = F.transform(
-        splits, lambda s: F.try_variant_get(s, "$.meta_features.n_features", "bigint")
+    data, splits = f"{art}.dataset", f"{art}.outer_splits"
+    rows = (
+        f"transform({splits}, s -> {_as('s.train_rows', 'bigint')} + "
+        f"{_as('s.test_rows', 'bigint')})"
     )
+    n_features = _as("s.meta_features['n_features']", "bigint")
+    widths = f"transform({splits}, s -> {n_features})"
+    record = p.as_record()
     rules = [
-        _object(doc, "result"),
-        _same(_get(doc, "project"), project, "project"),
-        _object(dataset, "dataset"),
+        _present(art, "'result'"),
+        _same(f"{art}.project", project, "'project'"),
+        _present(data, "'dataset'"),
     ]
+    for name in ("name", "family"):
+        v = f"{data}.{name}"
+        holds = f"{_kind(v)} = 'STRING' AND trim({_as(v, 'string')}) <> ''"
+        rules.append(_rule(holds, f"'dataset.{name}'", "required nonempty string"))
+    rules += [_integer(f"{data}.{n}", f"'dataset.{n}'", 1) for n in ("openml_id", "version")]
+    rules.append(
+        _rule(f"{_kind(f'{data}.clinical')} = 'BOOLEAN'", "'dataset.clinical'", "required boolean")
+    )
     rules += [
-        _rule(
-            (_kind(_get(dataset, f)) == "STRING") & (F.trim(_text(_get(dataset, f))) != ""),
-            f"dataset.{f}",
-            "required nonempty string",
-        )
-        for f in ("name", "family")
+        _present(f"{art}.protocol", "'protocol'"),
+        _same_keys(f"{art}.protocol", record, "'protocol'"),
     ]
-    rules += [_integer(_get(dataset, f), f"dataset.{f}", 1) for f in ("openml_id", "version")]
+    rules += [_same(f"{art}.protocol['{n}']", v, f"'protocol.{n}'") for n, v in record.items()]
     rules += [
-        _rule(_kind(_get(dataset, "clinical")) == "BOOLEAN", "dataset.clinical", "required boolean"),
-        _same(_get(doc, "protocol"), p.as_record(), "protocol"),
-        _same(_get(doc, "status"), "success", "status"),
-        _same(_get(doc, "research_valid"), p.name == "full", "research_valid"),
-        _rule(_kind(note) == "STRING", "status_note", "required string"),
+        _same(f"{art}.status", "success", "'status'"),
+        _same(f"{art}.research_valid", p.name == "full", "'research_valid'"),
+        _rule(f"{_kind(f'{art}.status_note')} = 'STRING'", "'status_note'", "required string"),
         _rule(
-            F.size(splits) == len(p.outer_seeds),
-            "outer_splits",
+            f"size({splits}) = {len(p.outer_seeds)}",
+            "'outer_splits'",
             "required complete canonical outer splits",
         ),
-        _first_of(splits, lambda s, i: _split(s, i, p)),
-        _rule(_all_equal(rows), "outer_splits", "inconsistent dataset row counts"),
-        _rule(_all_equal(widths), "outer_splits", "inconsistent raw feature counts"),
-        _aggregate(doc, splits, p),
+        _first_of(splits, "s", "i", _split("s", "i", p)),
+        _rule(
+            f"size(array_distinct({rows})) = 1",
+            "'outer_splits'",
+            "inconsistent dataset row counts",
+        ),
+        _rule(
+            f"size(array_distinct({widths})) = 1",
+            "'outer_splits'",
+            "inconsistent raw feature counts",
+        ),
+        _aggregate(f"{art}.aggregate", splits, p),
     ]
-    return _first(rules)
+    return _first(*rules)
 
 
 # --- selection --------------------------------------------------------------------------
 
 
-def _identity(doc: Column, p: Protocol, project: str) -> Column:
+def _identity_sql(art: str, p: Protocol, project: str) -> str:
     """Claimed name, source id and version of an artifact of this project and mode."""
-    mine = (_kind(_get(doc, "project")) == "STRING") & (_text(_get(doc, "project")) == project)
-    mode = F.try_variant_get(doc, "$.protocol.name", "variant")
-    same_mode = (_kind(mode) == "STRING") & (_text(mode) == p.name)
-    dataset = _get(doc, "dataset")
-
-    def name(value: Column) -> Column:
-        good = (_kind(value) == "STRING") & (F.trim(_text(value)) != "")
-        return F.when(good, _text(value))
-
-    def positive(value: Column) -> Column:
-        return F.when((_kind(value) == "BIGINT") & (_long(value) > 0), _long(value))
-
-    claim = F.struct(
-        name(_get(dataset, "name")).alias("name"),
-        positive(_get(dataset, "openml_id")).alias("openml_id"),
-        positive(_get(dataset, "version")).alias("version"),
+    mode, data = f"{art}.protocol['name']", f"{art}.dataset"
+    mine = (
+        f"{_kind(f'{art}.project')} = 'STRING' AND {_as(f'{art}.project', 'string')} = "
+        f"{_sql(project)} AND {_kind(mode)} = 'STRING' AND {_as(mode, 'string')} = "
+        f"{_sql(p.name)} AND {data} IS NOT NULL"
     )
-    return F.when(mine & same_mode & _map(dataset).isNotNull(), claim)
+
+    def positive(name: str) -> str:
+        v = f"{data}.{name}"
+        holds = f"{_kind(v)} = 'BIGINT' AND {_as(v, 'bigint')} > 0"
+        return f"CASE WHEN {holds} THEN {_as(v, 'bigint')} END AS {name}"
+
+    name = f"{data}.name"
+    text = (
+        f"CASE WHEN {_kind(name)} = 'STRING' AND trim({_as(name, 'string')}) <> '' "
+        f"THEN {_as(name, 'string')} END AS name"
+    )
+    claim = f"struct({text}, {positive('openml_id')}, {positive('version')})"
+    return f"CASE WHEN {mine} THEN {claim} END"
 
 
 def validate(artifacts: DataFrame, p: Protocol = FULL, project: str = C.PROJECT) -> DataFrame:
     """(path, occurrence, doc, identity, code, reason) of each artifact on its own."""
-    parsed = A.parse(artifacts)
-    broken = F.when(F.col("code").isNull(), violation(F.col("doc"), p, project))
+    typed = A.parse(artifacts).withColumn(
+        "art", F.try_variant_get("doc", "$", ARTIFACT_TYPE)
+    )
     plain = F.when(F.col("code") == "unreadable_input", "Unreadable input").when(
         F.col("code") == "malformed_json", "Malformed JSON"
     )
-    return (
-        parsed.withColumn("identity", _identity(F.col("doc"), p, project))
-        .withColumn("broken", broken)
-        .select(
-            "path",
-            "occurrence",
-            "doc",
-            "identity",
-            F.coalesce(
-                F.col("code"), F.when(F.col("broken").isNotNull(), "invalid_result"), F.lit("accepted")
-            ).alias("code"),
-            F.coalesce(
-                plain, F.col("broken"), F.lit(f"Complete canonical {p.name} evidence")
-            ).alias("reason"),
-        )
+    judged = typed.select(
+        "path",
+        "occurrence",
+        "doc",
+        "code",
+        F.expr(_identity_sql("art", p, project)).alias("identity"),
+        F.when(F.col("code").isNull(), F.expr(violation_sql("art", p, project))).alias("broken"),
+    )
+    return judged.select(
+        "path",
+        "occurrence",
+        "doc",
+        "identity",
+        F.coalesce(
+            F.col("code"),
+            F.when(F.col("broken").isNotNull(), "invalid_result"),
+            F.lit("accepted"),
+        ).alias("code"),
+        F.coalesce(
+            plain, F.col("broken"), F.lit(f"Complete canonical {p.name} evidence")
+        ).alias("reason"),
     )
 
 

@@ -87,17 +87,18 @@ def block_cutoffs(
     inner_folds: int,
     rows_per_task: int = ROWS_PER_RANK_TASK,
 ) -> DataFrame:
-    """(keys, target, cutoffs): per class the tokens at the block ends, one list per seed.
+    """(keys, target, total_rows, test_total, cutoffs): tokens at the block ends of each class.
 
-    ``cutoffs`` holds (outer_seed, ends) structs; an empty leading block ends at ''.
+    ``cutoffs`` holds one (outer_seed, ends) struct per seed; an empty leading block ends at ''.
     """
     by_class = [*lf.keys, lf.target]
     quotas = class_quotas(lf, test_size).select(
-        *by_class, "class_rows", _block_ends(inner_folds).alias("ranks")
+        *by_class, "class_rows", "total_rows", "test_total",
+        _block_ends(inner_folds).alias("ranks"),
     )
     tokens = (
         lf.df.select(*by_class, lf.row_id)
-        .join(quotas, by_class)
+        .join(quotas.drop("total_rows", "test_total"), by_class)
         .withColumn("outer_seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
         .withColumn("token", seed_token(F.col("outer_seed"), F.col(lf.row_id)))
         .withColumn("bucket", _bucket(F.col("token"), F.col("class_rows"), rows_per_task))
@@ -140,7 +141,7 @@ def block_cutoffs(
     ends = F.transform(
         "ranks", lambda r: F.coalesce(F.try_element_at(F.col("token_at"), r), F.lit(""))
     )
-    return listed.groupBy(*by_class).agg(
+    return listed.groupBy(*by_class, "total_rows", "test_total").agg(
         F.collect_list(F.struct("outer_seed", ends.alias("ends"))).alias("cutoffs")
     )
 
@@ -159,10 +160,15 @@ def assign_splits(
     The rows only meet the small cutoff table; they are neither ranked nor exchanged.
     """
     cutoffs = block_cutoffs(lf, seeds, test_size, inner_folds, rows_per_task)
+    return assign_with(lf, cutoffs, carry)
+
+
+def assign_with(lf: LabelledFrame, cutoffs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``assign_splits`` from cutoffs computed before; datasets without cutoffs drop out."""
     token = seed_token(F.col("split.outer_seed"), F.col(lf.row_id))
     return (
         lf.df.select(*lf.keys, lf.target, lf.row_id, *carry)
-        .join(cutoffs, [*lf.keys, lf.target])
+        .join(cutoffs.select(*lf.keys, lf.target, "cutoffs"), [*lf.keys, lf.target])
         .withColumn("split", F.explode("cutoffs"))
         .withColumn("split_token", token)
         .withColumn(

@@ -6,7 +6,7 @@ winner -> pairing -> one outcome per dataset; plus descriptors of each outer tra
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from .. import constants as C
 from ..frame import LabelledFrame
 from ..operators import prep, profile, splits, trials
 from ..protocol import Protocol, candidates
+from ..session import stored
 from . import rules
 
 
@@ -24,6 +25,7 @@ class RuleBenchmark:
 
     frame: LabelledFrame
     protocol: Protocol
+    cutoffs: DataFrame
     assigned: DataFrame
     scores: DataFrame
 
@@ -88,18 +90,16 @@ def rule_benchmark(
 ) -> RuleBenchmark:
     """Set up the benchmark on datasets that pass its preconditions."""
     eligible = profile.dataset_status(lf, protocol.inner_folds).filter("status = 'ok'")
-    frame = lf.with_df(
-        rules.add_cells(lf.df, inputs).join(eligible.select(*lf.keys), list(lf.keys), "left_semi")
-    )
-    assigned = splits.assign_splits(
-        frame,
-        protocol.outer_seeds,
-        protocol.test_size,
-        protocol.inner_folds,
-        carry=[*lf.features, "band", "bucket"],
+    frame = lf.with_df(rules.add_cells(lf.df, inputs))
+    # One row per class: stored, because every later step assigns rows with it.
+    cutoffs = stored(
+        splits.block_cutoffs(
+            lf, protocol.outer_seeds, protocol.test_size, protocol.inner_folds
+        ).join(eligible.select(*lf.keys), list(lf.keys), "left_semi")
     )
+    assigned = splits.assign_with(frame, cutoffs, carry=[*lf.features, "band", "bucket"])
     scores = rules.rule_scores(assigned, lf.keys, protocol.inner_folds)
-    return RuleBenchmark(frame, protocol, assigned, scores)
+    return RuleBenchmark(frame, protocol, cutoffs, assigned, scores)
 
 
 def _params_column(family: str, params: dict) -> Column:
@@ -119,7 +119,7 @@ def _nothing(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def _family_records(bench: RuleBenchmark, family: str) -> DataFrame:
+def _family_records(bench: RuleBenchmark, family: str, sized: DataFrame) -> DataFrame:
     """One nested evidence record per (dataset, seed) for one family."""
     protocol, k = bench.protocol, bench.protocol.inner_folds
     drawn = candidates(family, protocol.candidate_count, protocol.tuning_seed)
@@ -209,7 +209,6 @@ def _family_records(bench: RuleBenchmark, family: str) -> DataFrame:
         ).alias("final_preprocessing"),
         _nothing("string").alias("error"),
     )
-    sized = _split_sizes(bench)
     return built.join(sized, bench.split_keys).select(
         *bench.split_keys, "train_rows", "test_rows", record.alias(family)
     )
@@ -221,16 +220,14 @@ def _fold_rows(rows: Column, fold: int, folds: int) -> Column:
 
 def _split_sizes(bench: RuleBenchmark) -> DataFrame:
     """(keys, outer_seed, train_rows, test_rows, widths): widths of the inner fits, then the refit."""
-    counted = bench.assigned.groupBy(*bench.split_keys).agg(
-        F.count_if(F.col("part") == "train").alias("train_rows"),
-        F.count_if(F.col("part") == "test").alias("test_rows"),
+    counted = bench.cutoffs.groupBy(*bench.keys).agg(
+        (F.max("total_rows") - F.max("test_total")).alias("train_rows"),
+        F.max("test_total").alias("test_rows"),
     )
     train = bench.frame.with_df(
         bench.assigned.filter("part = 'train'"), keys=tuple(bench.split_keys)
     )
-    return counted.join(
-        prep.fold_widths(train, bench.protocol.inner_folds), bench.split_keys
-    )
+    return prep.fold_widths(train, bench.protocol.inner_folds).join(counted, bench.keys)
 
 
 def run_artifacts(
@@ -253,9 +250,11 @@ def run_artifacts(
             - F.col("GBDT.outer_scores.balanced_accuracy")
         ).alias(C.GAP),
     )
-    dnn = _family_records(bench, "DNN").select(*bench.split_keys, "DNN")
+    bench = replace(bench, scores=stored(bench.scores))
+    sized = stored(_split_sizes(bench))
+    dnn = _family_records(bench, "DNN", sized).select(*bench.split_keys, "DNN")
     per_split = (
-        _family_records(bench, "GBDT")
+        _family_records(bench, "GBDT", sized)
         .join(dnn, bench.split_keys)
         .join(bench.train_descriptors(), bench.split_keys)
     )

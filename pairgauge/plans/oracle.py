@@ -193,7 +193,8 @@ RET_CATEGORICAL = ["linestatus"]
 CTES: dict[str, str] = {
     "ret": """
         SELECT 'supplier-' || l_suppkey AS dataset, 'nation-' || s_nationkey AS family,
-          concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id,
+          concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+            round(l_extendedprice * 100)::BIGINT) AS row_id,
           l_quantity AS quantity, l_extendedprice AS price, nullif(l_discount, 0) AS discount,
           nullif(l_tax, 0) AS tax, l_linestatus AS linestatus, l_returnflag AS label,
           (l_returnflag = 'R')::INT AS y
@@ -441,29 +442,34 @@ def _overlap(scope: str, columns: str) -> str:
               FROM shaped GROUP BY {columns})"""
 
 
+CTES["dq_levels"] = f"""
+        SELECT cname, level, row_number() OVER (ORDER BY cpos, level) - 1 AS at_position FROM (
+          SELECT DISTINCT 0 AS cpos, 'lang' AS cname, coalesce(lang, '{C.MISSING_LEVEL}') AS level
+          FROM dq_split WHERE part = 'train'
+          UNION SELECT DISTINCT 1, 'source', coalesce(source, '{C.MISSING_LEVEL}')
+          FROM dq_split WHERE part = 'train')"""
+CTES["dq_median"] = """
+        SELECT median(n_chars) AS m, avg((n_chars IS NULL)::INT) AS gap
+        FROM dq_split WHERE part = 'train'"""
+CTES["dq_stats"] = """
+        SELECT m, gap, avg(coalesce(n_chars, m)) AS mu, stddev_pop(coalesce(n_chars, m)) AS sd
+        FROM dq_split CROSS JOIN dq_median WHERE part = 'train' GROUP BY m, gap"""
+
+
 def _design() -> str:
     """Encoded rows of the quality task in long form, statistics from training rows."""
     return f"""
-        WITH levels AS (
-          SELECT cname, level, row_number() OVER (ORDER BY cpos, level) - 1 AS at FROM (
-            SELECT DISTINCT 0 AS cpos, 'lang' AS cname, coalesce(lang, '{C.MISSING_LEVEL}') AS level
-            FROM dq_split WHERE part = 'train'
-            UNION SELECT DISTINCT 1, 'source', coalesce(source, '{C.MISSING_LEVEL}')
-            FROM dq_split WHERE part = 'train')),
-        med AS (SELECT median(n_chars) AS m, avg((n_chars IS NULL)::INT) AS gap
-                FROM dq_split WHERE part = 'train'),
-        st AS (SELECT m, gap, avg(coalesce(n_chars, m)) AS mu, stddev_pop(coalesce(n_chars, m)) AS sd
-               FROM dq_split, med WHERE part = 'train' GROUP BY m, gap)
         SELECT 'doc_quality' AS dataset, row_id, 0::INT AS position, 'n_chars' AS name,
-          {_r("(coalesce(n_chars, m) - mu) / sd")} AS value FROM dq_split, st
+          {_r("(coalesce(n_chars, m) - mu) / sd")} AS value FROM dq_split, dq_stats
         UNION ALL
         SELECT 'doc_quality', row_id, 1, 'missingindicator_n_chars',
-          {_r("((n_chars IS NULL)::INT - gap) / sqrt(gap * (1 - gap))")} FROM dq_split, st
+          {_r("((n_chars IS NULL)::INT - gap) / sqrt(gap * (1 - gap))")} FROM dq_split, dq_stats
           WHERE gap > 0
         UNION ALL
-        SELECT 'doc_quality', row_id, (1 + (gap > 0)::INT + at)::INT, cname || '_' || level,
+        SELECT 'doc_quality', row_id, (1 + (gap > 0)::INT + at_position)::INT,
+          cname || '_' || level,
           (level = CASE cname WHEN 'lang' THEN lang ELSE source END)::INT::DOUBLE
-        FROM dq_split, levels, st"""
+        FROM dq_split, dq_levels, dq_stats"""
 
 
 CTES["dq"] = """

@@ -15,7 +15,7 @@ from .. import constants as C
 from ..frame import LabelledFrame, role_rows
 from ..operators import audit, evidence, prep, profile, recommend, scoring, splits, trials
 from ..protocol import FULL, SMOKE
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from ..sources import artifacts, registry
 from ..sources.tables import read_table, union_datasets
 from . import benchmark, ml, tasks
@@ -269,7 +269,7 @@ def registry_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requested_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Part suppliers asked for by key, one beyond the last included: known, clinical or unknown."""
+    """Suppliers asked for at twice each key, half of them beyond the last: known or unknown."""
     asked = read_table(spark, sf, "supplier").select(
         tasks.supplier_name(F.col("s_suppkey") * 2).alias("name")
     )
@@ -412,8 +412,7 @@ def _meta(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored_meta(spark: SparkSession, sf: str) -> DataFrame:
     """The meta-table written once, since recommenders read it several times."""
-    ensure_checkpoint_dir(spark)
-    return _meta(spark, sf).checkpoint(eager=True)
+    return stored(_meta(spark, sf))
 
 
 def meta_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -528,8 +527,7 @@ def _recorded_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _validated(spark: SparkSession, sf: str) -> DataFrame:
     """Validated artifacts, written once because the duplicate policy looks at them twice."""
-    ensure_checkpoint_dir(spark)
-    return evidence.validate(_recorded_runs(spark, sf), FULL).checkpoint(eager=True)
+    return stored(evidence.validate(_recorded_runs(spark, sf), FULL))
 
 
 def admission_ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -552,11 +550,10 @@ def meta_from_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 def smoke_admission(spark: SparkSession, sf: str) -> DataFrame:
     """Smoke runs of every supplier judged in both modes: valid as smoke, never as full."""
-    ensure_checkpoint_dir(spark)
     runs = benchmark.run_artifacts(_benchmark(spark, sf, SMOKE), tasks.suppliers(spark, sf))
-    files = artifacts.from_text(runs, F.col("dataset"), F.col("artifact")).checkpoint(eager=True)
+    files = stored(artifacts.from_text(runs, F.col("dataset"), F.col("artifact")))
     parts = [
-        evidence.ledger(evidence.validate(files, p)).select(
+        evidence.ledger(stored(evidence.validate(files, p))).select(
             F.lit(p.name).alias("mode"), "path", "outcome", "code", "reason"
         )
         for p in (SMOKE, FULL)

@@ -9,6 +9,8 @@ from ..frame import LabelledFrame
 from ..sources.tables import read_table
 from .rules import RuleInputs
 
+# The line keys alone repeat now and then; with the price in cents they are unique.
+_LINE_ID = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 RETURNS_RULES = RuleInputs("quantity", 0.0, 50.0, ("linestatus", "discount", "tax"))
 
 
@@ -32,8 +34,9 @@ def returns_rows(spark: SparkSession, sf: str) -> DataFrame:
         supplier_name(F.col("l_suppkey")).alias("dataset"),
         nation_name(F.col("s_nationkey")).alias("family"),
         F.concat_ws(
-            "-", *[F.col(c).cast("string") for c in
-                   ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+            "-",
+            *[F.col(c).cast("string") for c in _LINE_ID],
+            F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
         ).alias("row_id"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("price"),

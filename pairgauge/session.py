@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -34,3 +35,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="pairgauge-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the checkpoint folder and read it back.
+
+    For small results that several later steps use: the lineage is cut, lost executors cost
+    nothing, and the planner sees the true size when it chooses join strategies.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairgauge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
