@@ -2,13 +2,15 @@
 
 One pass: rows are pre-aggregated per (keys, class) with a map-side combine, then the small
 per-class rows are folded into one row per dataset. Distinct counts are avoided: a column is
-constant when all its cells are missing, or none is and its minimum equals its maximum.
+constant when all its cells are missing, or none is and its minimum equals its maximum. For
+text that is the minimum and maximum of a 128-bit fingerprint: fixed-width state keeps the
+aggregation hash-based, where text state would sort every row first.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +30,15 @@ def class_counts(lf: LabelledFrame) -> DataFrame:
 def column_statistics(lf: LabelledFrame) -> DataFrame:
     """One row per dataset with counts, class sizes and per-column statistics.
 
-    Per feature ``c``: ``c__missing``, ``c__min``, ``c__max``; over all: ``n_rows``,
+    Per feature ``c``: ``c__missing`` and its range (of a fingerprint for text); over all: ``n_rows``,
     ``target_missing``, ``infinite_cells``, ``incomplete_rows``, ``n_classes``,
     ``minority_rows``, ``majority_rows``.
     """
     per_class = [F.count(F.lit(1)).alias("class_rows")]
     for name in lf.features:
-        cell = F.col(name)
-        per_class += [
-            F.sum(_flag(cell.isNull())).alias(f"{name}__missing"),
-            F.min(cell).alias(f"{name}__min"),
-            F.max(cell).alias(f"{name}__max"),
-        ]
+        per_class.append(F.sum(_flag(F.col(name).isNull())).alias(f"{name}__missing"))
+        for state, value in _range_columns(lf, name).items():
+            per_class += [F.min(value).alias(f"{state}__min"), F.max(value).alias(f"{state}__max")]
     any_missing = reduce(or_, [F.col(c).isNull() for c in lf.features])
     per_class.append(F.sum(_flag(any_missing)).alias("incomplete_rows"))
     infinite = [F.coalesce(_flag(is_infinite(F.col(c))), F.lit(0)) for c in lf.numeric]
@@ -58,19 +57,32 @@ def column_statistics(lf: LabelledFrame) -> DataFrame:
         F.sum("infinite_cells").alias("infinite_cells"),
     ]
     for name in lf.features:
-        folded += [
-            F.sum(f"{name}__missing").alias(f"{name}__missing"),
-            F.min(f"{name}__min").alias(f"{name}__min"),
-            F.max(f"{name}__max").alias(f"{name}__max"),
-        ]
+        folded.append(F.sum(f"{name}__missing").alias(f"{name}__missing"))
+        for state in _range_columns(lf, name):
+            folded += [
+                F.min(f"{state}__min").alias(f"{state}__min"),
+                F.max(f"{state}__max").alias(f"{state}__max"),
+            ]
     return lf.df.groupBy(*lf.keys, lf.target).agg(*per_class).groupBy(*lf.keys).agg(*folded)
 
 
-def _is_constant(name: str) -> Column:
+def _range_columns(lf: LabelledFrame, name: str) -> dict[str, Column]:
+    """Fixed-width values whose range tells whether a column has one value only."""
+    cell = F.col(name)
+    if name in lf.numeric:
+        return {name: cell}
+    return {
+        f"{name}__a": F.when(cell.isNotNull(), F.xxhash64(cell)),
+        f"{name}__b": F.when(cell.isNotNull(), F.xxhash64(F.lit(1), cell)),
+    }
+
+
+def _is_constant(lf: LabelledFrame, name: str) -> Column:
     missing = F.col(f"{name}__missing")
-    return (missing == F.col("n_rows")) | (
-        (missing == 0) & (F.col(f"{name}__min") == F.col(f"{name}__max"))
+    single = reduce(
+        and_, [F.col(f"{s}__min") == F.col(f"{s}__max") for s in _range_columns(lf, name)]
     )
+    return (missing == F.col("n_rows")) | ((missing == 0) & single)
 
 
 def profile_status() -> Column:
@@ -89,7 +101,7 @@ def describe(statistics: DataFrame, lf: LabelledFrame, extra: tuple[str, ...] =
     width = len(lf.features)
     rows = F.col("n_rows")
     missing = reduce(add, [F.col(f"{c}__missing") for c in lf.features])
-    constant = reduce(add, [_flag(_is_constant(c)) for c in lf.features])
+    constant = reduce(add, [_flag(_is_constant(lf, c)) for c in lf.features])
     values = {
         "n_samples": rows,
         "n_features": F.lit(width).cast("long"),
@@ -140,9 +152,8 @@ def missing_by_column(lf: LabelledFrame) -> DataFrame:
 
 def constant_columns(lf: LabelledFrame) -> DataFrame:
     """(keys, position, column) of columns with at most one value, missing counted as one."""
-    return _per_column(lf, column_statistics(lf), constant=_is_constant).filter("constant").drop(
-        "constant"
-    )
+    long = _per_column(lf, column_statistics(lf), constant=lambda c: _is_constant(lf, c))
+    return long.filter("constant").drop("constant")
 
 
 def load_summary(lf: LabelledFrame, positive: str, negative: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import LabelledFrame
+from ..session import stored
 
 # Classes above this size are ranked in buckets, about this many rows or fewer each.
 ROWS_PER_RANK_TASK = 500_000
@@ -80,6 +81,14 @@ def _block_ends(inner_folds: int) -> Column:
     return F.array(*ends)
 
 
+def ends_column(seed: int) -> str:
+    return f"ends_{seed}"
+
+
+def block_column(seed: int) -> str:
+    return f"block_{seed}"
+
+
 def block_cutoffs(
     lf: LabelledFrame,
     seeds: Sequence[int],
@@ -87,106 +96,177 @@ def block_cutoffs(
     inner_folds: int,
     rows_per_task: int = ROWS_PER_RANK_TASK,
 ) -> DataFrame:
-    """(keys, target, total_rows, test_total, cutoffs): tokens at the block ends of each class.
+    """(keys, target, total_rows, test_total, ends_<seed>..): tokens at the block ends of a class.
 
-    ``cutoffs`` holds one (outer_seed, ends) struct per seed; an empty leading block ends at ''.
+    ``ends_<seed>`` has ``inner_folds`` tokens: the last of the hold-out and of each fold but the
+    last; an empty leading block ends at ''. The class sizes are stored first, since every step
+    below needs them and they are one row per class.
     """
     by_class = [*lf.keys, lf.target]
-    quotas = class_quotas(lf, test_size).select(
-        *by_class, "class_rows", "total_rows", "test_total",
-        _block_ends(inner_folds).alias("ranks"),
+    quotas = stored(
+        class_quotas(lf, test_size).select(
+            *by_class, "class_rows", "total_rows", "test_total",
+            _block_ends(inner_folds).alias("ranks"),
+        )
     )
+    largest = quotas.agg(F.max("class_rows")).first()[0] or 0
+    sized = quotas.select(*by_class, "class_rows")
     tokens = (
         lf.df.select(*by_class, lf.row_id)
-        .join(quotas.drop("total_rows", "test_total"), by_class)
+        .join(sized, by_class)
         .withColumn("outer_seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
         .withColumn("token", seed_token(F.col("outer_seed"), F.col(lf.row_id)))
-        .withColumn("bucket", _bucket(F.col("token"), F.col("class_rows"), rows_per_task))
+        .select(
+            *by_class,
+            "outer_seed",
+            "token",
+            _bucket(F.col("token"), F.col("class_rows"), rows_per_task).alias("bucket"),
+        )
+    )
+    in_bucket = [*by_class, "outer_seed", "bucket"]
+    if largest > rows_per_task:
+        tokens = _near_block_ends(tokens, quotas, by_class, rows_per_task)
+    else:
+        tokens = tokens.withColumn("bucket_start", F.lit(0).cast("long"))
+    inside = Window.partitionBy(*in_bucket).orderBy("token")
+    ranked = (
+        tokens.withColumn("rank", F.col("bucket_start") + F.row_number().over(inside))
+        .join(quotas.select(*by_class, "ranks"), by_class)
+        .filter(F.array_contains("ranks", F.col("rank")))
+        .groupBy(*by_class)
+        .agg(
+            *[
+                F.collect_list(
+                    F.when(F.col("outer_seed") == s, F.struct("rank", "token"))
+                ).alias(f"found_{s}")
+                for s in seeds
+            ]
+        )
+    )
+    # A class can have all its ends at rank 0 and so no ranked row at all.
+    return quotas.join(ranked, by_class, "left").select(
+        *by_class,
+        "total_rows",
+        "test_total",
+        *[_token_at_ranks(F.col(f"found_{s}")).alias(ends_column(s)) for s in seeds],
     )
-    large = F.col("class_rows") > rows_per_task
+
+
+def _near_block_ends(
+    tokens: DataFrame, quotas: DataFrame, by_class: list[str], rows_per_task: int
+) -> DataFrame:
+    """Tokens of small classes, and of large ones only the buckets that hold a block end."""
+    in_bucket = [*by_class, "outer_seed", "bucket"]
     earlier = (
         Window.partitionBy(*by_class, "outer_seed")
         .orderBy("bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    in_bucket = [*by_class, "outer_seed", "bucket"]
     holds_end = F.exists(
-        F.col("ranks"),
+        "ranks",
         lambda r: (r > F.col("bucket_start")) & (r <= F.col("bucket_start") + F.col("n")),
     )
-    histogram = (
-        tokens.filter(large)
-        .groupBy(*in_bucket)
-        .agg(F.count(F.lit(1)).alias("n"), F.first("ranks").alias("ranks"))
+    is_large = F.col("class_rows") > rows_per_task
+    kept = (
+        tokens.groupBy(*in_bucket)
+        .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("bucket_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .filter(holds_end)
+        .join(quotas.select(*by_class, "class_rows", "ranks"), by_class)
+        .filter(~is_large | holds_end)
         .select(*in_bucket, "bucket_start")
     )
-    inside = Window.partitionBy(*in_bucket).orderBy("token")
-    ranked = (
-        tokens.join(histogram, in_bucket, "left")
-        .filter(~large | F.col("bucket_start").isNotNull())
-        .withColumn(
-            "rank",
-            F.coalesce(F.col("bucket_start"), F.lit(0)) + F.row_number().over(inside),
-        )
-        .filter(F.array_contains("ranks", F.col("rank")))
-        .groupBy(*by_class, "outer_seed")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "token"))).alias("token_at"))
-    )
-    # A class can have all ends at rank 0 and so no ranked row at all.
-    listed = quotas.withColumn(
-        "outer_seed", F.explode(F.array(*[F.lit(s) for s in seeds]))
-    ).join(ranked, [*by_class, "outer_seed"], "left")
-    ends = F.transform(
-        "ranks", lambda r: F.coalesce(F.try_element_at(F.col("token_at"), r), F.lit(""))
-    )
-    return listed.groupBy(*by_class, "total_rows", "test_total").agg(
-        F.collect_list(F.struct("outer_seed", ends.alias("ends"))).alias("cutoffs")
+    return tokens.join(kept, in_bucket)
+
+
+def _token_at_ranks(found: Column) -> Column:
+    """Token of each wanted rank out of a handful of (rank, token) pairs."""
+    return F.transform(
+        "ranks",
+        lambda r: F.coalesce(
+            F.try_element_at(F.filter(found, lambda f: f["rank"] == r), F.lit(1))["token"],
+            F.lit(""),
+        ),
     )
 
 
-def assign_splits(
+def assign_blocks(
     lf: LabelledFrame,
+    cutoffs: DataFrame,
     seeds: Sequence[int],
-    test_size: float,
     inner_folds: int,
     carry: Sequence[str] = (),
-    rows_per_task: int = ROWS_PER_RANK_TASK,
 ) -> DataFrame:
-    """Every row once per seed with ``part`` ('train'/'test') and its inner ``fold``.
+    """Every row once, with a column ``block_<seed>`` per seed: 0 for test, fold + 1 for train.
 
-    Test rows have a NULL fold. Both pipelines read this one table, hence identical partitions.
-    The rows only meet the small cutoff table; they are neither ranked nor exchanged.
+    The rows only meet the small cutoff table; they are neither ranked nor exchanged. Datasets
+    without cutoffs drop out.
     """
-    cutoffs = block_cutoffs(lf, seeds, test_size, inner_folds, rows_per_task)
-    return assign_with(lf, cutoffs, carry)
+    by_class = [*lf.keys, lf.target]
+    ends = [ends_column(s) for s in seeds]
 
+    def block(seed: int) -> Column:
+        token = F.col(f"token_{seed}")
+        return sum(
+            ((token > F.col(ends_column(seed))[i]).cast("int") for i in range(inner_folds)),
+            F.lit(0),
+        )
 
-def assign_with(lf: LabelledFrame, cutoffs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """``assign_splits`` from cutoffs computed before; datasets without cutoffs drop out."""
-    token = seed_token(F.col("split.outer_seed"), F.col(lf.row_id))
     return (
-        lf.df.select(*lf.keys, lf.target, lf.row_id, *carry)
-        .join(cutoffs.select(*lf.keys, lf.target, "cutoffs"), [*lf.keys, lf.target])
-        .withColumn("split", F.explode("cutoffs"))
-        .withColumn("split_token", token)
-        .withColumn(
-            "block",
-            F.size(F.filter("split.ends", lambda end: F.col("split_token") > end)),
+        lf.df.select(*by_class, lf.row_id, *carry)
+        .join(cutoffs.select(*by_class, *ends), by_class)
+        .withColumns({f"token_{s}": seed_token(F.lit(s), F.col(lf.row_id)) for s in seeds})
+        .select(
+            *by_class, lf.row_id, *carry, *[block(s).alias(block_column(s)) for s in seeds]
         )
+    )
+
+
+def assign_with(
+    lf: LabelledFrame,
+    cutoffs: DataFrame,
+    seeds: Sequence[int],
+    inner_folds: int,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """``assign_splits`` from cutoffs computed before."""
+    entries = F.array(
+        *[
+            F.struct(F.lit(s).alias("outer_seed"), F.col(block_column(s)).alias("block"))
+            for s in seeds
+        ]
+    )
+    block = F.col("split.block")
+    return (
+        assign_blocks(lf, cutoffs, seeds, inner_folds, carry)
+        .withColumn("split", F.explode(entries))
         .select(
             *lf.keys,
-            F.col("split.outer_seed").alias("outer_seed"),
+            "split.outer_seed",
             lf.row_id,
             lf.target,
             *carry,
-            F.when(F.col("block") == 0, "test").otherwise("train").alias("part"),
-            F.when(F.col("block") > 0, F.col("block") - 1).alias("fold"),
+            F.when(block == 0, "test").otherwise("train").alias("part"),
+            F.when(block > 0, block - 1).alias("fold"),
         )
     )
 
 
+def assign_splits(
+    lf: LabelledFrame,
+    seeds: Sequence[int],
+    test_size: float,
+    inner_folds: int,
+    carry: Sequence[str] = (),
+    rows_per_task: int = ROWS_PER_RANK_TASK,
+) -> DataFrame:
+    """Every row once per seed with ``part`` ('train'/'test') and its inner ``fold``.
+
+    Test rows have a NULL fold. Both pipelines read this one table, hence identical partitions.
+    """
+    cutoffs = stored(block_cutoffs(lf, seeds, test_size, inner_folds, rows_per_task))
+    return assign_with(lf, cutoffs, seeds, inner_folds, carry)
+
+
 def fold_sizes(assigned: DataFrame, keys: Sequence[str], inner_folds: int) -> DataFrame:
     """Observed against expected rows of every inner fold."""
     counted = (

@@ -97,9 +97,11 @@ def rule_benchmark(
             lf, protocol.outer_seeds, protocol.test_size, protocol.inner_folds
         ).join(eligible.select(*lf.keys), list(lf.keys), "left_semi")
     )
-    assigned = splits.assign_with(frame, cutoffs, carry=[*lf.features, "band", "bucket"])
-    scores = rules.rule_scores(assigned, lf.keys, protocol.inner_folds)
-    return RuleBenchmark(frame, protocol, cutoffs, assigned, scores)
+    seeds, folds = protocol.outer_seeds, protocol.inner_folds
+    assigned = splits.assign_with(lf, cutoffs, seeds, folds, carry=lf.features)
+    blocks = splits.assign_blocks(frame, cutoffs, seeds, folds, carry=["band", "bucket"])
+    scores = rules.rule_scores(blocks, lf.keys, seeds, folds)
+    return RuleBenchmark(lf, protocol, cutoffs, assigned, scores)
 
 
 def _params_column(family: str, params: dict) -> Column:

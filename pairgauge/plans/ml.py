@@ -117,7 +117,7 @@ def _run_fit(fit: Fit, dataset: str, table: DataFrame, sizes: dict, effort: Effo
         ).fit(table.filter("is_fit"))
         seconds = time.perf_counter() - started
         scored = model.transform(table.filter("NOT is_fit")).select(
-            F.lit(1).alias("one"),
+            F.when(F.col("y").isNotNull(), 1).alias("one"),
             F.col("y").cast("int").alias("y"),
             "prediction",
             vector_to_array("probability")[1].alias("score"),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators.scoring import recall_mean
+from ..operators.splits import block_column
 from ..protocol import Protocol, candidates
 
 FINEST = {"GBDT": 16, "DNN": 32}
@@ -83,44 +84,56 @@ def _entry(family: str, cells: int, cell: Column) -> Column:
     )
 
 
-def cell_counts(assigned: DataFrame, keys: Sequence[str], inner_folds: int) -> DataFrame:
-    """Rows and positives per cell, with one pair of columns per inner fold and for the test."""
-    y = F.col("y")
-    sums = []
-    for part in range(inner_folds):
-        sums.append(F.count_if(F.col("fold") == part).alias(f"n{part}"))
-        sums.append(F.count_if((F.col("fold") == part) & (y == 1)).alias(f"p{part}"))
-    is_test = F.col("part") == "test"
-    sums.append(F.count_if(is_test).alias(f"n{inner_folds}"))
-    sums.append(F.count_if(is_test & (y == 1)).alias(f"p{inner_folds}"))
+def cell_counts(
+    blocks: DataFrame, keys: Sequence[str], seeds: Sequence[int], inner_folds: int
+) -> DataFrame:
+    """(keys, family, cells, cell, n_<seed>_<part>, p_<seed>_<part>): rows and positives per cell.
+
+    Part 0 is the test block, part f + 1 inner fold f. Rows are first counted per pair of finest
+    cells (16 bands x 32 buckets), all seeds at once and without repeating rows; the six rules
+    are then sums over that table.
+    """
+    counts, names = [], []
+    for seed in seeds:
+        block = F.col(block_column(seed))
+        for part in range(inner_folds + 1):
+            inside = (block == part).cast("long")
+            counts.append(F.sum(inside).alias(f"n_{seed}_{part}"))
+            counts.append(F.sum(inside * F.col("y")).alias(f"p_{seed}_{part}"))
+            names += [f"n_{seed}_{part}", f"p_{seed}_{part}"]
     return (
-        assigned.withColumn("rule", F.explode(_rule_entries()))
-        .groupBy(*keys, "outer_seed", "rule.family", "rule.cells", "rule.cell")
-        .agg(*sums)
+        blocks.groupBy(*keys, "band", "bucket")
+        .agg(*counts)
+        .withColumn("rule", F.explode(_rule_entries()))
+        .groupBy(*keys, "rule.family", "rule.cells", "rule.cell")
+        .agg(*[F.sum(n).alias(n) for n in names])
     )
 
 
-def _evaluations(inner_folds: int) -> Column:
-    """Per cell: (stage, fit counts, evaluated counts); stage ``inner_folds`` is the refit."""
+def _evaluations(seeds: Sequence[int], inner_folds: int) -> Column:
+    """Per cell: (seed, stage, fit counts, evaluated counts); stage ``inner_folds`` is the refit."""
+    zero = F.lit(0).cast("long")
     entries = []
-    for stage in range(inner_folds + 1):
-        fitted = [f for f in range(inner_folds) if f != stage]
-        n_fit, p_fit = F.lit(0).cast("long"), F.lit(0).cast("long")
-        for f in fitted:
-            n_fit, p_fit = n_fit + F.col(f"n{f}"), p_fit + F.col(f"p{f}")
-        entries.append(
-            F.struct(
-                F.lit(stage).alias("stage"),
-                n_fit.alias("n_fit"),
-                p_fit.alias("p_fit"),
-                F.col(f"n{stage}").alias("n_eval"),
-                F.col(f"p{stage}").alias("p_eval"),
+    for seed in seeds:
+        for stage in range(inner_folds + 1):
+            fitted = [f + 1 for f in range(inner_folds) if f != stage]
+            scored = stage + 1 if stage < inner_folds else 0
+            entries.append(
+                F.struct(
+                    F.lit(seed).alias("outer_seed"),
+                    F.lit(stage).alias("stage"),
+                    sum((F.col(f"n_{seed}_{f}") for f in fitted), zero).alias("n_fit"),
+                    sum((F.col(f"p_{seed}_{f}") for f in fitted), zero).alias("p_fit"),
+                    F.col(f"n_{seed}_{scored}").alias("n_eval"),
+                    F.col(f"p_{seed}_{scored}").alias("p_eval"),
+                )
             )
-        )
     return F.array(*entries)
 
 
-def rule_scores(assigned: DataFrame, keys: Sequence[str], inner_folds: int) -> DataFrame:
+def rule_scores(
+    blocks: DataFrame, keys: Sequence[str], seeds: Sequence[int], inner_folds: int
+) -> DataFrame:
     """(keys, outer_seed, family, cells, stage, balanced_accuracy, roc_auc, status).
 
     ``stage`` f < inner_folds validates on fold f, ``stage`` = inner_folds scores the test rows
@@ -141,9 +154,9 @@ def rule_scores(assigned: DataFrame, keys: Sequence[str], inner_folds: int) -> D
     above = F.col("eval_positives") - F.sum(positives).over(at_most)
     wins = negatives * (F.sum(positives).over(at_least) + above) / 2
     scored = (
-        cell_counts(assigned, keys, inner_folds)
-        .withColumn("e", F.explode(_evaluations(inner_folds)))
-        .select(*keys, "outer_seed", "family", "cells", "cell", "e.*")
+        cell_counts(blocks, keys, seeds, inner_folds)
+        .withColumn("e", F.explode(_evaluations(seeds, inner_folds)))
+        .select(*keys, "family", "cells", "cell", "e.*")
         .withColumn("n_all", F.sum("n_fit").over(whole))
         .withColumn("p_all", F.sum("p_fit").over(whole))
         .withColumn("eval_positives", F.sum(positives).over(whole))

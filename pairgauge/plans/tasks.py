@@ -26,6 +26,14 @@ def _zero_missing(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(0.0))
 
 
+def _named(name: str, key: str) -> Column:
+    """Dataset name as a column of the rows.
+
+    A bare literal would be folded out of join conditions and leave joins without a key.
+    """
+    return F.when(F.col(key).isNotNull(), name).alias("dataset")
+
+
 def returns_rows(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem with its supplier: one dataset per supplier, one family per nation."""
     items = read_table(spark, sf, "lineitem")
@@ -78,7 +86,7 @@ def _document_task(spark: SparkSession, sf: str, label: str) -> LabelledFrame:
     documents = read_table(spark, sf, "documents")
     labels = read_table(spark, sf, "labels")
     rows = documents.join(labels, "doc_id").select(
-        F.lit(f"doc_{label}").alias("dataset"),
+        _named(f"doc_{label}", "doc_id"),
         F.lit("documents").alias("family"),
         F.col("doc_id").cast("string").alias("row_id"),
         F.col("n_chars").cast("double").alias("n_chars"),
@@ -99,7 +107,7 @@ def toxic(spark: SparkSession, sf: str) -> LabelledFrame:
 
 def urgent(spark: SparkSession, sf: str) -> LabelledFrame:
     rows = read_table(spark, sf, "orders").select(
-        F.lit("order_urgent").alias("dataset"),
+        _named("order_urgent", "o_orderkey"),
         F.lit("orders").alias("family"),
         F.col("o_orderkey").cast("string").alias("row_id"),
         F.col("o_totalprice").alias("totalprice"),
@@ -111,7 +119,7 @@ def urgent(spark: SparkSession, sf: str) -> LabelledFrame:
 
 def purchase(spark: SparkSession, sf: str) -> LabelledFrame:
     rows = read_table(spark, sf, "events").select(
-        F.lit("event_purchase").alias("dataset"),
+        _named("event_purchase", "event_id"),
         F.lit("events").alias("family"),
         F.col("event_id").cast("string").alias("row_id"),
         "value",
@@ -123,7 +131,7 @@ def purchase(spark: SparkSession, sf: str) -> LabelledFrame:
 
 def building(spark: SparkSession, sf: str) -> LabelledFrame:
     rows = read_table(spark, sf, "customer").select(
-        F.lit("cust_building").alias("dataset"),
+        _named("cust_building", "c_custkey"),
         F.lit("customer").alias("family"),
         F.col("c_custkey").cast("string").alias("row_id"),
         F.col("c_acctbal").alias("acctbal"),
