@@ -15,7 +15,8 @@ from .rules import resolution
 
 
 def _r(expression: str) -> str:
-    return f"round({expression}, 6) + 0.0"
+    """Same rounding as ``queries.rounded``."""
+    return f"round({expression} + 1e-10, 6) + 0.0"
 
 
 def _values(rows: list[tuple]) -> str:
@@ -246,7 +247,7 @@ CTES: dict[str, str] = {
         SELECT dataset, {", ".join(f"avg({d}) AS {d}" for d in C.DESCRIPTORS)}
         FROM raw_descriptors GROUP BY dataset""",
     "raw_descriptors": re.sub(
-        r"round\((.*), 6\) \+ 0\.0",
+        r"round\((.*) \+ 1e-10, 6\) \+ 0\.0",
         r"\1",
         _describe("full_train", "dataset, outer_seed", RET_NUMERIC, RET_CATEGORICAL),
     ),

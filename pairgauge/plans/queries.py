@@ -29,9 +29,12 @@ CUTOFF = "1998-07-01"
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, without negative zero."""
+    """Doubles to six digits, without negative zero.
+
+    A hair is added first, so that exact halves of the last digit go up in every engine.
+    """
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(c, DIGITS) + F.lit(0.0) for c in doubles})
+    return df.withColumns({c: F.round(F.col(c) + 1e-10, DIGITS) + F.lit(0.0) for c in doubles})
 
 
 # --- profile and audit ------------------------------------------------------------------
