@@ -22,6 +22,7 @@ from .trials import recommendation, winner
 
 REQUIRED = ("dataset", "family", C.GAP, C.SCORE_GBDT, C.SCORE_DNN)
 RIDGE_ALPHA = 1.0
+COEFFICIENTS = "family string, intercept double, weights array<double>"
 # Relative variance under which a training column counts as constant.
 CONSTANT_VARIANCE = 1e-12
 
@@ -33,15 +34,13 @@ def regret(selected: Column) -> Column:
 
 
 def _fold_sums(meta: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """(family, <name>): each sum over all rows outside the family."""
+    """(family, <name>): each sum over all rows outside the family.
+
+    The totals are one row of a fixed number of values; they enter the plan as literals.
+    """
+    total = meta.agg(*[F.sum(v).alias(k) for k, v in sums.items()]).first()
     per_family = meta.groupBy("family").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    total = meta.agg(*[F.sum(v).alias(f"{k}__total") for k, v in sums.items()])
-    joined = per_family.withColumn("one", F.lit(1)).join(
-        F.broadcast(total.withColumn("one", F.lit(1))), "one"
-    )
-    return joined.select(
-        "family", *[(F.col(f"{k}__total") - F.col(k)).alias(k) for k in sums]
-    )
+    return per_family.select("family", *[(F.lit(total[k]) - F.col(k)).alias(k) for k in sums])
 
 
 def best_fixed_per_family(meta: DataFrame) -> DataFrame:
@@ -68,14 +67,13 @@ def _standardised(meta: DataFrame, columns: Sequence[str]) -> DataFrame:
     facts = []
     for c in columns:
         facts += [F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s")]
-    joined = meta.withColumn("one", F.lit(1)).join(
-        F.broadcast(meta.agg(*facts).withColumn("one", F.lit(1))), "one"
+    moments = meta.agg(*facts).first()
+    return meta.withColumns(
+        {
+            f"z__{c}": (F.col(c) - F.lit(moments[f"{c}__m"])) / F.lit(moments[f"{c}__s"] or 1.0)
+            for c in columns
+        }
     )
-    scaled = []
-    for c in columns:
-        spread = F.when(F.col(f"{c}__s") > 0, F.col(f"{c}__s")).otherwise(F.lit(1.0))
-        scaled.append(((F.col(c) - F.col(f"{c}__m")) / spread).alias(f"z__{c}"))
-    return joined.select(*meta.columns, *scaled)
 
 
 def _moments(columns: Sequence[str]) -> dict[str, Column]:
@@ -127,10 +125,7 @@ def ridge_coefficients(
     """
     scaled = _standardised(meta, features)
     sums = _fold_sums(scaled, _moments([f"z__{c}" for c in features]))
-    return sums.mapInPandas(
-        _solve(len(features), alpha),
-        "family string, intercept double, weights array<double>",
-    )
+    return sums.mapInPandas(_solve(len(features), alpha), COEFFICIENTS)
 
 
 def ridge_predictions(
@@ -294,25 +289,21 @@ def in_sample(meta: DataFrame, model: str = "ridge", margin: float = C.MARGIN) -
     M.require_columns(meta, (C.GAP,))
     M.guard_training(meta, features, held_out=False)
     if model == "dummy_mean":
-        mean = meta.agg(F.avg(C.GAP).alias("predicted_gap")).withColumn("one", F.lit(1))
-        fitted = meta.withColumn("one", F.lit(1)).join(F.broadcast(mean), "one").drop("one")
+        mean = meta.agg(F.avg(C.GAP)).first()[0]
+        fitted = meta.withColumn("predicted_gap", F.lit(mean))
     elif model == "ridge":
         scaled = _standardised(meta, features)
-        sums = scaled.agg(
-            *[F.sum(v).alias(k) for k, v in _moments([f"z__{c}" for c in features]).items()]
-        ).withColumn("family", F.lit("all"))
-        coefficients = sums.mapInPandas(
-            _solve(len(features), RIDGE_ALPHA),
-            "family string, intercept double, weights array<double>",
-        ).select(F.lit(1).alias("one"), "intercept", "weights")
-        predicted = F.col("intercept")
-        for i, c in enumerate(features):
-            predicted = predicted + F.col("weights")[i] * F.col(f"z__{c}")
-        fitted = (
-            scaled.withColumn("one", F.lit(1))
-            .join(F.broadcast(coefficients), "one")
-            .select(*meta.columns, predicted.alias("predicted_gap"))
+        moments = _moments([f"z__{c}" for c in features])
+        row = (
+            scaled.agg(*[F.sum(v).alias(k) for k, v in moments.items()])
+            .withColumn("family", F.lit("all"))
+            .mapInPandas(_solve(len(features), RIDGE_ALPHA), COEFFICIENTS)
+            .first()
         )
+        predicted = F.lit(row["intercept"])
+        for weight, c in zip(row["weights"], features, strict=True):
+            predicted = predicted + F.lit(weight) * F.col(f"z__{c}")
+        fitted = scaled.select(*meta.columns, predicted.alias("predicted_gap"))
     else:
         assembled, model_fit = fit_tree(meta, features, model, meta.count())
         fitted = model_fit.transform(assembled.transform(meta)).drop("features")

@@ -129,10 +129,12 @@ def block_cutoffs(
     else:
         tokens = tokens.withColumn("bucket_start", F.lit(0).cast("long"))
     inside = Window.partitionBy(*in_bucket).orderBy("token")
+    wanted = [f"rank_{i}" for i in range(inner_folds)]
+    ends = quotas.select(*by_class, *[F.col("ranks")[i].alias(r) for i, r in enumerate(wanted)])
     ranked = (
         tokens.withColumn("rank", F.col("bucket_start") + F.row_number().over(inside))
-        .join(quotas.select(*by_class, "ranks"), by_class)
-        .filter(F.array_contains("ranks", F.col("rank")))
+        .join(ends, by_class)
+        .filter(F.col("rank").isin(*[F.col(r) for r in wanted]))
         .groupBy(*by_class)
         .agg(
             *[
