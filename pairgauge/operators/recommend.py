@@ -169,7 +169,7 @@ def fit_tree(
 
 
 def tree_predictions(
-    meta: DataFrame, model: str, seed: int = 42, parallel_fits: int = 4
+    meta: DataFrame, model: str, seed: int = 42, parallel_fits: int = 8
 ) -> DataFrame:
     """Leave-one-family-out predictions of a tree model.
 
