@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, toxicity
+from . import chunks, licenses, minhash, mixing, packing, toxicity
 from .common import read
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 4 = 2"
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
+    return classes.drop("row_key")
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeats(read(spark, sf_dir, "documents")).drop("row")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,10 +55,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
+    "op6_substrings": op6_substrings,
     "op7_licenses": op7_licenses,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SHINGLES = """
+    w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'),
+              x -> x <> '') AS ws FROM documents),
+    p AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+              ELSE list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS c FROM p GROUP BY doc_id)"""
+
+#: All pairs that share a shingle; fine for the small tables on which it is compared.
+MINHASH_SQL = f"""
+WITH RECURSIVE {_SHINGLES},
+    s AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM p a JOIN p b USING (g)
+          WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS (SELECT x, y FROM s JOIN n AS k ON k.doc_id = x JOIN n AS l ON l.doc_id = y
+          WHERE 100 * i >= 80 * (k.c + l.c - i)),
+    r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+    m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, coalesce(c, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM m LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_minhash": MINHASH_SQL}

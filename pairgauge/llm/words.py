@@ -17,6 +17,7 @@ SLICE_BYTES = 1 << 20
 
 _random = np.random.default_rng(20240607)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE_AGAIN = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -92,17 +93,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, whatever its place."""
+def hashes(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, again: bool = False
+) -> np.ndarray:
+    """A 64-bit hash of each byte range, whatever its place; ``again`` gives an independent one."""
     up, down = _raised(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum((_BYTE_AGAIN if again else _BYTE)[data] * up[: len(data)], out=total[1:])
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def together(*parts: np.ndarray) -> np.ndarray:
     """A hash of a sequence of hashes; the order counts."""
-    h = np.zeros(len(parts[0]), np.uint64)
+    h = np.zeros(np.shape(parts[0]), np.uint64)
     for part in parts:
         h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + part)
     return h
