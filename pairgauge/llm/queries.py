@@ -64,11 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _SHINGLES = """
-    w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'),
-              x -> x <> '') AS ws FROM documents),
+    w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+')
+              IF x <> ''] AS ws FROM documents),
     p AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
-              ELSE list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+              ELSE [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] END) AS g FROM w),
     n AS (SELECT doc_id, count(*) AS c FROM p GROUP BY doc_id)"""
 
 #: All pairs that share a shingle; fine for the small tables on which it is compared.
