@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ from .chain import marginals
 from .common import picked, stored, takes_rows
 
 #: Expected labelled documents that the fit reads, and the most words that get a weight.
-FIT_DOCUMENTS = 6000
+FIT_DOCUMENTS = 3000
 FIT_WORDS = 30_000
-GRADIENT_STEPS = 25
+GRADIENT_STEPS = 12
 SPAN_CHANCE = 0.5
 THRESHOLD = 0.3
 
@@ -123,30 +124,51 @@ def _lexicon(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.n
     return (odds - 1.0 * spread > np.log(2.0)) & (bad >= 3)
 
 
+def _parts(begins: np.ndarray, most: int = 200_000) -> list[tuple[int, int]]:
+    """Ranges of whole texts with about ``most`` tokens together."""
+    first = np.flatnonzero(begins)
+    cut = first[np.append(True, np.diff(first // most) > 0)] if len(first) else first
+    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(begins)], strict=True))
+
+
+def _chances(model: Model, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    weights = np.append(0.0, model.weights)
+    out = np.zeros(len(ids))
+    for a, b in _parts(begins):
+        out[a:b], _ = marginals(weights[ids[a:b]] + model.bias, begins[a:b], model.start, model.moves)
+    return out
+
+
 def _fit_field(model: Model, ids: np.ndarray, begins: np.ndarray, tagged: np.ndarray) -> None:
     """Ascends the conditional likelihood of the tags; steps are scaled by each weight's own counts."""
     n = len(model.keys)
     weights = np.append(0.0, model.weights)
     known = np.bincount(ids, minlength=n + 1).astype(float)
     seen = np.bincount(ids, weights=tagged, minlength=n + 1)
-    inner = np.flatnonzero(~begins)
-    moved = np.bincount(2 * tagged[inner - 1] + tagged[inner], minlength=4).reshape(2, 2) + 0.5
+    inner = ~begins[1:]
+    moved = np.bincount(2 * tagged[:-1][inner] + tagged[1:][inner], minlength=4).reshape(2, 2) + 0.5
     begun = np.bincount(tagged[begins], minlength=2) + 0.5
     log_moves = np.log(moved / moved.sum(1, keepdims=True))
     log_start = np.log(begun / begun.sum())
-    bias = model.bias
-    for step in range(GRADIENT_STEPS):
-        chance, pairs = marginals(
-            weights[ids] + bias, begins, np.exp(log_start), np.exp(log_moves), pairs=True
-        )
-        expected = np.bincount(ids, weights=chance, minlength=n + 1)
-        curve = np.bincount(ids, weights=chance * (1 - chance), minlength=n + 1)
+    bias, parts = model.bias, _parts(begins)
+    for _ in range(GRADIENT_STEPS):
+        expected, curve = np.zeros(n + 1), np.zeros(n + 1)
+        pairs, first = np.zeros((2, 2)), np.zeros(2) + 0.5
+        for a, b in parts:
+            own = ids[a:b]
+            chance, moves = marginals(
+                weights[own] + bias, begins[a:b], np.exp(log_start), np.exp(log_moves), pairs=True
+            )
+            expected += np.bincount(own, weights=chance, minlength=n + 1)
+            curve += np.bincount(own, weights=chance * (1 - chance), minlength=n + 1)
+            pairs += moves
+            at = chance[begins[a:b]]
+            first += [(1 - at).sum(), at.sum()]
         gradient = seen - expected - 0.3 * weights
         weights += np.clip(gradient / (curve + 0.3 + 0.002 * known), -1.5, 1.5) * 0.7
         weights[0] = 0.0
         bias += np.clip((seen.sum() - expected.sum()) / (curve.sum() + 1.0), -0.5, 0.5) * 0.3
         log_moves += 0.5 * np.clip((moved - pairs) / (moved + pairs + 1.0), -1, 1)
-        first = np.array([(1 - chance[begins]).sum(), chance[begins].sum()]) + 0.5
         log_start += 0.5 * np.clip((begun - first) / (begun + first), -1, 1)
     model.weights, model.bias = weights[1:], float(bias)
     model.moves, model.start = np.exp(log_moves), np.exp(log_start)
@@ -203,16 +225,15 @@ def fit(
     prior = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n - n_bad + 1))
     model = Model(keys, np.where(lexicon[1:], np.clip(prior, 0, 4), 0.0))
     rows = sample.mapInArrow(_encoded(keys), "ids binary, toxic int").toArrow()
-    texts_ids = [np.frombuffer(x, np.uint16) for x in rows["ids"].to_pylist()]
     toxic = rows["toxic"].to_numpy().astype(float)
-    size = np.array([len(x) for x in texts_ids], np.int64)
-    ids = np.concatenate(texts_ids).astype(np.int64)
-    owner = np.repeat(np.arange(len(size)), size)
+    size = pc.binary_length(rows["ids"]).to_numpy().astype(np.int64) // 2
+    ids = np.frombuffer(b"".join(rows["ids"].to_pylist()), np.uint16)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     begins = np.zeros(len(ids), bool)
     begins[(np.cumsum(size) - size)[size > 0]] = True
-    tagged = (lexicon[ids] & (toxic[owner] > 0)).astype(np.int64)
+    tagged = (lexicon[ids] & (toxic[owner] > 0)).astype(np.int8)
     _fit_field(model, ids, begins, tagged)
-    chance, _ = marginals(np.append(0.0, model.weights)[ids] + model.bias, begins, model.start, model.moves)
+    chance = _chances(model, ids, begins)
     model.curve = _fit_curve(document_features(owner, chance, len(size)), toxic)
     return model
 
