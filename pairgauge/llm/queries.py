@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, minhash, mixing, packing, toxicity
+from . import chunks, forest, licenses, minhash, mixing, packing, toxicity
 from .common import read
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 4 = 2"
 
 
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.cosine_classes(read(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
     return classes.drop("row_key")
@@ -55,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_forest": op1_forest,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
     "op6_substrings": op6_substrings,
