@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, forest, licenses, minhash, mixing, packing, toxicity
+from . import chunks, forest, licenses, minhash, mixing, orderhash, packing, pii, toxicity
 from .common import read
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 4 = 2"
@@ -17,6 +17,16 @@ def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.cosine_classes(read(spark, sf_dir, "embeddings"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    sha = F.sha2(F.col("base_spans"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha, "spans")
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
     return classes.drop("row_key")
@@ -60,6 +70,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_forest": op1_forest,
+    "op2_pii": op2_pii,
+    "op3_order_minhash": op3_order_minhash,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
     "op6_substrings": op6_substrings,
