@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, forest, licenses, minhash, mixing, orderhash, packing, pii, toxicity
+from . import chunks, forest, katz, licenses, minhash, mixing, orderhash, packing, pii, toxicity
 from .common import read
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 4 = 2"
@@ -49,6 +49,12 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = F.expr("crc32(CAST(doc_id AS STRING)) % 5 <> 1")
+    scored = katz.katz_scores(read(spark, sf_dir, "documents"), learned)
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_substrings": op6_substrings,
     "op7_licenses": op7_licenses,
+    "op8_katz": op8_katz,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
