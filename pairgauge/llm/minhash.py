@@ -14,8 +14,8 @@
 
 Defined cases: a text that is null or has no words has no shingles, links with nothing and is kept; one
 with fewer words than a shingle is one shingle; equal rows share a class, and rows with a null id take
-part without ever naming it; a class whose ids are all null has a null id; other columns are ignored;
-an empty table gives an empty result.
+part without ever naming it; a class whose ids are all null has a null id and keeps one text; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -312,13 +312,25 @@ def near_duplicates(
     )
     joined = joined.withColumn("class", F.coalesce("root", "own")).drop("node", "root", "own")
     least = joined.where("class IS NOT NULL").groupBy("class")
-    least = stored(least.agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "of"))
+    least = least.agg(F.min("doc_id").alias("least"), F.min("row_key").alias("first_key"))
+    least = stored(least.withColumnRenamed("class", "of"))
     out = joined.join(least, F.col("class") == F.col("of"), "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.col("class").isNull()).alias("kept"),
+        F.coalesce(
+            F.col("doc_id") == component, F.col("class").isNull() | (F.col("row_key") == F.col("first_key"))
+        ).alias("kept"),
         "row_key",
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each class, with all its columns; equal rows count once."""
+    classes = near_duplicates(docs, id_col, text_col, **options)
+    kept = stored(classes.where("kept").select(F.col("row_key").alias("_kept")).distinct())
+    rows = docs.withColumn("_own", F.xxhash64(id_col, text_col))
+    rows = rows.join(kept, F.col("_own") == F.col("_kept"), "left_semi")
+    return rows.dropDuplicates(["_own"]).drop("_own")

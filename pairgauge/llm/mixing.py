@@ -167,3 +167,15 @@ def mix(
         "doc_id", "source", "size", "source_size", "weight", "target", "rate", "copies",
         (F.col("copies") * F.col("size")).alias("taken"), "place", "row",
     )
+
+
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns."""
+    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
+    taken = stored(taken.groupBy(F.col("place").alias("_place")).agg(F.sum("copies").cast("int").alias("_n")))
+    rows = docs.withColumn("_own", F.xxhash64(id_col, text_col))
+    rows = rows.join(taken, F.col("_own") == F.col("_place")).dropDuplicates(["_own"])
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -294,3 +294,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         "spans array<struct<start: bigint, end: bigint>>"
     )
     return rows.mapInArrow(_scored(model), schema)
+
+
+def clean(
+    docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
+    """The documents scored below the threshold, with all their columns; no text is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in takes_rows(batches):
+            offsets, data = words.utf8(batch.column(at))
+            for low, high in words.slices(offsets):
+                own = offsets[low : high + 1] - offsets[low]
+                owner, _, _, h = _tokens(own, data[offsets[low] : offsets[high]])
+                begins = np.ones(len(h), bool)
+                begins[1:] = owner[1:] != owner[:-1]
+                chance, _ = marginals(model.emission(h), begins, model.start, model.moves)
+                score = model.score(document_features(owner, chance, high - low))
+                yield batch.slice(low, high - low).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
