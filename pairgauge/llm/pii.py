@@ -33,6 +33,8 @@ PRECISION = 0.95
 TREES = 10
 DEPTH = 3
 FEATURES = 12
+#: Weight of a loose candidate that overlaps no base span: it is unlabelled rather than wrong.
+UNLABELLED = 0.2
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]"
@@ -106,14 +108,14 @@ def _luhn(digits: Column) -> Column:
 
 def located(found: DataFrame) -> DataFrame:
     """One row per candidate: kind, start, end, whether it is a base span, and its feature bits."""
-    rows = found.select("row", F.explode("found").alias("c")).select("row", "c.*")
+    rows = found.select("row", "row_key", F.explode("found").alias("c")).select("row", "row_key", "c.*")
     line = Window.partitionBy("row", "generator").orderBy("number")
     length = F.length("match")
     end = F.sum(F.col("gap") + length).over(line).cast("bigint")
     kind = F.element_at(F.array(*[F.lit(KINDS.index(k)) for k, _, _ in GENERATORS]), F.col("generator") + 1)
     digits = F.regexp_replace("match", "[^0-9]", "")
     count = F.length(digits)
-    part = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    part = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
     valid = (
         F.when(F.col("generator") == 0, True)
         .when(F.col("generator") == 1, F.col("match").rlike(rf"^{part}(?:\.{part}){{3}}$"))
@@ -134,11 +136,11 @@ def located(found: DataFrame) -> DataFrame:
         before.rlike(_CONTACT + r"\W{0,4}$"),
         before.rlike(r"\w$"),
         F.col("after").rlike(r"\w"),
-        match.rlike(r"^[0-9]{4}(?:[ -]?[0-9]{4})+$"),
+        match.rlike(r"^[0-9]{4}(?:[ -]?[0-9]{4})++$"),
     ]
     bits = sum((F.coalesce(s, F.lit(False)).cast("int") * (1 << k) for k, s in enumerate(signs)), F.lit(0))
     rows = rows.select(
-        "row", "generator", kind.alias("kind"), (end - length).alias("start"), end.alias("end"),
+        "row", "row_key", "generator", kind.alias("kind"), (end - length).alias("start"), end.alias("end"),
         valid.alias("base"), bits.alias("bits"),
     )
     return rows
@@ -174,8 +176,8 @@ def _scored(patterns: DataFrame) -> DataFrame | None:
         "features",
         F.explode(
             F.array(
-                F.struct(F.lit(1.0).alias("label"), F.col("positive").cast("double").alias("weight")),
-                F.struct(F.lit(0.0).alias("label"), F.col("negative").cast("double").alias("weight")),
+                F.struct(F.lit(1.0).alias("label"), F.col("positive").alias("weight")),
+                F.struct(F.lit(0.0).alias("label"), F.col("negative").alias("weight")),
             )
         ).alias("e"),
     )
@@ -191,11 +193,12 @@ def _scored(patterns: DataFrame) -> DataFrame | None:
 def spans(found: DataFrame, precision: float = PRECISION) -> DataFrame:
     """All chosen spans of a stored table of candidates: row, kind, start, end, base and score."""
     rows = stored(located(found).withColumn("touches", _touching(["row", "kind"])))
-    fold = F.pmod(F.xxhash64("row"), F.lit(5)) == 0
+    fold = F.pmod(F.xxhash64("row_key"), F.lit(5)) == 0
+    weight = F.when(F.col("generator") >= BASE, UNLABELLED).otherwise(1.0)
     patterns = stored(
         rows.groupBy("generator", "kind", "bits", fold.alias("held_out")).agg(
-            F.sum(F.col("touches").cast("bigint")).alias("positive"),
-            F.sum((~F.col("touches")).cast("bigint")).alias("negative"),
+            F.sum(F.col("touches").cast("double")).alias("positive"),
+            F.sum((~F.col("touches")).cast("double") * weight).alias("negative"),
         )
     )
     scores = _scored(patterns)
