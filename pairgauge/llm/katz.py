@@ -45,7 +45,7 @@ START_NUMBER = (1 << 31) - 1
 
 
 def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
 
 
 def unpacked(data: bytes, dtype) -> np.ndarray:
