@@ -295,7 +295,8 @@ def near_duplicates(
         coarse, F.col("wanted") == F.col("node")
     )
     asked = stored(asked.select("key", "wanted", "root"))
-    found = texts.select("row_key", "text").join(asked, F.col("row_key") == F.col("key"))
+    # What is asked for grows with the data, so it is never broadcast, however small it is.
+    found = texts.select("row_key", "text").join(asked.hint("merge"), F.col("row_key") == F.col("key"))
     sets = stored(
         found.select("text", "wanted", "root").mapInArrow(
             _sets(shingle), "node binary, root binary, shingles binary"
