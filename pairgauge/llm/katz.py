@@ -36,21 +36,24 @@ from . import words
 from .common import partitions, picked, stored, takes_rows
 
 K = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+LEVEL = 6
 END = np.uint64(0xE0D0)
 START_NUMBER = (1 << 31) - 1
 
 
-# Arrays as bytes: equal bytes of all values side by side, which shuffle compression likes.
+# Arrays as compressed bytes: the first bytes of all values side by side, then the second ones, and so on.
 
 
 def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(data: bytes, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    planes = planes.reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 # Discounts
@@ -103,13 +106,14 @@ def _blobs(blocks: int):
     """Documents of a batch gathered by block, texts compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for batch in takes_rows(batches):
             block = batch.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
             batch = batch.take(pa.array(order))
             block = block[order]
             offsets, data = words.utf8(batch.column(3))
+            data = words.LOWER[data]
             at = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 yield pa.RecordBatch.from_arrays(
@@ -141,7 +145,7 @@ class Block:
             train.append(np.unpackbits(np.frombuffer(bits, np.uint8))[: len(size)].astype(bool))
             for low, high in words.slices(offsets):
                 own = offsets[low : high + 1] - offsets[low]
-                lowered = words.LOWER[data[offsets[low] : offsets[high]]]
+                lowered = data[offsets[low] : offsets[high]]
                 owner, start, end = words.find(lowered, own, words.NOT_BLANK)
                 # The end of each text stands after its last word.
                 after = np.searchsorted(owner, np.arange(high - low), side="right")
