@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..protocol import FULL, SMOKE, Protocol, candidates
+from ..session import stored
 from ..sources import artifacts as A
 
 REPORT_VERSION = 1
 DUPLICATE_POLICY = "reject all same-mode claims sharing dataset name or OpenML ID (any version)"
-# Conflict groups up to this size name their members in the reason; larger ones are looked up
-# in ``conflict_members``, which lists every member of every group.
-NAMED_MEMBERS = 32
-
 _META_MEAN = "meta_features_mean_over_outer_training_partitions"
 
 
@@ -529,7 +526,7 @@ def violation_sql(art: str, p: Protocol, project: str = C.PROJECT) -> str:
     ]
     for name in ("name", "family"):
         v = f"{data}.{name}"
-        holds = f"{_kind(v)} = 'STRING' AND trim({_as(v, 'string')}) <> ''"
+        holds = f"{_kind(v)} = 'STRING' AND {_as(v, 'string')} RLIKE '(?U)\\\\S'"
         rules.append(_rule(holds, f"'dataset.{name}'", "required nonempty string"))
     rules += [_integer(f"{data}.{n}", f"'dataset.{n}'", 1) for n in ("openml_id", "version")]
     rules.append(
@@ -584,7 +581,7 @@ def _identity_sql(art: str, p: Protocol, project: str) -> str:
 
     name = f"{data}.name"
     text = (
-        f"CASE WHEN {_kind(name)} = 'STRING' AND trim({_as(name, 'string')}) <> '' "
+        f"CASE WHEN {_kind(name)} = 'STRING' AND {_as(name, 'string')} RLIKE '(?U)\\\\S' "
         f"THEN {_as(name, 'string')} END AS name"
     )
     claim = f"struct({text}, {positive('openml_id')}, {positive('version')})"
@@ -658,50 +655,25 @@ def ledger(validated: DataFrame) -> DataFrame:
     """Final outcome of every input after the duplicate policy.
 
     All inputs claiming a shared name or source id are rejected, valid or not, and keep their
-    earlier reason in ``validation_reason``. Links are direct, without transitive closure. Group
-    sizes come from a combining count; member paths are collected for groups of bounded size.
+    earlier reason in ``validation_reason``. Links are direct, without transitive closure. A reason
+    names each shared identity and its number of claims; ``conflict_members`` lists the claims.
     """
-    members = conflict_members(validated)
-    named = (
-        members.filter(F.col("claimants") <= NAMED_MEMBERS)
-        .groupBy("kind", "value")
-        .agg(F.collect_list(F.struct("path", "occurrence")).alias("members"))
-    )
     linked = (
-        members.join(named, ["kind", "value"], "left")
+        conflict_members(validated)
         .groupBy("path", "occurrence")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    "kind",
-                    "value",
-                    "claimants",
-                    F.coalesce(
-                        F.col("members"), F.array().cast("array<struct<path:string,occurrence:int>>")
-                    ).alias("members"),
-                )
-            ).alias("conflicts")
-        )
-    )
-    paths = F.array_sort(
-        F.array_distinct(F.flatten(F.transform(F.col("conflicts"), lambda c: c["members"])))
-    )
-    large = F.filter(F.col("conflicts"), lambda c: c["claimants"] > NAMED_MEMBERS)
-    listed = F.array_join(F.transform(paths, lambda m: m["path"]), ", ")
-    counted = F.array_join(
-        F.transform(
-            large,
-            lambda c: F.concat(
-                F.lit("all "), c["claimants"].cast("string"), F.lit(" claims of "),
-                c["kind"], F.lit("="), c["value"],
-            ),
-        ),
-        ", ",
+        .agg(F.array_sort(F.collect_list(F.struct("kind", "value", "claimants"))).alias("conflicts"))
     )
     text = F.concat(
-        F.lit("Duplicate/conflicting source identity; all claims rejected: "),
-        F.concat_ws(
-            ", ", F.when(listed != "", listed), F.when(counted != "", counted)
+        F.lit("identity claimed more than once: "),
+        F.array_join(
+            F.transform(
+                "conflicts",
+                lambda c: F.concat(
+                    c["kind"], F.lit("="), c["value"], F.lit(" ("), c["claimants"].cast("string"),
+                    F.lit(" claims)"),
+                ),
+            ),
+            ", ",
         ),
     )
     clash = F.col("conflicts").isNotNull()
@@ -777,8 +749,11 @@ def build_meta_table(
     project: str = C.PROJECT,
     report_path: str | None = None,
 ) -> DataFrame:
-    """Admit artifacts and return the meta-table; the ledger is written before any error."""
-    entries = ledger(validate(artifacts, p, project))
+    """Admit artifacts and return the meta-table; the ledger is written before any error.
+
+    Validation, the slowest step, runs once: its outcome is stored.
+    """
+    entries = ledger(stored(validate(artifacts, p, project)))
     if report_path is not None:
         entries.drop("doc").withColumn("identity", F.to_json("identity")).write.mode(
             "errorifexists"

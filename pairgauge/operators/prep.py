@@ -183,24 +183,14 @@ def matrix_guard(widths: DataFrame, limit_bytes: int = C.MATRIX_LIMIT_BYTES) ->
     )
 
 
-def fit(
-    train: LabelledFrame,
-    limit_bytes: int = C.MATRIX_LIMIT_BYTES,
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
-    """One row per dataset that passes the size guard, with everything needed to encode rows.
+def fit(train: LabelledFrame, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """One row per dataset, whatever its size, with everything needed to encode rows.
 
-    The guard runs first. Rows x levels x 8 bytes stay under the limit and a column has no
-    more levels than rows, so with the 512 MiB default a level list holds at most 8192 entries:
-    that bounds the arrays collected here.
+    ``matrix_guard`` reports which datasets are too wide for a dense matrix; nothing is left out
+    here. The lists collected for a dataset hold the levels of its own columns.
     """
     keys = list(train.keys)
-    allowed = (
-        matrix_guard(encoded_widths(train), limit_bytes)
-        .filter("status = 'ok'")
-        .select(*keys, "n_rows", "n_encoded_features")
-    )
-    fitted = allowed
+    fitted = encoded_widths(train).select(*keys, "n_rows", "n_encoded_features")
     if train.numeric:
         entry = F.struct(
             F.array_position(F.array(*[F.lit(c) for c in train.numeric]), F.col("column")).alias(
@@ -224,7 +214,6 @@ def fit(
         order = F.array(*[F.lit(c) for c in train.categorical])
         per_column = (
             category_levels(train)
-            .join(allowed.select(*keys), keys, "left_semi")
             .groupBy(*keys, "column")
             .agg(F.array_sort(F.collect_list("level")).alias("levels"))
         )
@@ -319,7 +308,7 @@ def feature_values(train: LabelledFrame, scaled: bool) -> Column:
 def encode(
     rows: LabelledFrame, train: LabelledFrame, fitted: DataFrame, scaled: bool = False
 ) -> DataFrame:
-    """(keys, row_id, y, names, values): the dense encoded rows of guarded datasets."""
+    """(keys, row_id, y, names, values): the dense encoded rows."""
     check_columns(rows.df.columns, train.features)
     keys = list(train.keys)
     kept = [c for c in ("outer_seed", "part", "fold") if c in rows.df.columns and c not in keys]
@@ -342,13 +331,8 @@ def long_form(encoded: DataFrame, keys: tuple[str, ...], row_id: str = "row_id")
              F.col("cell.values").alias("value"))
 
 
-def level_index(train: LabelledFrame, limit_bytes: int = C.MATRIX_LIMIT_BYTES) -> DataFrame:
+def level_index(train: LabelledFrame) -> DataFrame:
     """(keys, column, level, level_index): one-hot position inside each column, code-point order."""
     keys = list(train.keys)
-    allowed = matrix_guard(encoded_widths(train), limit_bytes).filter("status = 'ok'")
     ordered = Window.partitionBy(*keys, "column").orderBy("level")
-    return (
-        category_levels(train)
-        .join(allowed.select(*keys), keys, "left_semi")
-        .withColumn("level_index", F.row_number().over(ordered) - 1)
-    )
+    return category_levels(train).withColumn("level_index", F.row_number().over(ordered) - 1)

@@ -23,7 +23,9 @@ from .trials import recommendation, winner
 REQUIRED = ("dataset", "family", C.GAP, C.SCORE_GBDT, C.SCORE_DNN)
 RIDGE_ALPHA = 1.0
 COEFFICIENTS = "family string, intercept double, weights array<double>"
-ROWS_PER_FIT_TASK = 10_000
+# Candidate split points per feature, and partitions of the training rows; both are part of the model.
+TREE_BINS = 1024
+FIT_PARTITIONS = 4
 # Relative variance under which a training column counts as constant.
 CONSTANT_VARIANCE = 1e-12
 
@@ -48,11 +50,17 @@ def best_fixed_per_family(meta: DataFrame) -> DataFrame:
     """(family, best_fixed_from_training): better mean score outside the family, tie to GBDT."""
     sums = _fold_sums(
         meta,
-        {"n": F.lit(1), "gbdt": F.col(C.SCORE_GBDT), "dnn": F.col(C.SCORE_DNN)},
+        # Decimals add and subtract exactly, so equal scores stay equal.
+        {
+            name: F.col(score).cast("decimal(24,16)")
+            for name, score in (("gbdt", C.SCORE_GBDT), ("dnn", C.SCORE_DNN))
+        },
     )
-    better = F.col("dnn") / F.col("n") > F.col("gbdt") / F.col("n")
     return sums.select(
-        "family", F.when(better, "DNN").otherwise("GBDT").alias("best_fixed_from_training")
+        "family",
+        F.when(F.col("dnn") > F.col("gbdt"), "DNN").otherwise("GBDT").alias(
+            "best_fixed_from_training"
+        ),
     )
 
 
@@ -158,15 +166,17 @@ def _tree_estimator(model: str, max_bins: int, seed: int):
     raise ValueError(f"Unknown tree model {model!r}.")
 
 
-def fit_tree(
-    train: DataFrame, features: Sequence[str], model: str, rows: int, seed: int = 42
-):
-    """A Spark ML tree or forest; up to 1024 rows every distinct value is a split point."""
+def fit_tree(train: DataFrame, features: Sequence[str], model: str, seed: int = 42):
+    """A Spark ML tree or forest; up to 1024 distinct values every one is a split point.
+
+    Rows are dealt by dataset to a fixed number of partitions, since a forest draws its samples
+    partition by partition.
+    """
     from pyspark.ml.feature import VectorAssembler
 
     assembled = VectorAssembler(inputCols=list(features), outputCol="features")
-    bins = int(min(max(rows, 32), 1024))
-    return assembled, _tree_estimator(model, bins, seed).fit(assembled.transform(train))
+    dealt = train.repartition(FIT_PARTITIONS, "dataset").sortWithinPartitions("dataset")
+    return assembled, _tree_estimator(model, TREE_BINS, seed).fit(assembled.transform(dealt))
 
 
 def tree_predictions(
@@ -183,16 +193,13 @@ def tree_predictions(
     ensure_checkpoint_dir(spark)
     features = M.feature_columns(meta)
     table = meta.checkpoint(eager=True)
-    rows = table.count()
-    # One row per dataset: a small table in many partitions spends its time on task starts.
-    table = table.coalesce(rows // ROWS_PER_FIT_TASK + 1)
     families = [r["family"] for r in table.select("family").distinct().toLocalIterator()]
     if len(families) < 2:
         raise ValueError("Need at least two dataset families for held-out evaluation.")
 
     def one(family: str) -> DataFrame:
         assembled, fitted = fit_tree(
-            table.filter(F.col("family") != family), features, model, rows, seed
+            table.filter(F.col("family") != family), features, model, seed
         )
         scored = fitted.transform(assembled.transform(table.filter(F.col("family") == family)))
         return scored.select(*meta.columns, "predicted_gap")
@@ -308,7 +315,7 @@ def in_sample(meta: DataFrame, model: str = "ridge", margin: float = C.MARGIN) -
             predicted = predicted + F.lit(weight) * F.col(f"z__{c}")
         fitted = scaled.select(*meta.columns, predicted.alias("predicted_gap"))
     else:
-        assembled, model_fit = fit_tree(meta, features, model, meta.count())
+        assembled, model_fit = fit_tree(meta, features, model)
         fitted = model_fit.transform(assembled.transform(meta)).drop("features")
     return fitted.withColumn(
         "recommendation", recommendation(F.col("predicted_gap"), margin)

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups with more distinct scores than this are ranked in several buckets.
+# The group with the most distinct scores is cut into buckets of about this many.
 SCORES_PER_RANK_TASK = 200_000
-_EDGES = 256
 
 
 def is_finite(column: Column) -> Column:
@@ -69,17 +68,17 @@ def auc_from_cells(
     and the value does not depend on where the cuts fall.
     """
     keys = list(keys)
-    cuts = [i / _EDGES for i in range(1, _EDGES)]
+    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_scores"))
+    most = sizes.agg(F.max("n_scores")).first()[0] or 0
+    buckets = -(-most // scores_per_task)
+    if buckets <= 1:  # the value is the same for any number of buckets
+        return _auc_of_buckets(cells.withColumn("bucket", F.lit(0)), keys)
+    cuts = [i / buckets for i in range(1, buckets)]
     edges = cells.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_scores"),
-        F.percentile_approx("score", cuts, 2000).alias("edges"),
-    ).select(
-        *keys, F.when(F.col("n_scores") > scores_per_task, F.col("edges")).alias("edges")
+        F.percentile_approx("score", cuts, max(2000, 10 * buckets)).alias("edges")
     )
     below = F.size(F.filter(F.col("edges"), lambda e: e < F.col("score")))
-    bucketed = cells.join(edges, keys).withColumn(
-        "bucket", F.when(F.col("edges").isNull(), F.lit(0)).otherwise(below)
-    ).drop("edges")
+    bucketed = cells.join(edges, keys).withColumn("bucket", below).drop("edges")
     return _auc_of_buckets(bucketed, keys)
 
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..frame import LabelledFrame
 from ..session import stored
 
-# Classes above this size are ranked in buckets, about this many rows or fewer each.
-ROWS_PER_RANK_TASK = 500_000
+# A class is cut into buckets of about this many rows; only those that hold a block end are ordered.
+ROWS_PER_BUCKET = 256
 _BUCKET_DIGITS = 4
 
 
@@ -56,13 +56,12 @@ def seed_token(seed: Column, row_id: Column) -> Column:
     return F.md5(F.concat_ws("|", seed.cast("string"), row_id.cast("string")))
 
 
-def _bucket(token: Column, class_rows: Column, rows_per_task: int) -> Column:
-    """Order-preserving bucket of a uniform hex token, sized by the class; 0 for small classes."""
+def _bucket(token: Column, class_rows: Column, rows_per_bucket: int) -> Column:
+    """Order-preserving bucket of a uniform hex token, sized by the class."""
     leading = F.conv(F.substring(token, 1, _BUCKET_DIGITS), 16, 10).cast("long")
     span = 16**_BUCKET_DIGITS
-    buckets = F.least(F.ceil(class_rows / F.lit(rows_per_task)), F.lit(span))
-    spread = F.floor(leading * buckets / F.lit(span))
-    return F.when(class_rows > rows_per_task, spread).otherwise(F.lit(0).cast("long"))
+    buckets = F.least(F.ceil(class_rows / F.lit(rows_per_bucket)), F.lit(span))
+    return F.floor(leading * buckets / F.lit(span))
 
 
 def _block_ends(inner_folds: int) -> Column:
@@ -94,7 +93,7 @@ def block_cutoffs(
     seeds: Sequence[int],
     test_size: float,
     inner_folds: int,
-    rows_per_task: int = ROWS_PER_RANK_TASK,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """(keys, target, total_rows, test_total, ends_<seed>..): tokens at the block ends of a class.
 
@@ -109,7 +108,6 @@ def block_cutoffs(
             _block_ends(inner_folds).alias("ranks"),
         )
     )
-    largest = quotas.agg(F.max("class_rows")).first()[0] or 0
     sized = quotas.select(*by_class, "class_rows")
     tokens = (
         lf.df.select(*by_class, lf.row_id)
@@ -120,14 +118,11 @@ def block_cutoffs(
             *by_class,
             "outer_seed",
             "token",
-            _bucket(F.col("token"), F.col("class_rows"), rows_per_task).alias("bucket"),
+            _bucket(F.col("token"), F.col("class_rows"), rows_per_bucket).alias("bucket"),
         )
     )
     in_bucket = [*by_class, "outer_seed", "bucket"]
-    if largest > rows_per_task:
-        tokens = _near_block_ends(tokens, quotas, by_class, rows_per_task)
-    else:
-        tokens = tokens.withColumn("bucket_start", F.lit(0).cast("long"))
+    tokens = _near_block_ends(tokens, quotas, by_class)
     inside = Window.partitionBy(*in_bucket).orderBy("token")
     wanted = [f"rank_{i}" for i in range(inner_folds)]
     ends = quotas.select(*by_class, *[F.col("ranks")[i].alias(r) for i, r in enumerate(wanted)])
@@ -154,10 +149,8 @@ def block_cutoffs(
     )
 
 
-def _near_block_ends(
-    tokens: DataFrame, quotas: DataFrame, by_class: list[str], rows_per_task: int
-) -> DataFrame:
-    """Tokens of small classes, and of large ones only the buckets that hold a block end."""
+def _near_block_ends(tokens: DataFrame, quotas: DataFrame, by_class: list[str]) -> DataFrame:
+    """Tokens of the buckets that hold a block end, with the number of rows in earlier buckets."""
     in_bucket = [*by_class, "outer_seed", "bucket"]
     earlier = (
         Window.partitionBy(*by_class, "outer_seed")
@@ -168,13 +161,12 @@ def _near_block_ends(
         "ranks",
         lambda r: (r > F.col("bucket_start")) & (r <= F.col("bucket_start") + F.col("n")),
     )
-    is_large = F.col("class_rows") > rows_per_task
     kept = (
         tokens.groupBy(*in_bucket)
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("bucket_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .join(quotas.select(*by_class, "class_rows", "ranks"), by_class)
-        .filter(~is_large | holds_end)
+        .join(quotas.select(*by_class, "ranks"), by_class)
+        .filter(holds_end)
         .select(*in_bucket, "bucket_start")
     )
     return tokens.join(kept, in_bucket)
@@ -259,13 +251,13 @@ def assign_splits(
     test_size: float,
     inner_folds: int,
     carry: Sequence[str] = (),
-    rows_per_task: int = ROWS_PER_RANK_TASK,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Every row once per seed with ``part`` ('train'/'test') and its inner ``fold``.
 
     Test rows have a NULL fold. Both pipelines read this one table, hence identical partitions.
     """
-    cutoffs = stored(block_cutoffs(lf, seeds, test_size, inner_folds, rows_per_task))
+    cutoffs = stored(block_cutoffs(lf, seeds, test_size, inner_folds, rows_per_bucket))
     return assign_with(lf, cutoffs, seeds, inner_folds, carry)
 
 

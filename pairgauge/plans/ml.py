@@ -76,11 +76,11 @@ def estimator(family: str, params: dict, width: int, seed: int, effort: Effort):
 
 
 def _encoded(
-    lf: LabelledFrame, fit_rows: DataFrame, limit_bytes: int, scaled: bool, rows: DataFrame
+    lf: LabelledFrame, fit_rows: DataFrame, scaled: bool, rows: DataFrame
 ) -> DataFrame:
     """(y, features, is_fit) of ``rows``, encoded with statistics of ``fit_rows`` only."""
     train = lf.with_df(fit_rows)
-    fitted = prep.fit(train, limit_bytes)
+    fitted = prep.fit(train)
     return (
         lf.with_df(rows)
         .df.join(fitted, list(lf.keys))
@@ -153,9 +153,7 @@ def _run_stage(
         protocol.matrix_limit_bytes
     ):
         return [_failure(f, dataset, "Dense matrix above the protocol limit.") for f in fits]
-    table = _encoded(
-        lf, fit_rows, protocol.matrix_limit_bytes, scaled=family == "DNN", rows=split
-    ).persist()
+    table = _encoded(lf, fit_rows, scaled=family == "DNN", rows=split).persist()
     try:
         with ThreadPoolExecutor(effort.parallel_fits) as pool:
             return list(

@@ -286,10 +286,10 @@ CTES: dict[str, str] = {
         UNION ALL SELECT 'openml_id', claim_id::VARCHAR, path FROM runs
           WHERE kind NOT IN (4, 5, 10, 11)""",
     "clashes": """
-        SELECT kind, value, count(*) AS claimants, string_agg(path, ', ' ORDER BY path) AS paths
+        SELECT kind, value, count(*) AS claimants
         FROM claims GROUP BY kind, value HAVING count(*) > 1""",
     "judged": """
-        SELECT r.*, c.paths,
+        SELECT r.*, c.shared,
           CASE kind WHEN 3 THEN 'invalid_result' WHEN 4 THEN 'malformed_json'
             WHEN 5 THEN 'malformed_json' WHEN 8 THEN 'invalid_result' WHEN 10 THEN 'invalid_result'
             WHEN 11 THEN 'unreadable_input' ELSE 'accepted' END AS own_code,
@@ -298,17 +298,18 @@ CTES: dict[str, str] = {
             WHEN 8 THEN 'outer_splits[0].meta_features.n_classes: expected 2'
             WHEN 10 THEN 'project: expected ''pairgauge''' WHEN 11 THEN 'Unreadable input'
             ELSE 'Complete canonical full evidence' END AS own_reason
-        FROM runs r LEFT JOIN (SELECT path, max(paths) AS paths
+        FROM runs r LEFT JOIN (SELECT path, string_agg(kind || '=' || value || ' (' || claimants
+            || ' claims)', ', ' ORDER BY kind, value) AS shared
           FROM claims JOIN clashes USING (kind, value) GROUP BY path) c USING (path)""",
     "ledger": """
         SELECT path, dataset,
-          CASE WHEN paths IS NULL AND own_code = 'accepted' THEN 'accepted' ELSE 'rejected' END
+          CASE WHEN shared IS NULL AND own_code = 'accepted' THEN 'accepted' ELSE 'rejected' END
             AS outcome,
-          CASE WHEN paths IS NOT NULL THEN 'duplicate_identity' ELSE own_code END AS code,
-          CASE WHEN paths IS NOT NULL
-            THEN 'Duplicate/conflicting source identity; all claims rejected: ' || paths
+          CASE WHEN shared IS NOT NULL THEN 'duplicate_identity' ELSE own_code END AS code,
+          CASE WHEN shared IS NOT NULL
+            THEN 'identity claimed more than once: ' || shared
             ELSE own_reason END AS reason,
-          CASE WHEN paths IS NOT NULL AND own_code <> 'accepted' THEN own_reason END
+          CASE WHEN shared IS NOT NULL AND own_code <> 'accepted' THEN own_reason END
             AS validation_reason
         FROM judged""",
     "entries": """

@@ -32,6 +32,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current is not None:
             return current
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError(
+                "Set spark.checkpoint.dir to a folder that the driver and all executors share."
+            )
         named = tempfile.mkdtemp(prefix="pairgauge-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
     return named

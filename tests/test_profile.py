@@ -11,18 +11,25 @@ from pairgauge.sources.tables import labelled
 
 
 def _frame(spark):
-    rows = [("d", 10.0, "a", 0), ("d", None, "b", 0), ("d", 30.0, "a", 0), ("d", 40.0, "a", 1)]
-    return spark.createDataFrame(rows, "dataset string, age double, category string, y int")
+    rows = [
+        ("d", 2.5, "oak", "N", 1), ("d", None, None, "N", 1), ("d", 7.5, "elm", "N", 0),
+        ("d", 2.5, "oak", "N", 1), ("d", 9.0, "ash", "N", 0),
+    ]
+    return spark.createDataFrame(rows, "dataset string, girth double, kind string, side string, y int")
 
 
 def test_descriptors(spark):
-    row = profile.characterize(LabelledFrame(_frame(spark), ("age",), ("category",))).first()
-    assert row.asDict() == {
-        "dataset": "d", "status": "ok", "n_samples": 4, "n_features": 2, "n_classes": 2,
-        "samples_per_feature": 2.0, "categorical_fraction": 0.5, "missing_fraction": 0.125,
-        "rows_with_missing_fraction": 0.25, "constant_feature_fraction": 0.0,
-        "minority_class_fraction": 0.25, "imbalance_ratio": 3.0,
+    row = profile.characterize(LabelledFrame(_frame(spark), ("girth",), ("kind", "side"))).first()
+    found = row.asDict()
+    assert {k: found[k] for k in ("dataset", "status", "n_samples", "n_features", "n_classes")} == {
+        "dataset": "d", "status": "ok", "n_samples": 5, "n_features": 3, "n_classes": 2,
+    }
+    shares = {
+        "samples_per_feature": 5 / 3, "categorical_fraction": 2 / 3, "missing_fraction": 2 / 15,
+        "rows_with_missing_fraction": 1 / 5, "constant_feature_fraction": 1 / 3,
+        "minority_class_fraction": 2 / 5, "imbalance_ratio": 3 / 2,
     }
+    assert all(math.isclose(found[k], v) for k, v in shares.items())
 
 
 def test_refused_datasets(spark):
@@ -60,12 +67,12 @@ def test_nan_is_missing_and_missing_only_is_constant(spark):
 
 
 def test_duplicates_and_conflicts(spark):
-    rows = [(1, "a", 0), (1, "a", 0), (2, "b", 1), (3, "c", 0), (3, "c", 1)]
+    rows = [(4, "p", 1)] * 3 + [(4, "p", 0), (4, "q", 0), (9, "q", 0), (9, "q", 0), (5, "r", 1)]
     df = spark.createDataFrame(rows, "x int, c string, y int").withColumn("dataset", F.lit("d"))
     row = audit.duplicate_audit(LabelledFrame(df, ("x",), ("c",))).first()
-    assert row["duplicate_feature_rows"] == 4 and row["duplicate_feature_groups"] == 2
-    assert row["exact_duplicate_rows"] == 2 and row["exact_duplicate_groups"] == 1
-    assert row["conflicting_target_signature_rows"] == 2
+    assert row["duplicate_feature_rows"] == 6 and row["duplicate_feature_groups"] == 2
+    assert row["exact_duplicate_rows"] == 5 and row["exact_duplicate_groups"] == 2
+    assert row["conflicting_target_signature_rows"] == 4
     assert row["conflicting_target_signature_groups"] == 1
 
 
@@ -81,18 +88,18 @@ def test_missing_cells_keep_signatures_apart(spark):
 
 
 def test_labelled_from_raw_table(spark):
-    rows = [(20.0, "a", 1, "good"), (None, None, 2, "bad"), (40.0, "b", 3, "good")]
-    df = spark.createDataFrame(rows, "age double, category string, id int, class string")
-    lf = labelled(df, "class", "bad", "demo", row_id=("id",))
-    assert (lf.numeric, lf.categorical) == (("age",), ("category",))
-    assert [r["y"] for r in lf.df.orderBy("row_id").collect()] == [0, 1, 0]
-    summary = profile.load_summary(lf, "bad", "good").first()
-    assert summary["class_counts"] == {"good": 2, "bad": 1}
+    rows = [("n1", 0.5, "x", "late"), ("n2", None, "y", "early"), ("n3", 3.5, None, "late")]
+    df = spark.createDataFrame(rows, "node string, delay double, line string, arrival string")
+    lf = labelled(df, "arrival", "late", "trains", row_id=("node",))
+    assert (lf.numeric, lf.categorical) == (("delay",), ("line",))
+    assert [r["y"] for r in lf.df.orderBy("row_id").collect()] == [1, 0, 1]
+    summary = profile.load_summary(lf, "late", "early").first()
+    assert summary["class_counts"] == {"late": 2, "early": 1}
     with pytest.raises(ValueError, match="does not exist"):
-        labelled(df, "label")
+        labelled(df, "departure")
 
 
 def test_plan_has_no_expand_and_hashes(spark):
-    plan = profile.characterize(LabelledFrame(_frame(spark), ("age",), ("category",)))
+    plan = profile.characterize(LabelledFrame(_frame(spark), ("girth",), ("kind", "side")))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in text and "SortAggregate" not in text

@@ -9,28 +9,28 @@ ENTRY = """
 [[datasets]]
 name = "{name}"
 openml_id = {id}
-version = 1
-md5_checksum = "m"
-source_url = ""
+version = 6
+md5_checksum = "c0ffee"
+source_url = "https://data.example/{name}"
 original_source_url = ""
-license = "Public"
-family = "f"
+license = "CC0"
+family = "boats"
 clinical = {clinical}
-target = "class"
+target = "afloat"
 positive_class = "{positive}"
-class_labels = ["bad", "good"]
-expected_rows = 4
-numeric_features = ["age"]
-categorical_features = ["{category}"]
-excluded_features = ["record_id"]
+class_labels = ["no", "yes"]
+expected_rows = 5
+numeric_features = ["length", "draught"]
+categorical_features = ["{hull}"]
+excluded_features = ["harbour"]
 split_strategy = "stratified"
 split_notes = ""
-selection_reason = ""
+selection_reason = "a test"
 """
 
 
 def _file(tmp_path, *entries, version=1):
-    good = dict(name="one", id=1, clinical="false", positive="bad", category="category")
+    good = dict(name="skiff", id=71, clinical="false", positive="yes", hull="hull")
     path = tmp_path / "datasets.toml"
     body = "".join(ENTRY.format(**{**good, **e}) for e in entries)
     path.write_text(f"schema_version = {version}\n{body}")
@@ -38,24 +38,25 @@ def _file(tmp_path, *entries, version=1):
 
 
 def test_listing_and_general(spark, tmp_path):
-    path = _file(tmp_path, {}, {"name": "two", "id": 2, "clinical": "true"})
+    path = _file(tmp_path, {"name": "yawl", "id": 72}, {"name": "ward", "id": 73, "clinical": "true"})
     entries = registry.read_registry(spark, path)
-    assert registry.listing(entries).orderBy("name").first()["n_features"] == 2
-    assert [r["name"] for r in registry.all_general(entries).collect()] == ["one"]
-    asked = spark.createDataFrame([("one",), ("two",), ("three",)], "name string")
+    assert {r["n_features"] for r in registry.listing(entries).collect()} == {3}
+    assert [r["name"] for r in registry.all_general(entries).collect()] == ["yawl"]
+    asked = spark.createDataFrame([("ward",), ("raft",), ("yawl",)], "name string")
     found = {r["name"]: r["request"] for r in registry.select_requested(entries, asked).collect()}
-    assert found == {"one": "known", "two": "clinical", "three": "unknown"}
+    assert found == {"ward": "clinical", "raft": "unknown", "yawl": "known"}
 
 
 @pytest.mark.parametrize(
     "entries",
     [
-        [{"positive": "unknown"}],
-        [{"category": "age"}],
-        [{"category": "class"}],
-        [{"clinical": '"false"'}],
-        [{}, {"name": "two"}],
-        [{}, {"id": 2}],
+        [{"positive": "perhaps"}],
+        [{"hull": "draught"}],
+        [{"hull": "harbour"}],
+        [{"hull": "afloat"}],
+        [{"clinical": "1"}],
+        [{}, {"id": 99}],
+        [{"name": "yawl"}, {"name": "ketch"}],
         [],
     ],
 )
@@ -69,21 +70,22 @@ def test_refused_registries(spark, tmp_path, entries):
 def test_contract_on_a_landed_table(spark, tmp_path):
     entries = registry.read_registry(spark, _file(tmp_path, {}))
     manifest = spark.createDataFrame(
-        [("one", 1, 1, "m")],
+        [("skiff", 71, 6, "c0ffee")],
         "name string, openml_id_found long, version_found long, md5_checksum_found string",
     )
+    landed = ("length", "draught", "hull", "harbour")
 
-    def status(rows, columns=("age", "category", "record_id"), man=manifest):
-        frame = spark.createDataFrame([("one", r) for r in rows], "name string, label string")
-        labels = registry.observed_labels(frame, entries, "label")
-        return registry.contract_status(
-            entries, man, labels, columns, ("age", "record_id"), "class"
-        ).first()["status"]
+    def status(labels, columns=landed, man=manifest):
+        frame = spark.createDataFrame([("skiff", x) for x in labels], "name string, label string")
+        seen = registry.observed_labels(frame, entries, "label")
+        numeric = ("length", "draught", "harbour")
+        return registry.contract_status(entries, man, seen, columns, numeric, "afloat").first()["status"]
 
-    assert status(["good", "bad", "good", "bad"]) == "ok"
-    assert status(["good", "bad", "good"]) == "row_count"
-    assert status(["good", "bad", "good", None]) == "missing_target"
-    assert status(["good", "bad", "good", "odd"]) == "classes"
-    assert status(["good", "bad", "good", "bad"], ("age", "record_id")) == "columns"
-    drifted = manifest.withColumn("md5_checksum_found", F.lit("x"))
-    assert status(["good", "bad", "good", "bad"], man=drifted) == "identity_mismatch"
+    mixed = ["yes", "yes", "no", "yes", "no"]
+    assert status(mixed) == "ok"
+    assert status([*mixed, "no"]) == "row_count"
+    assert status([None, *mixed[1:]]) == "missing_target"
+    assert status(["maybe", *mixed[1:]]) == "classes"
+    assert status(mixed, landed[1:]) == "columns"
+    older = manifest.withColumn("version_found", F.lit(5))
+    assert status(mixed, man=older) == "identity_mismatch"
