@@ -1,622 +1,534 @@
-"""Admission of recorded benchmark runs: strict evidence rules and the duplicate policy.
+"""Admission of recorded benchmark runs: evidence rules and the duplicate policy.
 
-A parsed artifact is cast once to a nested struct whose leaves stay VARIANT, so that every leaf
-keeps its JSON type. Each rule is a SQL expression over that struct: NULL when satisfied, else a
-"path: reason" text. Rules are tried in document order with ``coalesce``, so an artifact carries
-the first rule it breaks. An artifact is validated within its own row, without a shuffle; only
-the duplicate policy groups artifacts, by claimed name or source id.
+A parsed record is cast once to a nested struct whose leaves stay VARIANT, so that every leaf keeps its
+JSON type. It is then opened level by level: record, outer splits, the two families, their trials. On
+each level the rules are plain columns, and the first broken one is a small struct of its position in the
+document, its place and a code. The smallest struct of a record is its reason, so records are grouped
+once, by path, after a map-side minimum.
+
+Codes: ``missing``, ``wrong_kind``, ``out_of_range`` (or no number at all), ``unexpected_value``,
+``unexpected_keys``, ``incomplete`` (a list that is not the whole numbered list), ``inconsistent`` (a value
+that does not follow from others), ``error_recorded`` and ``too_large``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..protocol import FULL, SMOKE, Protocol, candidates
+from ..protocol import BASELINE, FULL, SMOKE, Protocol
 from ..session import stored
 from ..sources import artifacts as A
+from .trials import candidate_table
 
 REPORT_VERSION = 1
 DUPLICATE_POLICY = "reject all same-mode claims sharing dataset name or OpenML ID (any version)"
-_META_MEAN = "meta_features_mean_over_outer_training_partitions"
+
+_MEANS = "meta_features_mean_over_outer_training_partitions"
 
 
-def _leaves(*names: str) -> str:
-    return ", ".join(f"{n}: variant" for n in names)
+def _struct(leaves: str, **nested: str) -> str:
+    parts = [f"{name}: variant" for name in leaves.split()]
+    parts += [f"{name}: {kind}" for name, kind in nested.items()]
+    return f"struct<{', '.join(parts)}>"
 
 
-_SCORES = f"struct<{_leaves('balanced_accuracy', 'roc_auc')}>"
-_FOLD = f"struct<{_leaves('fold', 'balanced_accuracy', 'roc_auc')}>"
-_TRIAL = (
-    f"struct<{_leaves('candidate_order', 'status', 'mean_balanced_accuracy', 'mean_roc_auc')}, "
-    f"{_leaves('fit_seconds', 'error')}, params: map<string, variant>, "
-    f"folds: array<{_FOLD}>, convergence_warnings: array<variant>>"
+_MAP = "map<string, variant>"
+_SCORES = "balanced_accuracy roc_auc"
+_TRIAL = _struct(
+    "candidate_order status mean_balanced_accuracy mean_roc_auc fit_seconds error",
+    params=_MAP,
+    folds=f"array<{_struct('fold ' + _SCORES)}>",
+    convergence_warnings="array<variant>",
 )
-_FAMILY = (
-    f"struct<{_leaves('family', 'model', 'all_trials_completed', 'search_seconds')}, "
-    f"{_leaves('refit_seconds', 'selected_candidate_order', 'inner_balanced_accuracy', 'error')}, "
-    f"trials: array<{_TRIAL}>, refit_convergence_warnings: array<variant>, "
-    f"preprocessing_folds: array<struct<{_leaves('fold', 'n_encoded_features')}, "
-    f"{_leaves('train_dense_bytes', 'validation_dense_bytes')}>>, "
-    f"best_params: map<string, variant>, outer_scores: {_SCORES}, final_preprocessing: "
-    f"struct<{_leaves('n_encoded_features', 'train_dense_bytes', 'test_dense_bytes')}>>"
+_FAMILY = _struct(
+    "family model all_trials_completed search_seconds refit_seconds selected_candidate_order "
+    "inner_balanced_accuracy error",
+    trials=f"array<{_TRIAL}>",
+    refit_convergence_warnings="array<variant>",
+    preprocessing_folds=(
+        f"array<{_struct('fold n_encoded_features train_dense_bytes validation_dense_bytes')}>"
+    ),
+    best_params=_MAP,
+    outer_scores=_struct(_SCORES),
+    final_preprocessing=_struct("n_encoded_features train_dense_bytes test_dense_bytes"),
 )
-_SPLIT = (
-    f"struct<{_leaves('outer_seed', 'train_rows', 'test_rows', 'paired_success', C.GAP)}, "
-    f"meta_features: map<string, variant>, families: map<string, {_FAMILY}>>"
+_SPLIT = _struct(
+    f"outer_seed train_rows test_rows paired_success {C.GAP}",
+    meta_features=_MAP,
+    families=f"map<string, {_FAMILY}>",
 )
-ARTIFACT_TYPE = (
-    f"struct<{_leaves('project', 'research_valid', 'status', 'status_note')}, "
-    f"dataset: struct<{_leaves('name', 'openml_id', 'version', 'family', 'clinical')}>, "
-    f"protocol: map<string, variant>, outer_splits: array<{_SPLIT}>, "
-    f"aggregate: struct<{_leaves(C.SCORE_GBDT, C.SCORE_DNN, C.GAP)}, "
-    f"{_leaves('actual_best_pipeline', 'near_tie_within_margin')}, "
-    f"{_META_MEAN}: map<string, variant>>>"
+RECORD_TYPE = _struct(
+    "project research_valid status status_note",
+    dataset=_struct("name openml_id version family clinical"),
+    protocol=_MAP,
+    outer_splits=f"array<{_SPLIT}>",
+    aggregate=_struct(
+        f"{C.SCORE_GBDT} {C.SCORE_DNN} {C.GAP} actual_best_pipeline near_tie_within_margin",
+        **{_MEANS: _MAP},
+    ),
 )
 
 
-# --- SQL of typed access ----------------------------------------------------------------
+# --- what a leaf may be -----------------------------------------------------------------
 
 
-def _kind(v: str) -> str:
-    return f"schema_of_variant({v})"
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
 
 
-def _is_number(v: str) -> str:
-    return f"left({_kind(v)}, 5) IN ('BIGIN', 'DOUBL', 'FLOAT', 'DECIM')"
+def _text(v: Column) -> Column:
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _as(v: str, kind: str) -> str:
-    return f"try_variant_get({v}, '$', '{kind}')"
+def _flag(v: Column) -> Column:
+    return F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
 
 
-def _sql(value) -> str:
-    """SQL literal of a Python value."""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, str):
-        return "'" + value.replace("'", "\\'") + "'"
-    if isinstance(value, int):
-        return f"{value}L"
-    if isinstance(value, float):
-        return {"inf": "double('Infinity')", "-inf": "double('-Infinity')"}.get(
-            str(value), f"double('{value!r}')"
-        )
-    return "array(" + ", ".join(_sql(v) for v in value) + ")"
+def _whole(v: Column) -> Column:
+    """The value of an exact integer, else NULL."""
+    return F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
 
 
-# --- elementary rules -------------------------------------------------------------------
+def _real(v: Column) -> Column:
+    """The value of a number, else NULL; booleans and texts are no numbers."""
+    return F.when(_kind(v).rlike("^(BIGINT|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double")).when(
+        _kind(v) == "DOUBLE", F.try_variant_get(v, "$", "double")
+    )
 
 
-def _rule(holds: str, path: str, reason: str) -> str:
-    reason = reason.replace("'", "\\'")
-    return f"CASE WHEN coalesce({holds}, false) THEN NULL ELSE concat({path}, ': {reason}') END"
+def _within(value: Column, low: float, high: float = float("inf")) -> Column:
+    return (value >= low) & (value <= high) & (F.abs(value) < float("inf"))
 
 
-def _first(*rules: str) -> str:
-    return f"coalesce({', '.join(rules)})"
+def _counts(value: Column, low: int = 1) -> Column:
+    return value.between(low, C.MAX_EXACT_INTEGER)
 
 
-def _first_of(array: str, element: str, index: str, rule: str) -> str:
-    """First broken rule over the elements of an array."""
-    found = f"filter(transform({array}, ({element}, {index}) -> {rule}), r -> r IS NOT NULL)"
-    return f"try_element_at({found}, 1)"
+def _close(value: Column, expected: Column) -> Column:
+    return F.abs(value - expected) <= C.ARITHMETIC_TOLERANCE
 
 
-def _under(path: str, *more: str) -> str:
-    """Path expression extended by SQL text pieces."""
-    return f"concat({path}, {', '.join(more)})"
+def _mean(values: Column, count: int) -> Column:
+    """Left-to-right sum over a short array, then divided: exact ties stay ties."""
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / F.lit(float(count))
 
 
-def _field(path: str, name: str) -> str:
-    return _under(path, f"'.{name}'")
+def _all(items: Column, holds) -> Column:
+    """Whether something holds for every item; NULL counts as broken."""
+    return F.forall(items, lambda x: F.coalesce(holds(x), F.lit(False)))
 
 
-def _item(path: str, index: str) -> str:
-    return _under(path, "'['", f"string({index})", "']'")
+def _all_numbered(items: Column, holds) -> Column:
+    """The same for a condition on an item and its position."""
+    return _all(F.transform(items, lambda x, i: holds(x, i)), lambda h: h)
 
 
-def _present(value: str, path: str) -> str:
-    return _rule(f"{value} IS NOT NULL", path, "required object")
+def _equals(v: Column, expected) -> Column:
+    """Typed equality with a value of the protocol."""
+    if isinstance(expected, bool):
+        return _flag(v) == F.lit(expected)
+    if isinstance(expected, str):
+        return _text(v) == F.lit(expected)
+    if isinstance(expected, int):
+        return _whole(v) == F.lit(expected).cast("bigint")
+    if isinstance(expected, float):
+        return _real(v) == F.lit(expected)
+    return _integers(v) == F.array(*[F.lit(x).cast("bigint") for x in expected])
 
 
-def _number(v: str, path: str, low: float = 0.0, high: float = float("inf")) -> str:
-    number = _as(v, "double")
-    inside = f"abs({number}) < double('Infinity')"
-    if low > float("-inf"):
-        inside += f" AND {number} >= {_sql(float(low))}"
-    if high < float("inf"):
-        inside += f" AND {number} <= {_sql(float(high))}"
-    typed = f"coalesce({_is_number(v)}, false)"
-    return (
-        f"CASE WHEN coalesce({_is_number(v)} AND {inside}, false) THEN NULL "
-        f"WHEN NOT {typed} THEN concat({path}, ': required numeric value (not bool)') "
-        f"ELSE concat({path}, ': required finite value in [{low}, {high}]') END"
-    )
+def _integers(v: Column) -> Column:
+    return F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _whole(x))
 
 
-def _integer(v: str, path: str, low: int = 0) -> str:
-    """An integer too large for BIGINT parses to another type; it is reported as not finite."""
-    whole = f"{_as(v, 'bigint')} BETWEEN {low} AND {C.MAX_EXACT_INTEGER}"
-    huge = f"{_is_number(v)} AND abs({_as(v, 'double')}) > {_sql(float(C.MAX_EXACT_INTEGER))}"
-    return (
-        f"CASE WHEN coalesce({_kind(v)} = 'BIGINT' AND {whole}, false) THEN NULL "
-        f"WHEN {huge} THEN concat({path}, ': required finite value below 2^53') "
-        f"ELSE concat({path}, ': required integer >= {low}') END"
-    )
+def _keys(m: Column) -> Column:
+    return F.array_sort(F.map_keys(m))
 
 
-def _same(v: str, expected, path: str) -> str:
-    """Exact typed equality with a Python scalar or list of integers."""
-    reason = f"expected {expected!r}"
-    if isinstance(expected, bool):
-        holds = f"{_kind(v)} = 'BOOLEAN' AND {_as(v, 'boolean')} = {_sql(expected)}"
-        return _rule(holds, path, reason)
-    if isinstance(expected, str):
-        holds = f"{_kind(v)} = 'STRING' AND {_as(v, 'string')} = {_sql(expected)}"
-        return _rule(holds, path, reason)
-    if isinstance(expected, (list, tuple)):
-        return _same_integers(v, _sql(list(expected)), path)
-    if isinstance(expected, int):
-        return _same_long(v, _sql(expected), path, reason)
-    return _first(
-        _number(v, path, float("-inf")),
-        _rule(f"{_as(v, 'double')} = {_sql(expected)}", path, reason),
-    )
+def _sorted_names(names) -> Column:
+    return F.array(*[F.lit(n) for n in sorted(names)])
 
 
-def _same_long(v: str, expected: str, path: str, reason: str = "identity mismatch") -> str:
-    return _first(_integer(v, path), _rule(f"{_as(v, 'bigint')} = {expected}", path, reason))
+# --- rules ------------------------------------------------------------------------------
 
 
-def _same_integers(v: str, expected: str, path: str) -> str:
-    items = _as(v, "array<variant>")
-    return _first(
-        _rule(f"size({items}) = size({expected})", path, "identity length mismatch"),
-        _first_of(items, "n", "_n", _integer("n", path)),
-        _rule(
-            f"transform({items}, n -> {_as('n', 'bigint')}) = {expected}",
-            path,
-            "identity mismatch",
-        ),
-    )
+@dataclass(frozen=True)
+class Rule:
+    """A condition that must hold; NULL counts as broken."""
 
+    place: str
+    code: str
+    holds: Column
 
-def _keys(map_value: str) -> str:
-    return f"array_sort(map_keys({map_value}))"
 
+def _first_broken(rules: list[Rule]) -> Column:
+    """Number of the first broken rule, NULL if all hold."""
+    return F.coalesce(
+        *[F.when(~F.coalesce(r.holds, F.lit(False)), F.lit(k)) for k, r in enumerate(rules)]
+    )
 
-def _same_keys(map_value: str, names, path: str, reason: str = "identity keys mismatch") -> str:
-    return _rule(f"{_keys(map_value)} = {_sql(sorted(names))}", path, reason)
 
+def _reasons(rules: list[Rule]) -> Column:
+    """Place and code of the rule whose number is in ``first.rule``."""
+    texts = F.array(*[F.lit(f"{r.place}: {r.code}") for r in rules])
+    return F.get(texts, F.col("first.rule"))
 
-def _arithmetic(
-    v: str, expected: str, path: str, low: float = 0.0, high: float = float("inf")
-) -> str:
-    close = f"abs({_as(v, 'double')} - {expected}) <= {_sql(C.ARITHMETIC_TOLERANCE)}"
-    return _first(_number(v, path, low, high), _rule(close, path, "arithmetic mismatch"))
 
+def _seconds(place: str, v: Column) -> Rule:
+    return Rule(place, "out_of_range", _within(_real(v), 0.0))
 
-def _null_error(v: str, path: str) -> str:
-    return _rule(f"is_variant_null({v})", path, "success needs a null error")
 
+def _score(place: str, v: Column) -> Rule:
+    return Rule(place, "out_of_range", _within(_real(v), 0.0, 1.0))
 
-def _warnings(array: str, path: str) -> str:
-    texts = f"forall({array}, w -> coalesce({_kind('w')} = 'STRING', false))"
-    return _rule(texts, path, "required array of warning strings")
 
+def _texts(place: str, items: Column) -> Rule:
+    return Rule(place, "wrong_kind", _all(items, lambda w: _kind(w) == "STRING"))
 
-def _ordered(array: str, count: int, key: str, path: str) -> str:
-    """A complete array whose entries are objects numbered 0.. in ``key``."""
-    where = _item(path, "q")
-    entry = _first(
-        _present("o", where), _same_long(f"o.{key}", "bigint(q)", _field(where, key))
-    )
-    return _first(
-        _rule(f"size({array}) = {count}", path, f"required complete array of {count} entries"),
-        _first_of(array, "o", "q", entry),
-    )
 
+def _numbered(place: str, items: Column, count: int, key: str) -> Rule:
+    """A list of ``count`` objects that carry their own positions."""
+    positions = F.transform(items, lambda o: _whole(o[key]))
+    wanted = F.array(*[F.lit(k).cast("bigint") for k in range(count)])
+    return Rule(place, "incomplete", positions == wanted)
 
-def _matrix(value: str, sizes: dict[str, str], limit: int, path: str) -> str:
-    """bytes = rows x width x 8, within the limit; products in double, exact below 2^53."""
-    width = f"{value}.n_encoded_features"
-    rules = [_present(value, path), _integer(width, _field(path, "n_encoded_features"), 1)]
-    for name, rows in sizes.items():
-        size, where = f"{value}.{name}", _field(path, name)
-        exact = f"double({rows}) * {_as(width, 'double')} * {C.FLOAT_BYTES}"
-        rules.append(_integer(size, where, 1))
-        rules.append(
-            _rule(
-                f"{_as(size, 'double')} = {exact} AND {_as(size, 'bigint')} <= {limit}",
-                where,
-                "dense float64 matrix size/limit mismatch",
-            )
-        )
-    return _first(*rules)
 
+def _fits(m: Column, sizes: dict[str, Column]) -> Column:
+    """Bytes of a dense matrix are rows times columns times 8."""
+    width = _whole(m["n_encoded_features"])
+    holds = _counts(width)
+    for name, rows in sizes.items():
+        exact = rows.cast("double") * width.cast("double") * C.FLOAT_BYTES
+        holds = holds & (_whole(m[name]).cast("double") == exact)
+    return holds
 
-def _mean(doubles: str, count: int) -> str:
-    """Left-to-right sum of a short array, then divided: exact ties stay ties."""
-    return f"(aggregate({doubles}, double(0), (total, term) -> total + term) / {count})"
 
+def _small(m: Column, sizes: dict[str, Column], limit: int) -> Column:
+    return reduce(lambda a, b: a & b, [_whole(m[name]) <= limit for name in sizes])
 
-def _winner(gap: str) -> str:
-    return f"CASE WHEN {gap} > 0 THEN 'DNN' ELSE 'GBDT' END"
 
+def _same_params(given: Column, wanted: Column) -> Column:
+    """Parameters of the family of the row, each of its own kind and nothing else."""
+    cases = []
+    for family, shape in BASELINE.items():
+        holds = _keys(given) == _sorted_names(shape)
+        for name, example in shape.items():
+            v, read = given[name], _real
+            if isinstance(example, tuple):
+                read = _integers
+            elif isinstance(example, int):
+                read = _whole
+            holds = holds & (read(v) == wanted[name])
+        cases.append(F.when(F.col("family") == family, holds))
+    return F.coalesce(*cases)
 
-# --- document parts ---------------------------------------------------------------------
 
+# --- levels of a record -----------------------------------------------------------------
 
-def _descriptors(m: str, train: str, folds: int, path: str) -> str:
-    def at(name: str) -> str:
-        return f"{m}['{name}']"
 
-    minority = _as(at("minority_class_fraction"), "double")
-    minority_rows = f"bround({minority} * {train})"
-    where = {name: _field(path, name) for name in C.DESCRIPTORS}
+def _header_rules(r: Column, p: Protocol, project: str) -> list[Rule]:
+    data, protocol = r["dataset"], r["protocol"]
     rules = [
-        _present(m, path),
-        _rule(
-            f"size(array_except({_sql(C.DESCRIPTORS)}, map_keys({m}))) = 0",
-            path,
-            "missing outer-training descriptors",
-        ),
-        _rule(
-            f"NOT arrays_overlap({_sql(C.RESERVED_ROW_FIELDS)}, map_keys({m}))",
-            path,
-            "descriptor collides with row metadata/outcomes",
-        ),
-        _rule(f"NOT array_contains(map_keys({m}), '')", path, "descriptor keys must be strings"),
-        _first_of(
-            f"map_entries({m})",
-            "d",
-            "_d",
-            _number("d.value", _under(path, "'.'", "d.key"), float("-inf")),
-        ),
-    ]
-    rules += [_integer(at(n), where[n], 1) for n in ("n_samples", "n_features", "n_classes")]
-    rules += [
-        _same_long(at("n_samples"), train, where["n_samples"]),
-        _same(at("n_classes"), 2, where["n_classes"]),
-        _arithmetic(
-            at("samples_per_feature"),
-            f"try_divide({train}, {_as(at('n_features'), 'double')})",
-            where["samples_per_feature"],
-        ),
+        Rule("project", "unexpected_value", _equals(r["project"], project)),
+        Rule("dataset", "missing", data.isNotNull()),
     ]
-    rules += [
-        _number(at(n), where[n], 0, 1) for n in sorted(C.DESCRIPTORS) if n.endswith("_fraction")
-    ]
-    name = "minority_class_fraction"
-    rules += [
-        _number(at(name), where[name], 0, 0.5),
-        _rule(
-            f"{minority_rows} >= {folds}", path, "minority class must support every inner fold"
-        ),
-        _arithmetic(at(name), f"try_divide({minority_rows}, {train})", where[name], 0, 0.5),
-        # From counts: a ratio of rounded fractions loses too much at strong imbalance.
-        _arithmetic(
-            at("imbalance_ratio"),
-            f"try_divide({train} - {minority_rows}, {minority_rows})",
-            where["imbalance_ratio"],
-            1,
-        ),
+    for name in ("name", "family"):
+        rules.append(Rule(f"dataset.{name}", "missing", _text(data[name]).rlike(r"(?U)\S")))
+    for name in ("openml_id", "version"):
+        rules.append(Rule(f"dataset.{name}", "out_of_range", _counts(_whole(data[name]))))
+    rules.append(Rule("dataset.clinical", "wrong_kind", _flag(data["clinical"]).isNotNull()))
+    expected = p.as_record()
+    rules.append(Rule("protocol", "unexpected_keys", _keys(protocol) == _sorted_names(expected)))
+    for name, value in expected.items():
+        rules.append(Rule(f"protocol.{name}", "unexpected_value", _equals(protocol[name], value)))
+    return [
+        *rules,
+        Rule("status", "unexpected_value", _equals(r["status"], "success")),
+        Rule("research_valid", "unexpected_value", _equals(r["research_valid"], p.name == "full")),
+        Rule("status_note", "wrong_kind", _text(r["status_note"]).isNotNull()),
+        Rule("outer_splits", "incomplete", F.size(r["outer_splits"]) == len(p.outer_seeds)),
     ]
-    return _first(*rules)
-
-
-def _params(m: str, expected: str, shape: dict, path: str) -> str:
-    """Parameters equal to the struct of one candidate, typed and with no other keys."""
-    rules = [_present(m, path), _same_keys(m, shape, path)]
-    for name, sample in shape.items():
-        v, want, where = f"{m}['{name}']", f"{expected}.{name}", _field(path, name)
-        if isinstance(sample, tuple):
-            rules.append(_same_integers(v, want, where))
-        elif isinstance(sample, int):
-            rules.append(_same_long(v, want, where))
-        else:
-            rules.append(_number(v, where, float("-inf")))
-            rules.append(_rule(f"{_as(v, 'double')} = {want}", where, "identity mismatch"))
-    return _first(*rules)
 
 
-def _candidate_literals(p: Protocol, family: str) -> tuple[str, dict]:
-    """SQL array of the canonical parameter structs, and one example for its shape."""
-    drawn = candidates(family, p.candidate_count, p.tuning_seed)
-    structs = []
-    for params in drawn:
-        fields = ", ".join(f"{_sql(v)} AS {k}" for k, v in params.items())
-        structs.append(f"struct({fields})")
-    return f"array({', '.join(structs)})", drawn[0]
+def _outer(split: Column, family: str) -> Column:
+    return _real(split["families"][family]["outer_scores"]["balanced_accuracy"])
 
 
-def _fold_doubles(trial: str, metric: str) -> str:
-    return f"transform({trial}.folds, g -> {_as(f'g.{metric}', 'double')})"
+def _closing_rules(r: Column, p: Protocol) -> list[Rule]:
+    """What must agree over the splits, and the means and the winner."""
+    splits, a, n = r["outer_splits"], r["aggregate"], len(p.outer_seeds)
 
+    def agrees(value) -> Rule:
+        return Rule("outer_splits", "inconsistent", F.size(F.array_distinct(F.transform(splits, value))) == 1)
 
-def _trial(t: str, index: str, literal: str, shape: dict, k: int, path: str) -> str:
-    where = _item(path, index)
-    expected = f"try_element_at({literal}, {index} + 1)"
-    rules = [
-        _params(f"{t}.params", expected, shape, _field(where, "params")),
-        _same(f"{t}.status", "success", _field(where, "status")),
-        _null_error(f"{t}.error", _field(where, "error")),
-        _number(f"{t}.fit_seconds", _field(where, "fit_seconds")),
-        _warnings(f"{t}.convergence_warnings", _field(where, "convergence_warnings")),
-        _ordered(f"{t}.folds", k, "fold", _field(where, "folds")),
-    ]
-    for metric in ("balanced_accuracy", "roc_auc"):
-        score_path = _field(_item(_field(where, "folds"), "x"), metric)
-        rules += [
-            _first_of(f"{t}.folds", "f", "x", _number(f"f.{metric}", score_path, 0, 1)),
-            _arithmetic(
-                f"{t}.mean_{metric}",
-                _mean(_fold_doubles(t, metric), k),
-                _field(where, f"mean_{metric}"),
-                0,
-                1,
-            ),
-        ]
-    return _first(*rules)
-
+    trees = _mean(F.transform(splits, lambda s: _outer(s, "GBDT")), n)
+    net = _mean(F.transform(splits, lambda s: _outer(s, "DNN")), n)
+    gap, means, place = net - trees, a[_MEANS], f"aggregate.{_MEANS}"
 
-def _fold_rows(train: str, fold: str, k: int) -> str:
-    return f"({train} div {k} + bigint({fold} < {train} % {k}))"
+    def follows(e: Column) -> Column:
+        own = F.transform(splits, lambda s: _real(s["meta_features"][e["key"]]))
+        return _close(_real(e["value"]), _mean(own, n))
 
-
-def _family(v: str, family: str, p: Protocol, train: str, test: str, path: str) -> str:
-    k = p.inner_folds
-    literal, shape = _candidate_literals(p, family)
-    score = _mean(_fold_doubles("t", "balanced_accuracy"), k)
-    best = f"array_max(transform({v}.trials, (t, j) -> struct({score} AS m, -j AS tie)))"
-    selected = "(-b.tie)"
-    choice = _first(
-        _same_long(
-            f"{v}.selected_candidate_order", selected, _field(path, "selected_candidate_order")
-        ),
-        _params(
-            f"{v}.best_params",
-            f"try_element_at({literal}, {selected} + 1)",
-            shape,
-            _field(path, "best_params"),
-        ),
-        _arithmetic(
-            f"{v}.inner_balanced_accuracy", "b.m", _field(path, "inner_balanced_accuracy"), 0, 1
-        ),
-    )
-    held = _fold_rows(train, "j", k)
-    rules = [
-        _present(v, path),
-        _same(f"{v}.family", family, _field(path, "family")),
-        _same(f"{v}.model", C.MODEL_OF_FAMILY[family], _field(path, "model")),
-        _same(f"{v}.all_trials_completed", True, _field(path, "all_trials_completed")),
-        _null_error(f"{v}.error", _field(path, "error")),
-        _number(f"{v}.search_seconds", _field(path, "search_seconds")),
-        _number(f"{v}.refit_seconds", _field(path, "refit_seconds")),
-        _warnings(f"{v}.refit_convergence_warnings", _field(path, "refit_convergence_warnings")),
-        _ordered(f"{v}.preprocessing_folds", k, "fold", _field(path, "preprocessing_folds")),
-        _first_of(
-            f"{v}.preprocessing_folds",
-            "e",
-            "j",
-            _matrix(
-                "e",
-                {"train_dense_bytes": f"({train} - {held})", "validation_dense_bytes": held},
-                p.matrix_limit_bytes,
-                _item(_field(path, "preprocessing_folds"), "j"),
-            ),
+    return [
+        agrees(lambda s: _whole(s["train_rows"])),
+        agrees(lambda s: _whole(s["test_rows"])),
+        agrees(lambda s: _whole(s["meta_features"]["n_features"])),
+        Rule(f"aggregate.{C.SCORE_GBDT}", "inconsistent", _close(_real(a[C.SCORE_GBDT]), trees)),
+        Rule(f"aggregate.{C.SCORE_DNN}", "inconsistent", _close(_real(a[C.SCORE_DNN]), net)),
+        Rule(f"aggregate.{C.GAP}", "inconsistent", _close(_real(a[C.GAP]), gap)),
+        Rule(
+            "aggregate.actual_best_pipeline",
+            "inconsistent",
+            _text(a["actual_best_pipeline"]) == F.when(gap > 0, "DNN").otherwise("GBDT"),
         ),
-        _ordered(f"{v}.trials", p.candidate_count, "candidate_order", _field(path, "trials")),
-        _first_of(
-            f"{v}.trials", "t", "j", _trial("t", "j", literal, shape, k, _field(path, "trials"))
+        Rule(
+            "aggregate.near_tie_within_margin",
+            "inconsistent",
+            _flag(a["near_tie_within_margin"]) == (F.abs(gap) <= p.recommendation_margin),
         ),
-        _first_of(f"array({best})", "b", "_b", choice),
-        _matrix(
-            f"{v}.final_preprocessing",
-            {"train_dense_bytes": train, "test_dense_bytes": test},
-            p.matrix_limit_bytes,
-            _field(path, "final_preprocessing"),
+        Rule(
+            place, "unexpected_keys", _all(splits, lambda s: _keys(means) == _keys(s["meta_features"]))
         ),
-        _present(f"{v}.outer_scores", _field(path, "outer_scores")),
-    ]
-    rules += [
-        _number(f"{v}.outer_scores.{m}", _field(_field(path, "outer_scores"), m), 0, 1)
-        for m in ("balanced_accuracy", "roc_auc")
+        Rule(place, "inconsistent", _all(F.map_entries(means), follows)),
     ]
-    return _first(*rules)
-
 
-def _outer_score(split: str, family: str) -> str:
-    return _as(f"{split}.families['{family}'].outer_scores.balanced_accuracy", "double")
 
-
-def _split(s: str, i: str, p: Protocol) -> str:
-    path = _item("'outer_splits'", i)
-    seeds = _sql(list(p.outer_seeds))
-    train, test = _as(f"{s}.train_rows", "bigint"), _as(f"{s}.test_rows", "bigint")
+def _split_rules(s: Column, seed: Column, p: Protocol) -> list[Rule]:
+    m, place = s["meta_features"], ".meta_features"
+    train, test = F.col("train"), F.col("test")
+    real = {d: _real(m[d]) for d in C.DESCRIPTORS}
+    names = F.map_keys(m)
+    # Fractions are rounded counts, so ratios are taken from the counts they stand for.
+    fewer = F.col("fewer")
     rules = [
-        _present(s, path),
-        _same_long(
-            f"{s}.outer_seed", f"try_element_at({seeds}, {i} + 1)", _field(path, "outer_seed")
-        ),
-        _integer(f"{s}.train_rows", _field(path, "train_rows"), p.inner_folds * 2),
-        _integer(f"{s}.test_rows", _field(path, "test_rows"), 2),
-        _rule(
-            f"{test} = ceil(({train} + {test}) * {_sql(p.test_size)})",
-            path,
-            "outer holdout row counts mismatch",
-        ),
-        _same(f"{s}.paired_success", True, _field(path, "paired_success")),
-        _descriptors(f"{s}.meta_features", train, p.inner_folds, _field(path, "meta_features")),
-        _same_keys(
-            f"{s}.families", C.FAMILIES, _field(path, "families"), "required both families"
-        ),
+        Rule(".outer_seed", "unexpected_value", _whole(s["outer_seed"]) == seed),
+        Rule(".train_rows", "out_of_range", _counts(train, 2 * p.inner_folds)),
+        Rule(".test_rows", "out_of_range", _counts(test, 2)),
+        Rule(".test_rows", "inconsistent", test == F.ceil((train + test) * F.lit(p.test_size))),
+        Rule(".paired_success", "unexpected_value", _equals(s["paired_success"], True)),
+        Rule(place, "missing", F.size(F.array_except(_sorted_names(C.DESCRIPTORS), names)) == 0),
+        Rule(place, "unexpected_keys", ~F.arrays_overlap(_sorted_names([*C.RESERVED_ROW_FIELDS, ""]), names)),
+        Rule(place, "wrong_kind", _all(F.map_values(m), lambda v: F.abs(_real(v)) < float("inf"))),
     ]
-    rules += [
-        _family(
-            f"{s}.families['{f}']", f, p, train, test, _field(_field(path, "families"), f)
-        )
-        for f in C.FAMILIES
+    for d in ("n_samples", "n_features", "n_classes"):
+        rules.append(Rule(f"{place}.{d}", "out_of_range", _counts(_whole(m[d]))))
+    for d in C.DESCRIPTORS:
+        if d.endswith("_fraction"):
+            top = 0.5 if d == "minority_class_fraction" else 1.0
+            rules.append(Rule(f"{place}.{d}", "out_of_range", _within(real[d], 0.0, top)))
+    follows = {
+        "n_samples": real["n_samples"] == train,
+        "n_classes": real["n_classes"] == 2,
+        "samples_per_feature": _close(
+            real["samples_per_feature"], F.try_divide(train.cast("double"), real["n_features"])
+        ),
+        "minority_class_fraction": (fewer >= p.inner_folds)
+        & _close(real["minority_class_fraction"], F.try_divide(fewer, train.cast("double"))),
+        "imbalance_ratio": (fewer * 2 <= train)
+        & _close(real["imbalance_ratio"], F.try_divide(train - fewer, fewer)),
+    }
+    rules += [Rule(f"{place}.{d}", "inconsistent", holds) for d, holds in follows.items()]
+    gap = _outer(s, "DNN") - _outer(s, "GBDT")
+    return [
+        *rules,
+        Rule(".families", "unexpected_keys", _keys(s["families"]) == _sorted_names(C.FAMILIES)),
+        Rule(f".{C.GAP}", "inconsistent", _close(_real(s[C.GAP]), gap)),
     ]
-    gap = f"({_outer_score(s, 'DNN')} - {_outer_score(s, 'GBDT')})"
-    rules.append(_arithmetic(f"{s}.{C.GAP}", gap, _field(path, C.GAP), -1, 1))
-    return _first(*rules)
 
 
-def _aggregate(a: str, splits: str, p: Protocol) -> str:
-    n = len(p.outer_seeds)
-    mean = {
-        f: _mean(f"transform({splits}, s -> {_outer_score('s', f)})", n) for f in C.FAMILIES
-    }
-    gap = f"({mean['DNN']} - {mean['GBDT']})"
-    meta, meta_path = f"{a}.{_META_MEAN}", "'aggregate.meta_features'"
-    recorded = f"transform({splits}, s -> {_as('s.meta_features[d.key]', 'double')})"
-    best, tie = f"{a}.actual_best_pipeline", f"{a}.near_tie_within_margin"
-    return _first(
-        _present(a, "'aggregate'"),
-        _arithmetic(f"{a}.{C.SCORE_GBDT}", mean["GBDT"], f"'aggregate.{C.SCORE_GBDT}'", 0, 1),
-        _arithmetic(f"{a}.{C.SCORE_DNN}", mean["DNN"], f"'aggregate.{C.SCORE_DNN}'", 0, 1),
-        _arithmetic(f"{a}.{C.GAP}", gap, f"'aggregate.{C.GAP}'", -1, 1),
-        _rule(
-            f"{_kind(best)} = 'STRING' AND {_as(best, 'string')} = {_winner(gap)}",
-            "'aggregate.actual_best_pipeline'",
-            "does not follow from the gap",
-        ),
-        _rule(
-            f"{_kind(tie)} = 'BOOLEAN' AND "
-            f"{_as(tie, 'boolean')} = (abs({gap}) <= {_sql(p.recommendation_margin)})",
-            "'aggregate.near_tie_within_margin'",
-            "does not follow from the gap",
+def _fold_rows(train: Column, fold: Column, folds: int) -> Column:
+    return F.floor(train / F.lit(folds)) + (train % folds > fold).cast("bigint")
+
+
+def _family_rules(v: Column, best: Column, wanted: Column, p: Protocol) -> list[Rule]:
+    train, test, k, limit = F.col("train"), F.col("test"), p.inner_folds, p.matrix_limit_bytes
+    models = F.create_map(*[F.lit(x) for pair in C.MODEL_OF_FAMILY.items() for x in pair])
+    last = {"train_dense_bytes": train, "test_dense_bytes": test}
+
+    def parts(fold: Column) -> dict[str, Column]:
+        held = _fold_rows(train, fold, k)
+        return {"train_dense_bytes": train - held, "validation_dense_bytes": held}
+
+    folds, final = v["preprocessing_folds"], v["final_preprocessing"]
+    selected = _whole(v["selected_candidate_order"])
+    return [
+        Rule(".family", "unexpected_value", _text(v["family"]) == F.col("family")),
+        Rule(".model", "unexpected_value", _text(v["model"]) == models[F.col("family")]),
+        Rule(".all_trials_completed", "unexpected_value", _equals(v["all_trials_completed"], True)),
+        Rule(".error", "error_recorded", F.is_variant_null(v["error"])),
+        _seconds(".search_seconds", v["search_seconds"]),
+        _seconds(".refit_seconds", v["refit_seconds"]),
+        _texts(".refit_convergence_warnings", v["refit_convergence_warnings"]),
+        _numbered(".preprocessing_folds", folds, k, "fold"),
+        Rule(".preprocessing_folds", "inconsistent", _all_numbered(folds, lambda m, i: _fits(m, parts(i)))),
+        Rule(".preprocessing_folds", "too_large", _all_numbered(folds, lambda m, i: _small(m, parts(i), limit))),
+        _numbered(".trials", v["trials"], p.candidate_count, "candidate_order"),
+        Rule(".selected_candidate_order", "inconsistent", selected == -best["behind"]),
+        Rule(".best_params", "inconsistent", _same_params(v["best_params"], wanted)),
+        Rule(
+            ".inner_balanced_accuracy",
+            "inconsistent",
+            _close(_real(v["inner_balanced_accuracy"]), best["mean"]),
         ),
-        _present(meta, meta_path),
-        _rule(
-            f"forall({splits}, s -> {_keys('s.meta_features')} = {_keys(meta)})",
-            meta_path,
-            "descriptor keys mismatch across outer partitions/aggregate",
-        ),
-        _first_of(
-            f"map_entries({meta})",
-            "d",
-            "_d",
-            _arithmetic(
-                "d.value", _mean(recorded, n), _under(meta_path, "'.'", "d.key"), float("-inf")
-            ),
-        ),
-    )
+        Rule(".final_preprocessing", "inconsistent", _fits(final, last)),
+        Rule(".final_preprocessing", "too_large", _small(final, last, limit)),
+        _score(".outer_scores.balanced_accuracy", v["outer_scores"]["balanced_accuracy"]),
+        _score(".outer_scores.roc_auc", v["outer_scores"]["roc_auc"]),
+    ]
 
 
-def violation_sql(art: str, p: Protocol, project: str = C.PROJECT) -> str:
-    """SQL of the first broken admission rule of a typed artifact column, NULL if it is valid."""
-    if p not in (FULL, SMOKE):
-        raise ValueError("expected_protocol: only the canonical full or smoke protocol is allowed")
-    data, splits = f"{art}.dataset", f"{art}.outer_splits"
-    rows = (
-        f"transform({splits}, s -> {_as('s.train_rows', 'bigint')} + "
-        f"{_as('s.test_rows', 'bigint')})"
-    )
-    n_features = _as("s.meta_features['n_features']", "bigint")
-    widths = f"transform({splits}, s -> {n_features})"
-    record = p.as_record()
+def _fold_scores(t: Column, metric: str) -> Column:
+    return F.transform(t["folds"], lambda g: _real(g[metric]))
+
+
+def _trial_rules(t: Column, wanted: Column, p: Protocol) -> list[Rule]:
     rules = [
-        _present(art, "'result'"),
-        _same(f"{art}.project", project, "'project'"),
-        _present(data, "'dataset'"),
+        Rule(".params", "unexpected_value", _same_params(t["params"], wanted)),
+        Rule(".status", "unexpected_value", _equals(t["status"], "success")),
+        Rule(".error", "error_recorded", F.is_variant_null(t["error"])),
+        _seconds(".fit_seconds", t["fit_seconds"]),
+        _texts(".convergence_warnings", t["convergence_warnings"]),
+        _numbered(".folds", t["folds"], p.inner_folds, "fold"),
     ]
-    for name in ("name", "family"):
-        v = f"{data}.{name}"
-        holds = f"{_kind(v)} = 'STRING' AND {_as(v, 'string')} RLIKE '(?U)\\\\S'"
-        rules.append(_rule(holds, f"'dataset.{name}'", "required nonempty string"))
-    rules += [_integer(f"{data}.{n}", f"'dataset.{n}'", 1) for n in ("openml_id", "version")]
-    rules.append(
-        _rule(f"{_kind(f'{data}.clinical')} = 'BOOLEAN'", "'dataset.clinical'", "required boolean")
+    for metric in _SCORES.split():
+        own = _fold_scores(t, metric)
+        mean = _mean(own, p.inner_folds)
+        rules += [
+            Rule(f".folds.{metric}", "out_of_range", _all(own, lambda x: _within(x, 0.0, 1.0))),
+            Rule(f".mean_{metric}", "inconsistent", _close(_real(t[f"mean_{metric}"]), mean)),
+        ]
+    return rules
+
+
+def _at(rule: Column, section: int, **position) -> Column:
+    """Position of a broken rule in the document; an outer level comes before the inner ones."""
+    parts = [F.lit("section"), F.lit(section)]
+    for name in ("split", "family", "trial"):
+        parts += [F.lit(name), position.get(name, F.lit(-1)).cast("int")]
+    return F.when(rule.isNotNull(), F.named_struct(*parts, F.lit("rule"), rule))
+
+
+def _broken(typed: DataFrame, p: Protocol, project: str) -> DataFrame:
+    """(path, occurrence, reason) of each record that breaks a rule: the first one it breaks."""
+    spark, key = typed.sparkSession, ["path", "occurrence"]
+    header = _header_rules(F.col("record"), p, project)
+    closing = _closing_rules(F.col("record"), p)
+    splits = typed.select(
+        *key,
+        F.least(_at(_first_broken(header), 0), _at(_first_broken(closing), 2)).alias("outside"),
+        F.posexplode_outer("record.outer_splits").alias("i", "s"),
+    ).withColumns({"train": _whole(F.col("s.train_rows")), "test": _whole(F.col("s.test_rows"))})
+    minority = _real(F.col("s.meta_features")["minority_class_fraction"])
+    splits = splits.withColumn("fewer", F.bround(minority * F.col("train")))
+    seeds = F.array(*[F.lit(x).cast("bigint") for x in p.outer_seeds])
+    own = _split_rules(F.col("s"), F.get(seeds, F.col("i")), p)
+    opened = F.array(
+        *[
+            F.named_struct(
+                F.lit("f"), F.lit(k), F.lit("family"), F.lit(f), F.lit("v"), F.col("s")["families"][f]
+            )
+            for k, f in enumerate(C.FAMILIES)
+        ]
     )
-    rules += [
-        _present(f"{art}.protocol", "'protocol'"),
-        _same_keys(f"{art}.protocol", record, "'protocol'"),
-    ]
-    rules += [_same(f"{art}.protocol['{n}']", v, f"'protocol.{n}'") for n, v in record.items()]
-    rules += [
-        _same(f"{art}.status", "success", "'status'"),
-        _same(f"{art}.research_valid", p.name == "full", "'research_valid'"),
-        _rule(f"{_kind(f'{art}.status_note')} = 'STRING'", "'status_note'", "required string"),
-        _rule(
-            f"size({splits}) = {len(p.outer_seeds)}",
-            "'outer_splits'",
-            "required complete canonical outer splits",
-        ),
-        _first_of(splits, "s", "i", _split("s", "i", p)),
-        _rule(
-            f"size(array_distinct({rows})) = 1",
-            "'outer_splits'",
-            "inconsistent dataset row counts",
-        ),
-        _rule(
-            f"size(array_distinct({widths})) = 1",
-            "'outer_splits'",
-            "inconsistent raw feature counts",
-        ),
-        _aggregate(f"{art}.aggregate", splits, p),
-    ]
-    return _first(*rules)
+    families = splits.select(
+        *key, "outside", "i", "train", "test",
+        F.when(F.col("i").isNotNull(), _at(_first_broken(own), 1, split=F.col("i"))).alias("in_split"),
+        F.explode(opened).alias("e"),
+    ).select(*key, "outside", "in_split", "i", "train", "test", "e.*")
+    best = F.array_max(
+        F.transform(
+            F.col("v.trials"),
+            lambda t, k: F.struct(
+                _mean(_fold_scores(t, "balanced_accuracy"), p.inner_folds).alias("mean"),
+                (-k).alias("behind"),
+            ),
+        )
+    )
+    # The candidates of a protocol: at most 81 rows, whatever the data.
+    drawn = F.broadcast(
+        candidate_table(spark, p).select(
+            F.col("family").alias("of"), F.col("candidate_order").alias("at"), F.col("params").alias("wanted")
+        )
+    )
+    families = families.withColumn("best", best)
+    chosen = (F.col("family") == F.col("of")) & (F.col("at") == -F.col("best.behind"))
+    families = families.join(drawn, chosen, "left").drop("of", "at")
+    inner = _family_rules(F.col("v"), F.col("best"), F.col("wanted"), p)
+    trials = families.select(
+        *key, "outside", "in_split", "i", "family", "f",
+        F.when(
+            F.col("i").isNotNull(), _at(_first_broken(inner), 1, split=F.col("i"), family=F.col("f"))
+        ).alias("in_family"),
+        F.posexplode_outer("v.trials").alias("j", "t"),
+    )
+    trials = trials.join(drawn, (F.col("family") == F.col("of")) & (F.col("at") == F.col("j")), "left")
+    innermost = _trial_rules(F.col("t"), F.col("wanted"), p)
+    at = dict(split=F.col("i"), family=F.col("f"), trial=F.col("j"))
+    in_trial = F.when(F.col("j").isNotNull(), _at(_first_broken(innermost), 1, **at))
+    first = F.least("outside", "in_split", "in_family", in_trial)
+    found = trials.select(*key, first.alias("first")).groupBy(*key).agg(F.min("first").alias("first"))
+    family = F.get(F.array(*[F.lit(f) for f in C.FAMILIES]), F.col("first.family"))
+    place = F.concat(
+        F.format_string("outer_splits[%d]", "first.split"),
+        F.when(F.col("first.family") >= 0, F.concat(F.lit(".families."), family)).otherwise(""),
+        F.when(F.col("first.trial") >= 0, F.format_string(".trials[%d]", "first.trial")).otherwise(""),
+    )
+    level = (
+        F.when(F.col("first.trial") >= 0, _reasons(innermost))
+        .when(F.col("first.family") >= 0, _reasons(inner))
+        .otherwise(_reasons(own))
+    )
+    reason = (
+        F.when(F.col("first.section") == 0, _reasons(header))
+        .when(F.col("first.section") == 2, _reasons(closing))
+        .otherwise(F.concat(place, level))
+    )
+    return found.where("first IS NOT NULL").select(*key, reason.alias("reason"))
 
 
 # --- selection --------------------------------------------------------------------------
 
 
-def _identity_sql(art: str, p: Protocol, project: str) -> str:
-    """Claimed name, source id and version of an artifact of this project and mode."""
-    mode, data = f"{art}.protocol['name']", f"{art}.dataset"
-    mine = (
-        f"{_kind(f'{art}.project')} = 'STRING' AND {_as(f'{art}.project', 'string')} = "
-        f"{_sql(project)} AND {_kind(mode)} = 'STRING' AND {_as(mode, 'string')} = "
-        f"{_sql(p.name)} AND {data} IS NOT NULL"
-    )
+def _identity(r: Column, p: Protocol, project: str) -> Column:
+    """Claimed name, source id and version of a record of this project and mode."""
+    data = r["dataset"]
+    mine = _equals(r["project"], project) & _equals(r["protocol"]["name"], p.name) & data.isNotNull()
 
-    def positive(name: str) -> str:
-        v = f"{data}.{name}"
-        holds = f"{_kind(v)} = 'BIGINT' AND {_as(v, 'bigint')} > 0"
-        return f"CASE WHEN {holds} THEN {_as(v, 'bigint')} END AS {name}"
+    def positive(name: str) -> Column:
+        return F.when(_whole(data[name]) > 0, _whole(data[name])).alias(name)
 
-    name = f"{data}.name"
-    text = (
-        f"CASE WHEN {_kind(name)} = 'STRING' AND {_as(name, 'string')} RLIKE '(?U)\\\\S' "
-        f"THEN {_as(name, 'string')} END AS name"
-    )
-    claim = f"struct({text}, {positive('openml_id')}, {positive('version')})"
-    return f"CASE WHEN {mine} THEN {claim} END"
+    name = F.when(_text(data["name"]).rlike(r"(?U)\S"), _text(data["name"])).alias("name")
+    return F.when(mine, F.struct(name, positive("openml_id"), positive("version")))
 
 
 def validate(artifacts: DataFrame, p: Protocol = FULL, project: str = C.PROJECT) -> DataFrame:
-    """(path, occurrence, doc, identity, code, reason) of each artifact on its own."""
-    typed = A.parse(artifacts).withColumn(
-        "art", F.try_variant_get("doc", "$", ARTIFACT_TYPE)
+    """(path, occurrence, doc, identity, code, reason) of each record on its own."""
+    if p not in (FULL, SMOKE):
+        raise ValueError("Records are admitted under the full or the smoke protocol only.")
+    typed = A.parse(artifacts).withColumn("record", F.try_variant_get("doc", "$", RECORD_TYPE))
+    parsed = typed.where("code IS NULL").select("path", "occurrence", "record")
+    broken = _broken(parsed, p, project).select(
+        F.col("path").alias("of"), F.col("occurrence").alias("at"), F.col("reason").alias("broken")
+    )
+    judged = typed.join(
+        broken, (F.col("path") == F.col("of")) & (F.col("occurrence") == F.col("at")), "left"
     )
     plain = F.when(F.col("code") == "unreadable_input", "Unreadable input").when(
         F.col("code") == "malformed_json", "Malformed JSON"
     )
-    judged = typed.select(
-        "path",
-        "occurrence",
-        "doc",
-        "code",
-        F.expr(_identity_sql("art", p, project)).alias("identity"),
-        F.when(F.col("code").isNull(), F.expr(violation_sql("art", p, project))).alias("broken"),
-    )
     return judged.select(
         "path",
         "occurrence",
         "doc",
-        "identity",
+        _identity(F.col("record"), p, project).alias("identity"),
         F.coalesce(
-            F.col("code"),
-            F.when(F.col("broken").isNotNull(), "invalid_result"),
-            F.lit("accepted"),
+            F.col("code"), F.when(F.col("broken").isNotNull(), "invalid_result"), F.lit("accepted")
         ).alias("code"),
-        F.coalesce(
-            plain, F.col("broken"), F.lit(f"Complete canonical {p.name} evidence")
-        ).alias("reason"),
+        F.coalesce(plain, "broken", F.lit(f"All {p.name} evidence holds")).alias("reason"),
     )
 
 

@@ -293,11 +293,11 @@ CTES: dict[str, str] = {
           CASE kind WHEN 3 THEN 'invalid_result' WHEN 4 THEN 'malformed_json'
             WHEN 5 THEN 'malformed_json' WHEN 8 THEN 'invalid_result' WHEN 10 THEN 'invalid_result'
             WHEN 11 THEN 'unreadable_input' ELSE 'accepted' END AS own_code,
-          CASE kind WHEN 3 THEN 'status: expected ''success''' WHEN 4 THEN 'Malformed JSON'
+          CASE kind WHEN 3 THEN 'status: unexpected_value' WHEN 4 THEN 'Malformed JSON'
             WHEN 5 THEN 'Malformed JSON'
-            WHEN 8 THEN 'outer_splits[0].meta_features.n_classes: expected 2'
-            WHEN 10 THEN 'project: expected ''pairgauge''' WHEN 11 THEN 'Unreadable input'
-            ELSE 'Complete canonical full evidence' END AS own_reason
+            WHEN 8 THEN 'outer_splits[0].meta_features.n_classes: inconsistent'
+            WHEN 10 THEN 'project: unexpected_value' WHEN 11 THEN 'Unreadable input'
+            ELSE 'All full evidence holds' END AS own_reason
         FROM runs r LEFT JOIN (SELECT path, string_agg(kind || '=' || value || ' (' || claimants
             || ' claims)', ', ' ORDER BY kind, value) AS shared
           FROM claims JOIN clashes USING (kind, value) GROUP BY path) c USING (path)""",
@@ -686,8 +686,8 @@ def statements() -> dict[str, str]:
             FROM meta WHERE dataset IN (SELECT dataset FROM ledger WHERE outcome = 'accepted')""",
         "smoke_admission": """
             SELECT 'smoke' AS mode, dataset AS path, 'accepted' AS outcome, 'accepted' AS code,
-              'Complete canonical smoke evidence' AS reason FROM smoke_outcome
+              'All smoke evidence holds' AS reason FROM smoke_outcome
             UNION ALL SELECT 'full', dataset, 'rejected', 'invalid_result',
-              'protocol.name: expected ''full''' FROM smoke_outcome""",
+              'protocol.name: unexpected_value' FROM smoke_outcome""",
     }
     return {name: _query(sql) for name, sql in raw.items()}
