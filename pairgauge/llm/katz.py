@@ -13,8 +13,10 @@ the count tables is pre-aggregated, and answers come back in the order of the qu
 2. Blocks send pairs of word numbers to buckets of the first word: totals, sums per context, answers.
 3. Blocks score their documents from the answers.
 
-Tables of counts are spread over buckets by the hash of the word or context; a frequent context is a few
-bytes for each block that holds it. Between steps only the histograms of small counts reach the driver.
+Tables of counts are spread over buckets by the hash of the word or context. A context that occurs more than
+``PIECE`` times is split by the hash of the second word into pieces of about that many pairs, each in a bucket of
+its own; blocks ask all of its pieces for their sums and add them up, so no task grows with a frequent word or
+with the start sign. Between steps only the histograms of small counts reach the driver.
 
 Defined cases: a null or empty text is its end token; rows that repeat an id are scored one by one; rows with
 a null id are learned from and scored; without training rows all words are unknown and a token has
@@ -37,6 +39,7 @@ from .common import partitions, picked, stored, takes_rows
 
 K = 5
 BLOCK_BYTES = 16 << 20
+PIECE = 1 << 19
 LEVEL = 6
 END = np.uint64(0xE0D0)
 START_NUMBER = (1 << 31) - 1
@@ -164,6 +167,10 @@ class Block:
         """Training tokens of each word."""
         return np.bincount(self.number[self.train[self.owner]], minlength=len(self.lexicon)).astype(np.int32)
 
+    def occurrences(self) -> np.ndarray:
+        """All tokens of each word: as many pairs at most begin with it."""
+        return np.bincount(self.number, minlength=len(self.lexicon)).astype(np.int32)
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First and second word of each distinct pair, its training count, and the pair of every token.
 
@@ -196,12 +203,12 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
 def _ask_words(buckets: int):
     def run(rows: pa.Table) -> pa.Table:
         block, number = Block(rows), rows["block"][0].as_py()
-        count = block.word_counts()
+        count, every = block.word_counts(), block.occurrences()
         cut = np.searchsorted(_word_bucket(block.lexicon, buckets), np.arange(buckets + 1))
         return _table(
             ASKED,
             [
-                (k, number, packed(block.lexicon[a:b]), packed(count[a:b]), None, None, None)
+                (k, number, packed(block.lexicon[a:b]), packed(count[a:b]), packed(every[a:b]), None, None)
                 for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
                 if a < b
             ],
@@ -215,8 +222,8 @@ def _histogram(total: np.ndarray) -> bytes:
     return np.concatenate([n, [total.sum(), (total > 0).sum()]]).astype(np.int64).tobytes()
 
 
-def _answer_words(buckets: int):
-    """Numbers and total counts of words; kind 0 is the histogram of the bucket."""
+def _answer_words(buckets: int, piece: int):
+    """Numbers, total counts and pieces of words; kind 0 is the histogram of the bucket."""
 
     def run(rows: pa.Table) -> pa.Table:
         bucket = rows["bucket"][0].as_py()
@@ -224,60 +231,93 @@ def _answer_words(buckets: int):
         counts = np.concatenate([unpacked(x, np.int32) for x in rows["b"].to_pylist()])
         found, place = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(found)).astype(np.int64)
+        every = np.concatenate([unpacked(x, np.int32) for x in rows["c"].to_pylist()])
+        every = np.bincount(place, weights=every, minlength=len(found)).astype(np.int64)
+        pieces = np.maximum(-(-every // piece), 1).astype(np.int32)
         number = np.where(total > 0, np.arange(len(found)) * buckets + bucket, -1).astype(np.int32)
         cut = np.cumsum([len(x) for x in asked])[:-1]
         out = [(0, -1, bucket, _histogram(total), None, None)]
         for block, own in zip(rows["block"].to_pylist(), np.split(place, cut), strict=True):
-            out.append((1, block, bucket, packed(number[own]), packed(total[own]), None))
+            out.append((1, block, bucket, packed(number[own]), packed(total[own]), packed(pieces[own])))
         return _table(ANSWER, out)
 
     return run
 
 
-def _known(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Number and total count of every word of a block's lexicon."""
+def _known(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, total count and pieces of every word of a block's lexicon."""
     mine = answers.filter(pa.compute.equal(answers["kind"], 1)).sort_by("bucket")
     number = [unpacked(x, np.int32) for x in mine["a"].to_pylist()]
     total = [unpacked(x, np.int64) for x in mine["b"].to_pylist()]
-    return np.concatenate(number), np.concatenate(total)
+    pieces = [unpacked(x, np.int32) for x in mine["c"].to_pylist()]
+    return np.concatenate(number), np.concatenate(total), np.concatenate(pieces)
+
+
+def _pair_bucket(context: np.ndarray, piece: np.ndarray, buckets: int) -> np.ndarray:
+    spread = words.mixed(context.astype(np.uint64) | (piece.astype(np.uint64) << np.uint64(32)))
+    return (spread % np.uint64(buckets)).astype(np.int64)
+
 
+@dataclass(frozen=True)
+class Order:
+    """What a block asks of pairs, in the order of the questions.
+
+    ``asked`` are the pairs of known words. A unit is a context in one bucket; ``degree`` pairs of it are asked
+    there, none where the block only needs the sums of that piece. ``rank`` is the place of a word's context.
+    """
 
-def _order(first: np.ndarray, second: np.ndarray, number: np.ndarray, buckets: int):
-    """Pairs of known words by bucket, context and place, and the contexts of a block in that order."""
-    named = np.append(number, START_NUMBER)
-    contexts = np.unique(first)
-    contexts = contexts[named[contexts] >= 0]
-    spread = words.mixed(named[contexts].astype(np.uint64)) % np.uint64(buckets)
-    contexts = contexts[np.lexsort((named[contexts], spread))]
-    rank = np.full(len(named), -1, np.int64)
-    rank[contexts] = np.arange(len(contexts))
-    asked = np.flatnonzero((rank[first] >= 0) & (number[second] >= 0))
-    asked = asked[np.argsort(rank[first[asked]], kind="stable")]
-    bucket = words.mixed(named[contexts].astype(np.uint64)) % np.uint64(buckets)
-    return asked, contexts, rank, bucket.astype(np.int64), named
+    asked: np.ndarray
+    degree: np.ndarray
+    bucket: np.ndarray
+    context: np.ndarray
+    named: np.ndarray
+    rank: np.ndarray
 
+    @property
+    def contexts(self) -> int:
+        return len(self.named)
 
-def _ask_pairs(buckets: int):
+    @staticmethod
+    def of(first: np.ndarray, second: np.ndarray, number: np.ndarray, pieces: np.ndarray, buckets: int) -> Order:
+        """``pieces`` has one more entry than ``number``, that of the start sign."""
+        named = np.append(number, START_NUMBER)
+        contexts = np.unique(first)
+        contexts = contexts[named[contexts] >= 0]
+        contexts = contexts[np.argsort(named[contexts])]
+        rank = np.full(len(named), -1, np.int64)
+        rank[contexts] = np.arange(len(contexts))
+        size = max(len(contexts), 1)
+        owner = np.repeat(np.arange(len(contexts)), pieces[contexts])
+        units = np.unique(_pair_bucket(named[contexts][owner], words.runs(pieces[contexts]), buckets) * size + owner)
+        asked = np.flatnonzero((rank[first] >= 0) & (number[second] >= 0))
+        piece = words.mixed(number[second[asked]].astype(np.uint64)) % pieces[first[asked]].astype(np.uint64)
+        bucket = _pair_bucket(named[first[asked]], piece, buckets)
+        unit = np.searchsorted(units, bucket * size + rank[first[asked]])
+        asked = asked[np.argsort(unit, kind="stable")]
+        degree = np.bincount(unit, minlength=len(units))
+        return Order(asked, degree, units // size, units % size, named[contexts], rank)
+
+
+def _ask_pairs(buckets: int, starts: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table(ASKED, [])
         block, block_number = Block(rows), rows["block"][0].as_py()
-        number, total = _known(answers)
+        number, total, pieces = _known(answers)
         first, second, count, _ = block.pairs()
-        asked, contexts, rank, bucket, named = _order(first, second, number, buckets)
-        degree = np.bincount(rank[first[asked]], minlength=len(contexts))
-        upto = np.append(0, np.cumsum(degree))
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        order = Order.of(first, second, number, np.append(pieces, starts), buckets)
+        upto = np.append(0, np.cumsum(order.degree))
+        cut = np.searchsorted(order.bucket, np.arange(buckets + 1))
         out = []
         for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
             if a < b:
-                own = asked[upto[a] : upto[b]]
+                own = order.asked[upto[a] : upto[b]]
                 out.append(
                     (
                         k,
                         block_number,
-                        packed(named[contexts[a:b]].astype(np.int32)),
-                        packed(degree[a:b].astype(np.int32)),
+                        packed(order.named[order.context[a:b]].astype(np.int32)),
+                        packed(order.degree[a:b].astype(np.int32)),
                         packed(number[second[own]]),
                         packed(count[own]),
                         packed(total[second[own]]),
@@ -289,7 +329,7 @@ def _ask_pairs(buckets: int):
 
 
 def _answer_pairs(model: Words):
-    """Total counts of pairs and sums of contexts; kind 0 is the histogram of the bucket.
+    """Total counts of pairs and sums of contexts in this bucket; kind 0 is the histogram of the bucket.
 
     A context's sums are its occurrences, the numbers of its pairs seen 1..K times and the mass that
     P gives to the words seen after it.
@@ -348,30 +388,32 @@ def backoff(sums: np.ndarray, mass: np.ndarray, d: np.ndarray) -> tuple[np.ndarr
     return size, alpha
 
 
-def _score(model: Words, d: np.ndarray, buckets: int, kind: pa.DataType):
+def _score(model: Words, d: np.ndarray, buckets: int, starts: int, kind: pa.DataType):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
         types = [kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not rows.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
         block = Block(rows)
-        number, total = _known(answers)
+        number, total, pieces = _known(answers)
         first, second, _, place = block.pairs()
-        asked, contexts, rank, _, _ = _order(first, second, number, buckets)
+        order = Order.of(first, second, number, np.append(pieces, starts), buckets)
         mine = answers.filter(pa.compute.equal(answers["kind"], 2)).sort_by("bucket")
         none = [np.zeros(0, np.int32)]
         count = np.concatenate(none + [unpacked(x, np.int32) for x in mine["a"].to_pylist()])
         sums = np.concatenate(none + [unpacked(x, np.int32) for x in mine["b"].to_pylist()])
         mass = np.concatenate([np.zeros(0)] + [unpacked(x, np.float64) for x in mine["c"].to_pylist()])
-        size, alpha = backoff(sums.reshape(-1, K + 1), mass, d)
+        whole = [np.bincount(order.context, weights=x, minlength=order.contexts) for x in sums.reshape(-1, K + 1).T]
+        mass = np.bincount(order.context, weights=mass, minlength=order.contexts)
+        size, alpha = backoff(np.stack(whole, 1), mass, d)
         # A context that training never holds leaves P as it is.
         alpha, size = np.append(alpha, 1.0), np.append(size, 0.0)
         low = model.chance(total)
-        chance = alpha[rank[first]] * low[second]
+        chance = alpha[order.rank[first]] * low[second]
         r = np.zeros(len(first), np.int64)
-        r[asked] = count
+        r[order.asked] = count
         seen = np.flatnonzero(r > 0)
-        chance[seen] = d[np.minimum(r[seen], K + 1)] * r[seen] / size[rank[first[seen]]]
+        chance[seen] = d[np.minimum(r[seen], K + 1)] * r[seen] / size[order.rank[first[seen]]]
         n = len(block.train)
         score = np.bincount(block.owner, weights=np.log10(chance)[place], minlength=n)
         plain = np.log10((total + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
@@ -396,6 +438,7 @@ def katz_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    piece: int = PIECE,
 ) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every document.
 
@@ -404,7 +447,8 @@ def katz_scores(
     """
     spark = docs.sparkSession
     rows = picked(docs.withColumn("_train", F.coalesce(train, F.lit(False))), doc_id=id_col, text=text_col, train="_train")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size, starts = size or 0, max(1, -(-count // piece))
     blocks = max(1, -(-size // block_bytes))
     buckets = max(blocks, partitions(spark))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
@@ -414,17 +458,17 @@ def katz_scores(
     )
     by_block = blobs.groupBy("block")
     known = by_block.applyInArrow(_ask_words(buckets), ASKED)
-    known = stored(known.groupBy("bucket").applyInArrow(_answer_words(buckets), ANSWER))
+    known = stored(known.groupBy("bucket").applyInArrow(_answer_words(buckets, piece), ANSWER))
     n = _sums(known)
     model = Words.of(n[: K + 2], int(n[-2]), int(n[-1]))
     mine = known.where("kind = 1")
-    asked = by_block.cogroup(mine.groupBy("block")).applyInArrow(_ask_pairs(buckets), ASKED)
+    asked = by_block.cogroup(mine.groupBy("block")).applyInArrow(_ask_pairs(buckets, starts), ASKED)
     pairs = stored(asked.groupBy("bucket").applyInArrow(_answer_pairs(model), ANSWER))
     d = discounts(_sums(pairs)[: K + 2])
     answers = mine.union(pairs.where("kind = 2"))
     arrow = pa.schema(rows.select("doc_id").limit(0).toArrow().schema).field("doc_id").type
     scored = by_block.cogroup(answers.groupBy("block")).applyInArrow(
-        _score(model, d, buckets, arrow),
+        _score(model, d, buckets, starts, arrow),
         f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("bigint"))
