@@ -31,9 +31,9 @@ from .chain import marginals
 from .common import picked, stored, takes_rows
 
 #: Expected labelled documents that the fit reads, and the most words that get a weight.
-FIT_DOCUMENTS = 3000
+FIT_DOCUMENTS = 6000
 FIT_WORDS = 30_000
-GRADIENT_STEPS = 12
+GRADIENT_STEPS = 25
 SPAN_CHANCE = 0.5
 THRESHOLD = 0.3
 
