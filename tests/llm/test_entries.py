@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_katz": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9_mixing": "doc_id size source_size target taken",
     "op10_toxicity": "doc_id held_out score predicted",
+    "op11_resampling": "doc_id n_features weight score rank",
+    "op12_pieces": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13_collocations": "lang rank phrase a l r n score",
 }
 
 
@@ -45,6 +48,6 @@ def test_columns_and_plan(spark, name):
 def test_matches_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     with duckdb.connect() as connection:
-        for table in ("documents", "embeddings"):
+        for table in ("documents", "embeddings", "benchmark"):
             connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         assert compare.spark_rows(df) == compare.duck_rows(connection, queries.ORACLE_SQL[name])
