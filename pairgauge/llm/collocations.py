@@ -11,7 +11,7 @@ path, and a path is stored once with its weight. Chains are followed by doubling
 the logarithm of the longest one; a path row holds at most ``PATH`` edges, a longer path has several rows.
 
 A phrase cannot be frequent when two of its neighbouring words are a rare pair. Counters of hashed pairs
-(``CELLS`` of them, whatever the input) tell pairs that are surely rare, and these end a piece like a full
+(2**``CELL_BITS`` of them, whatever the input) tell pairs that are surely rare, and these end a piece like a full
 stop does: no count of a frequent phrase changes, since none holds such a pair. A counter that several
 pairs share may keep a rare pair, never lose a frequent one.
 
@@ -42,7 +42,6 @@ CONTAINED = 80
 #: Counters of pairs are 2**CELL_BITS, dealt out in segments of 2**SEGMENT_BITS.
 CELL_BITS = 28
 SEGMENT_BITS = 16
-CELLS = 1 << CELL_BITS
 FLUSH = 2_000_000
 PATH = 1000
 
@@ -77,13 +76,13 @@ def _slices(batches: Iterator[pa.RecordBatch]):
             yield names, spoken, text, start, end, same
 
 
-def _cells(names, spoken, text, start, end) -> np.ndarray:
+def _cells(names, spoken, text, start, end, cell_bits: int) -> np.ndarray:
     """The counter of the pair that each word but the last begins."""
     tongues = pa.array(names, pa.string())
     at, letters = words.utf8(tongues)
     tongue = words.hashes(letters, at[:-1], at[1:])[spoken]
     word = words.hashes(text, start, end)
-    return (words.together(tongue[:-1], word[:-1], word[1:]) >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
+    return (words.together(tongue[:-1], word[:-1], word[1:]) >> np.uint64(64 - cell_bits)).astype(np.uint32)
 
 
 def _flushed(kept: list[np.ndarray]) -> pa.RecordBatch:
@@ -103,18 +102,22 @@ def _flushed(kept: list[np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of cells, some FLUSH pairs together, one row for each segment they touch."""
-    kept: list[np.ndarray] = []
-    size = 0
-    for names, spoken, text, start, end, same in _slices(batches):
-        kept.append(_cells(names, spoken, text, start, end)[same[:-1]])
-        size += len(kept[-1])
-        if size >= FLUSH:
+def _pair_counts(cell_bits: int, flush: int):
+    """Counts of cells, some ``flush`` pairs together, one row for each segment they touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        size = 0
+        for names, spoken, text, start, end, same in _slices(batches):
+            kept.append(_cells(names, spoken, text, start, end, cell_bits)[same[:-1]])
+            size += len(kept[-1])
+            if size >= flush:
+                yield _flushed(kept)
+                kept, size = [], 0
+        if size:
             yield _flushed(kept)
-            kept, size = [], 0
-    if size:
-        yield _flushed(kept)
+
+    return run
 
 
 def _summed(least: int):
@@ -136,27 +139,29 @@ def _summed(least: int):
     return run
 
 
-def pair_filter(rows: DataFrame, least: int) -> np.ndarray:
-    """One bit for each counter: may a pair that it counts occur ``least`` times? CELLS / 8 bytes."""
+def pair_filter(
+    rows: DataFrame, least: int, cell_bits: int = CELL_BITS, flush: int = FLUSH
+) -> np.ndarray:
+    """One bit for each counter: may a pair that it counts occur ``least`` times? 2**cell_bits / 8 bytes."""
     spark = rows.sparkSession
-    counts = rows.mapInArrow(_pair_counts, "segment int, cells binary, counts binary")
+    counts = rows.mapInArrow(_pair_counts(cell_bits, flush), "segment int, cells binary, counts binary")
     dealt = counts.repartition(max(partitions(spark), 1), "segment")
     # A counter stops at 255, so larger limits use it as far as it goes.
     summed = dealt.mapInArrow(_summed(min(least, _MANY)), "segment int, bits binary")
-    bits = np.zeros(CELLS // 8, np.uint8)
+    bits = np.zeros((1 << cell_bits) // 8, np.uint8)
     width = (1 << SEGMENT_BITS) // 8
-    for row in summed.collect():  # at most CELLS / 2**SEGMENT_BITS rows of 8 KB
+    for row in summed.collect():  # 2**(cell_bits - SEGMENT_BITS) rows of 8 KB at most
         bits[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
 
-def _begun(bits) -> object:
+def _begun(bits, cell_bits: int):
     """Grams that begin at each word and reach to the fourth word, the piece's end or a rare pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = bits.value
         for names, spoken, text, start, end, same in _slices(batches):
-            cell = _cells(names, spoken, text, start, end)
+            cell = _cells(names, spoken, text, start, end, cell_bits)
             kept = (filter_[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
             joined = same.copy()
             joined[:-1] &= kept.astype(bool)
@@ -194,12 +199,19 @@ def _begun(bits) -> object:
     return run
 
 
-def edges(docs: DataFrame, least: int = LEAST_COUNT, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def edges(
+    docs: DataFrame,
+    least: int = LEAST_COUNT,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    cell_bits: int = CELL_BITS,
+    flush: int = FLUSH,
+) -> DataFrame:
     """(lang, gram, size, n): edges of four words and the shorter corrections, counted."""
     rows = picked(docs, lang=lang_col, text=text_col)
     rows = rows.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    bits = docs.sparkSession.sparkContext.broadcast(pair_filter(rows, least))
-    begun = rows.mapInArrow(_begun(bits), "lang string, gram string, size int, n bigint")
+    bits = docs.sparkSession.sparkContext.broadcast(pair_filter(rows, least, cell_bits, flush))
+    begun = rows.mapInArrow(_begun(bits, cell_bits), "lang string, gram string, size int, n bigint")
     return stored(begun.groupBy("lang", "gram", "size").agg(F.sum("n").alias("n")))
 
 
@@ -322,9 +334,11 @@ def collocations(
     top: int = TOP,
     text_col: str = "text",
     lang_col: str = "lang",
+    cell_bits: int = CELL_BITS,
+    flush: int = FLUSH,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best phrases of each language."""
-    grams = edges(docs, least, text_col, lang_col)
+    grams = edges(docs, least, text_col, lang_col, cell_bits, flush)
     routes = stored(paths(grams, least))
     phrases = counts(grams, routes, least)
     cuts = phrases.where("size > 1").select(

@@ -243,31 +243,31 @@ class Normaliser:
         if self.squeeze and len(data):
             blank = data == 32
             before = np.append(True, blank[:-1])
-            keep = ~(lead & before[unit])
-            solid = np.flatnonzero(keep & ~blank)
-            if not len(solid):
-                return b"", np.array([end], np.int64)
-            # Blanks at the end go too, and the text ends where they began.
-            begin = int(source[np.flatnonzero(keep)[0]])
-            kept = np.flatnonzero(keep)
-            tail = kept[kept > solid[-1]]
-            if len(tail):
-                end = int(source[tail[0]])
-            kept = kept[kept <= solid[-1]]
+            kept = np.flatnonzero(~(lead & before[unit]))
+            if not len(kept):
+                return b"", np.zeros(1, np.int64)
+            begin = int(source[kept[0]])
             data, source = data[kept], source[kept]
         elif n == 0:
             return b"", np.zeros(1, np.int64)
-        space = np.zeros(1, np.uint8) + 32
+        space = np.full(1, 32, np.uint8)
         if self.prefix and not self.at_end:
             data, source = np.append(space, data), np.append(begin, source)
-        elif self.prefix:
-            data, source = np.append(data, space), np.append(source, end)
+        mark = _MARK.encode() if self.escape else b" "
+        text = data.tobytes().replace(b" ", mark)
         if self.escape:
-            blank = data == 32
-            times = np.where(blank, 3, 1)
-            source = np.repeat(source, times)
-            data = np.frombuffer(data.tobytes().replace(b" ", _MARK.encode()), np.uint8)
-        return data.tobytes(), np.append(source, end)
+            source = np.repeat(source, np.where(data == 32, 3, 1))
+        if self.squeeze:
+            # Blanks at the end go, signs that look like escaped ones too; the text ends where they began.
+            size = len(text)
+            while text.endswith(mark, 0, size):
+                size -= len(mark)
+            if size < len(text):
+                end = int(source[size])
+                text, source = text[:size], source[:size]
+        if self.prefix and self.at_end:
+            text, source = text + mark, np.append(source, np.full(len(mark), end))
+        return text, np.append(source, end)
 
 
 class Encoder:

@@ -74,23 +74,19 @@ def _random(seed, n=150):
 
 @pytest.mark.parametrize("seed, least", [(1, 5), (2, 10), (3, 2), (4, 30)])
 def test_matches_plain_counts(spark, monkeypatch, seed, least):
-    monkeypatch.setattr(collocations, "CELL_BITS", 20)
-    monkeypatch.setattr(collocations, "CELLS", 1 << 20)
     monkeypatch.setattr(collocations, "PATH", 4)
     rows = _random(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    assert _got(collocations.collocations(df, least)) == plain_collocations([r[:2] for r in rows], least)
+    assert _got(collocations.collocations(df, least, cell_bits=20)) == plain_collocations([r[:2] for r in rows], least)
 
 
-def test_full_counters_only_cost_work(spark, monkeypatch):
+def test_full_counters_only_cost_work(spark):
     """With so few counters that each serves many pairs, results stay the same."""
-    monkeypatch.setattr(collocations, "CELL_BITS", 17)
-    monkeypatch.setattr(collocations, "CELLS", 1 << 17)
-    monkeypatch.setattr(collocations, "FLUSH", 50)
     rng = random.Random(5)
     rows = [(" ".join(f"w{rng.randrange(300)}" for _ in range(400)), "en", "", "") for _ in range(60)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert _got(collocations.collocations(df, 3, top=50)) == plain_collocations([r[:2] for r in rows], 3, 50)
+    got = collocations.collocations(df, 3, top=50, cell_bits=16, flush=50)
+    assert _got(got) == plain_collocations([r[:2] for r in rows], 3, 50)
 
 
 def test_paths_hold_every_heavy_edge_once(spark):
