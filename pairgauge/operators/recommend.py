@@ -6,8 +6,8 @@ of sums: the training sums of a fold are the total minus the family's own.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -16,16 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import stored
 from . import meta as M
+from . import models, trees
 from .scoring import is_finite
 from .trials import recommendation, winner
 
 REQUIRED = ("dataset", "family", C.GAP, C.SCORE_GBDT, C.SCORE_DNN)
 RIDGE_ALPHA = 1.0
 COEFFICIENTS = "family string, intercept double, weights array<double>"
-# Candidate split points per feature, and partitions of the training rows; both are part of the model.
-TREE_BINS = 1024
-FIT_PARTITIONS = 4
 # Relative variance under which a training column counts as constant.
 CONSTANT_VARIANCE = 1e-12
 
@@ -150,66 +149,21 @@ def ridge_predictions(
     )
 
 
-def _tree_estimator(model: str, max_bins: int, seed: int):
-    from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-
-    common = dict(
-        featuresCol="features", labelCol=C.GAP, predictionCol="predicted_gap",
-        maxBins=max_bins, minInstancesPerNode=2, seed=seed,
-    )
-    if model == "decision_tree":
-        return DecisionTreeRegressor(maxDepth=3, **common)
-    if model == "random_forest":
-        return RandomForestRegressor(
-            numTrees=300, maxDepth=5, featureSubsetStrategy="all", **common
+def tree_predictions(meta: DataFrame, model: str, seed: int = 42) -> DataFrame:
+    """Leave-one-family-out predictions of a tree model, all families at once."""
+    if model not in trees.SHAPES:
+        raise ValueError(f"Unknown tree model {model!r}.")
+    names = M.feature_columns(meta)
+    shape = dataclasses.replace(trees.SHAPES[model], seed=seed)
+    rows = stored(
+        meta.select(
+            F.lit(trees.ALL).alias("group"), "dataset", F.col("family").alias("fold"),
+            F.col(C.GAP).cast("double").alias("y"), *names,
         )
-    raise ValueError(f"Unknown tree model {model!r}.")
-
-
-def fit_tree(train: DataFrame, features: Sequence[str], model: str, seed: int = 42):
-    """A Spark ML tree or forest; up to 1024 distinct values every one is a split point.
-
-    Rows are dealt by dataset to a fixed number of partitions, since a forest draws its samples
-    partition by partition.
-    """
-    from pyspark.ml.feature import VectorAssembler
-
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features")
-    dealt = train.repartition(FIT_PARTITIONS, "dataset").sortWithinPartitions("dataset")
-    return assembled, _tree_estimator(model, TREE_BINS, seed).fit(assembled.transform(dealt))
-
-
-def tree_predictions(
-    meta: DataFrame, model: str, seed: int = 42, parallel_fits: int = 8
-) -> DataFrame:
-    """Leave-one-family-out predictions of a tree model.
-
-    One distributed fit per family, as the definition asks; only family names reach the driver.
-    The input is written to the checkpoint folder once, because every fit reads it again.
-    """
-    from ..session import ensure_checkpoint_dir
-
-    spark = meta.sparkSession
-    ensure_checkpoint_dir(spark)
-    features = M.feature_columns(meta)
-    table = meta.checkpoint(eager=True)
-    families = [r["family"] for r in table.select("family").distinct().toLocalIterator()]
-    if len(families) < 2:
-        raise ValueError("Need at least two dataset families for held-out evaluation.")
-
-    def one(family: str) -> DataFrame:
-        assembled, fitted = fit_tree(
-            table.filter(F.col("family") != family), features, model, seed
-        )
-        scored = fitted.transform(assembled.transform(table.filter(F.col("family") == family)))
-        return scored.select(*meta.columns, "predicted_gap")
-
-    with ThreadPoolExecutor(parallel_fits) as pool:
-        parts = list(pool.map(one, sorted(families)))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    )
+    folds = rows.select("group", "fold").distinct()
+    _, predicted = trees.grow(rows, names, shape, folds)
+    return meta.join(predicted.select("dataset", F.col("predicted").alias("predicted_gap")), "dataset")
 
 
 def evaluate(meta: DataFrame, predicted: DataFrame, margin: float = C.MARGIN) -> DataFrame:
@@ -315,8 +269,8 @@ def in_sample(meta: DataFrame, model: str = "ridge", margin: float = C.MARGIN) -
             predicted = predicted + F.lit(weight) * F.col(f"z__{c}")
         fitted = scaled.select(*meta.columns, predicted.alias("predicted_gap"))
     else:
-        assembled, model_fit = fit_tree(meta, features, model)
-        fitted = model_fit.transform(assembled.transform(meta)).drop("features")
+        fitted = models.predict(models.train(meta, model, features), meta, features, margin=margin)
+        fitted = fitted.drop("recommendation")
     return fitted.withColumn(
         "recommendation", recommendation(F.col("predicted_gap"), margin)
     ).withColumn("warning", F.lit("In-sample fit; judge by held-out families instead."))

@@ -13,7 +13,8 @@ CHECKED = (
     "load_summary contract_checks characterize_single characterize_grouped constant_columns "
     "dataset_status audit_duplicates conflicting_rows predictor_overlap stratified_kfold "
     "scaler_stats encoded_design matrix_guard roc_auc_exact select_candidate meta_table "
-    "recommend_dummy_lofo admission_ledger"
+    "recommend_dummy_lofo admission_ledger measured_meta fitted_models recommend_new_mean "
+    "recommend_new_ridge recommend_new_ridge_by_region"
 ).split()
 
 
