@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle, queries, transfer
+from . import extended, oracle, queries, transfer
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries.QUERIES, **transfer.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **queries.QUERIES,
+    **transfer.QUERIES,
+    **extended.QUERIES,
+}
 
 
 def statements() -> dict[str, str]:
-    return {**oracle.statements(), **transfer.statements()}
+    return {**oracle.statements(), **transfer.statements(), **extended.statements()}
