@@ -44,6 +44,7 @@ CELL_BITS = 28
 SEGMENT_BITS = 16
 FLUSH = 2_000_000
 PATH = 1000
+SHARES = 16
 
 #: Pieces end at . , ; : ! ? and at line feed to carriage return.
 BREAK = np.zeros(256, dtype=bool)
@@ -360,8 +361,13 @@ def collocations(
     scored = cuts.groupBy("lang", "phrase", "a").agg(lowest)
     scored = scored.join(_contained(routes, phrases), ["lang", "phrase"], "left")
     scored = scored.where("longer IS NULL OR 100 * longer < %d * a" % CONTAINED)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = (F.desc("score"), F.desc("a"), "phrase")
     flat = scored.select("lang", "phrase", "a", "cut.l", "cut.r", F.col("cut.score").cast("bigint").alias("score"))
-    ranked = flat.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= top)
+    # The best of each share first, so that a language's task gets SHARES * top rows at most.
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES)).alias("share")
+    some = Window.partitionBy("lang", "share").orderBy(*order)
+    few = flat.select("*", share).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)
+    best = Window.partitionBy("lang").orderBy(*order)
+    ranked = few.drop("share").withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= top)
     total = grams.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

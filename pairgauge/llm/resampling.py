@@ -1,9 +1,9 @@
 """Importance resampling towards a target set: hashed word features, one exact gain per bucket.
 
 A feature is a run of one or more neighbouring words joined by one space; its bucket is its CRC-32 modulo
-the number of buckets. Texts have a head and a tail. The head is the ``HEAD`` most frequent words of all
-texts (counted exactly, at most 64 bytes each), sent to all tasks with the CRC state in which each leaves
-the register, and for longer runs the ``HEAD_PAIRS`` most frequent pairs of head words with their buckets.
+the number of buckets. Texts have a head and a tail. The head is the most frequent words of all texts, at
+most ``HEAD`` of 64 bytes each, counted exactly and sent to all tasks with the CRC state in which each leaves
+the register; for longer runs also at most ``HEAD_PAIRS`` frequent pairs of head words with their buckets.
 Words and pairs outside of the head take a direct CRC; a longer run goes on from the state of its first
 words, since CRC is linear and the state after more bytes is a shift and an addition. Head and tail give
 the same values, so the totals of the buckets are exact whatever the head holds; it only saves work.
@@ -140,14 +140,29 @@ def _pair_counts(head: Head):
     return run
 
 
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of the highest classes of n that are ``most`` rows at most together.
+
+    Classes are quarters of powers of two, so there are at most 256, however many rows there are.
+    """
+    height = F.floor(F.log2("n") * 4)
+    kept, from_height = 0, None
+    for row in counted.groupBy(height.alias("height")).count().orderBy(F.desc("height")).collect():
+        kept += row["count"]
+        if kept > most:
+            break
+        from_height = row["height"]
+    return counted.where(height >= from_height) if from_height is not None else counted.where("false")
+
+
 def head_of(texts: DataFrame, longest: int = 1) -> Head:
-    """The head of all texts; what reaches the driver is bounded by HEAD and HEAD_PAIRS."""
+    """The head of all texts; what reaches the driver is bounded by HEAD and HEAD_PAIRS rows."""
     counted = texts.mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    head = Head([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(HEAD).collect()])
+    head = Head(sorted(r["word"] for r in _frequent(stored(counted), HEAD).select("word").collect()))
     if longest > 1:
         pairs = texts.mapInArrow(_pair_counts(head), "pair bigint, n bigint")
-        pairs = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
-        head.add_pairs([r["pair"] for r in pairs.orderBy(F.desc("n"), "pair").limit(HEAD_PAIRS).collect()])
+        pairs = stored(pairs.groupBy("pair").agg(F.sum("n").alias("n")))
+        head.add_pairs([r["pair"] for r in _frequent(pairs, HEAD_PAIRS).select("pair").collect()])
     return head
 
 
