@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..frame import LabelledFrame
-from ..operators import entity_splits, fold_stats, profile, recommend, resample, shape, splits
+from ..operators import entity_splits, fold_stats, profile, recommend, resample, shape, sparse, splits
 from ..protocol import FULL
 from ..session import stored
 from ..sources.tables import read_table
@@ -112,6 +112,39 @@ def correlation_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(shape.correlation_summary(_wide(spark, sf)))
 
 
+def _learned_and_all(spark: SparkSession, sf: str) -> tuple[LabelledFrame, LabelledFrame]:
+    """Lines of every supplier; those shipped early train, later ones bring new parts and months."""
+    lf = _wide(spark, sf)
+    lines = read_table(spark, sf, "lineitem")
+    rows = lines.select(
+        tasks.supplier_name(F.col("l_suppkey")).alias("dataset"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("row_id"),
+        F.col("l_quantity").alias("quantity"),
+        F.nullif("l_discount", F.lit(0.0)).alias("discount"),
+        F.nullif("l_tax", F.lit(0.0)).alias("tax"),
+        F.nullif("l_linestatus", F.lit("F")).alias("linestatus"),
+        F.col("l_partkey").cast("string").alias("part"),
+        F.date_format("l_shipdate", "yyyy-MM").alias("month"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y"),
+        (F.col("l_shipdate") < F.lit(outcomes.LEARN_BEFORE)).alias("early"),
+    )
+    whole = LabelledFrame(rows, ("quantity", "discount", "tax"), lf.categorical)
+    return whole.with_df(rows.where("early")), whole
+
+
+def sparse_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Every encoded column of every supplier, part numbers included."""
+    train, _ = _learned_and_all(spark, sf)
+    known = sparse.dictionary(train)
+    return rounded(known.select("dataset", "kind", "column", "level", "index", "name", "fill"))
+
+
+def sparse_design(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines encoded with what the early ones taught."""
+    train, whole = _learned_and_all(spark, sf)
+    return rounded(sparse.entries(whole, sparse.dictionary(train)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -125,6 +158,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cardinality_summary,
         column_tails,
         correlation_summary,
+        sparse_dictionary,
+        sparse_design,
     )
 }
 
@@ -186,7 +221,29 @@ _INTERVALS = ", ".join(
     for end, q in (("low", 0.025), ("high", 0.975))
 )
 
+_SPARSE = f"""WITH rows_ AS (SELECT 'supplier-' || l_suppkey AS dataset,
+        concat_ws('-', l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * 100)::BIGINT) AS row_id,
+        l_quantity AS quantity, nullif(l_discount, 0) AS discount, nullif(l_tax, 0) AS tax,
+        coalesce(nullif(l_linestatus, 'F'), '__missing__') AS linestatus, l_partkey::VARCHAR AS part,
+        strftime(l_shipdate, '%Y-%m') AS month, l_shipdate < TIMESTAMP '{outcomes.LEARN_BEFORE}' AS early FROM lineitem),
+    early AS (SELECT * FROM rows_ WHERE early),
+    known AS ({" UNION ALL ".join(
+        [f"SELECT dataset, 'value' AS kind, '{c}' AS col, NULL::VARCHAR AS level, 0 AS block, {i} AS place, '{c}' AS name, coalesce(median({c}), 0) AS fill FROM early GROUP BY dataset" for i, c in enumerate(("quantity", "discount", "tax"))]
+        + [f"SELECT dataset, 'gap', '{c}', NULL, 1, {i}, 'missingindicator_{c}', NULL FROM early GROUP BY dataset HAVING count(*) > count({c})" for i, c in enumerate(("quantity", "discount", "tax"))]
+        + [f"SELECT DISTINCT dataset, 'level', '{c}', {c}, 2, {i}, '{c}_' || {c}, NULL FROM early" for i, c in enumerate(("linestatus", "part", "month"))]
+    )}),
+    dict AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY block, place, level) - 1 AS index FROM known),
+    cells AS ({" UNION ALL ".join(
+        [f"SELECT dataset, row_id, 'value' AS kind, '{c}' AS col, NULL::VARCHAR AS level, {c} AS value FROM rows_" for c in ("quantity", "discount", "tax")]
+        + [f"SELECT dataset, row_id, 'gap', '{c}', NULL, 1.0 FROM rows_ WHERE {c} IS NULL" for c in ("quantity", "discount", "tax")]
+        + [f"SELECT dataset, row_id, 'level', '{c}', {c}, 1.0 FROM rows_" for c in ("linestatus", "part", "month")]
+    )})"""
+
 SQL: dict[str, str] = {
+    "sparse_dictionary": _SPARSE + f""" SELECT dataset, kind, col AS "column", level, index, name, {_r("fill")} AS fill FROM dict""",
+    "sparse_design": _SPARSE + f""" SELECT c.dataset, row_id, index, {_r("coalesce(value, fill)")} AS value
+        FROM cells AS c JOIN dict AS d ON c.dataset = d.dataset AND c.kind = d.kind AND c.col = d.col
+          AND c.level IS NOT DISTINCT FROM d.level WHERE coalesce(value, fill) <> 0""",
     "bootstrap_regret": transfer._WITH + f""",
         sums AS (SELECT family, count(*) AS n, sum(gap) AS g FROM measured GROUP BY family),
         told AS (SELECT m.*, ((SELECT sum(g) FROM sums) - g) / ((SELECT sum(n) FROM sums) - n) AS predicted
