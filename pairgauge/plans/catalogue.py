@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extended, oracle, queries, transfer
+from . import attempts, extended, oracle, queries, transfer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **queries.QUERIES,
     **transfer.QUERIES,
     **extended.QUERIES,
+    **attempts.QUERIES,
 }
 
 
 def statements() -> dict[str, str]:
-    return {**oracle.statements(), **transfer.statements(), **extended.statements()}
+    parts = (oracle, transfer, extended, attempts)
+    return {name: text for part in parts for name, text in part.statements().items()}
