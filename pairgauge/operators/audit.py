@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import LabelledFrame
+from . import profile
 
 AUDIT_NOTE = (
     "Duplicate counts are for diagnosis; rows with conflicting targets need a manual look. "
@@ -132,3 +133,31 @@ def target_summary(df: DataFrame, target: str, keys: tuple[str, ...] = ()) -> Da
 def first_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     """The first rows in a stated order."""
     return df.orderBy(*order).limit(n)
+
+
+def audit_record(lf: LabelledFrame) -> DataFrame:
+    """One record per dataset: size, classes, missing and constant columns, duplicates, and the note.
+
+    Everything but the duplicates comes from one set of column statistics; ``missing_by_column`` holds
+    columns with gaps only, ``constant_columns`` are in column order.
+    """
+    keys = list(lf.keys)
+    statistics = profile.column_statistics(lf)
+    counts = profile.class_counts(lf).where(F.col(lf.target).isNotNull()).groupBy(*keys)
+    entry = F.struct(F.col(lf.target).alias("key"), F.col("class_rows").alias("value"))
+    counts = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("class_counts"))
+    gap = [
+        F.when(F.col(f"{c}__missing") > 0, F.struct(F.lit(c).alias("key"), F.col(f"{c}__missing").alias("value")))
+        for c in lf.features
+    ]
+    flat = [F.when(profile.is_constant(lf, c), F.lit(c)) for c in lf.features]
+    present = lambda cells: F.filter(F.array(*cells), lambda e: e.isNotNull())
+    described = statistics.select(
+        *keys,
+        F.lit(len(lf.features)).cast("long").alias("n_features"),
+        sum((F.col(f"{c}__missing") for c in lf.features), F.lit(0)).cast("long").alias("missing_cells"),
+        F.map_from_entries(present(gap)).alias("missing_by_column"),
+        present(flat).alias("constant_columns"),
+    )
+    joined = duplicate_audit(lf).join(described, keys).join(counts, keys, "left")
+    return joined.withColumn("notes", F.lit(AUDIT_NOTE))

@@ -77,7 +77,7 @@ def _range_columns(lf: LabelledFrame, name: str) -> dict[str, Column]:
     }
 
 
-def _is_constant(lf: LabelledFrame, name: str) -> Column:
+def is_constant(lf: LabelledFrame, name: str) -> Column:
     missing = F.col(f"{name}__missing")
     single = reduce(
         and_, [F.col(f"{s}__min") == F.col(f"{s}__max") for s in _range_columns(lf, name)]
@@ -101,7 +101,7 @@ def describe(statistics: DataFrame, lf: LabelledFrame, extra: tuple[str, ...] =
     width = len(lf.features)
     rows = F.col("n_rows")
     missing = reduce(add, [F.col(f"{c}__missing") for c in lf.features])
-    constant = reduce(add, [_flag(_is_constant(lf, c)) for c in lf.features])
+    constant = reduce(add, [_flag(is_constant(lf, c)) for c in lf.features])
     values = {
         "n_samples": rows,
         "n_features": F.lit(width).cast("long"),
@@ -152,7 +152,7 @@ def missing_by_column(lf: LabelledFrame) -> DataFrame:
 
 def constant_columns(lf: LabelledFrame) -> DataFrame:
     """(keys, position, column) of columns with at most one value, missing counted as one."""
-    long = _per_column(lf, column_statistics(lf), constant=lambda c: _is_constant(lf, c))
+    long = _per_column(lf, column_statistics(lf), constant=lambda c: is_constant(lf, c))
     return long.filter("constant").drop("constant")
 
 

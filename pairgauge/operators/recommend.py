@@ -227,6 +227,22 @@ def summarise(predictions: DataFrame, model: str, margin: float = C.MARGIN) -> D
     ).select(F.lit(model).alias("model"), F.lit(margin).alias("margin"), "*")
 
 
+def winner_accuracy(predictions: DataFrame) -> DataFrame:
+    """One row: mean absolute gap error, accuracy for each actual winner, and their mean.
+
+    The mean is null where one of the two pipelines never wins.
+    """
+    actual, right = F.col("actual_best_pipeline"), F.col("correct_best_pipeline").cast("int")
+    per = {w: F.avg(F.when(actual == w, right)) for w in C.FAMILIES}
+    return predictions.agg(
+        F.count(F.lit(1)).alias("n_datasets"),
+        F.avg(F.abs(F.col("predicted_gap") - F.col("actual_gap"))).alias("mae_gap"),
+        *[F.count_if(actual == w).alias(f"wins_{w.lower()}") for w in C.FAMILIES],
+        *[v.alias(f"accuracy_{w.lower()}") for w, v in per.items()],
+        ((per["GBDT"] + per["DNN"]) / 2).alias("balanced_accuracy"),
+    )
+
+
 PREDICTORS = {
     "dummy_mean": dummy_predictions,
     "ridge": ridge_predictions,

@@ -1,6 +1,6 @@
 """Descriptors of the shape of columns: cardinality, skew and tails, correlation; and sampled descriptors.
 
-Each dataset is one output row. A dataset without a column of the kind has nulls.
+Each dataset is one output row. Where no column is of the kind or has enough values, the value is null.
 """
 
 from __future__ import annotations
@@ -26,11 +26,10 @@ def cardinalities(lf: LabelledFrame) -> DataFrame:
 
     Cells are counted before they are distinct, so a frequent value travels once per task.
     """
-    if not lf.categorical:
-        raise ValueError("No categorical column.")
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in lf.categorical])
-    )
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in lf.categorical]
+    # A table without such a column has one entry that no column owns.
+    nothing = F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("level"))
+    cells = F.explode(F.array(*(entries or [nothing])))
     long = lf.df.select(*lf.keys, cells.alias("e")).select(*lf.keys, "e.*")
     counted = long.groupBy(*lf.keys, "column", "level").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy(*lf.keys, "column").agg(F.count("level").alias("n_levels"))
@@ -38,10 +37,11 @@ def cardinalities(lf: LabelledFrame) -> DataFrame:
 
 def cardinality_summary(lf: LabelledFrame, many: int = MANY_LEVELS) -> DataFrame:
     """Mean and largest number of levels, and the share of columns with more than ``many``."""
+    levels = F.when(F.col("column").isNotNull(), F.col("n_levels"))
     return cardinalities(lf).groupBy(*lf.keys).agg(
-        F.avg("n_levels").alias("mean_levels"),
-        F.max("n_levels").alias("max_levels"),
-        F.avg((F.col("n_levels") > many).cast("double")).alias("share_many_levels"),
+        F.avg(levels).alias("mean_levels"),
+        F.max(levels).alias("max_levels"),
+        F.avg((levels > many).cast("double")).alias("share_many_levels"),
     )
 
 
@@ -57,21 +57,23 @@ def _quantile(values: Column, share: float) -> Column:
 def tails(lf: LabelledFrame) -> DataFrame:
     """Median and ninth decile over numeric columns of absolute skew and of excess kurtosis (population).
 
-    Moments are centred while they are merged. A column without spread has neither and isn't counted.
+    Moments are centred while they are merged. Skew needs three values and kurtosis four; a column without
+    spread has neither.
     """
-    if not lf.numeric:
-        raise ValueError("No numeric column.")
     facts = []
     for k, c in enumerate(lf.numeric):
         value = F.col(c).cast("double")
         # Where all values are equal, rounding may still leave a spread.
         spread = F.min(value) < F.max(value)
-        facts += [F.when(spread, F.skewness(value)).alias(f"s{k}"), F.when(spread, F.kurtosis(value)).alias(f"k{k}")]
-    per = lf.df.groupBy(*lf.keys).agg(*facts)
+        facts += [
+            F.when(spread & (F.count(value) >= 3), F.skewness(value)).alias(f"s{k}"),
+            F.when(spread & (F.count(value) >= 4), F.kurtosis(value)).alias(f"k{k}"),
+        ]
+    per = lf.df.groupBy(*lf.keys).agg(F.count(F.lit(1)).alias("rows"), *facts)
     width = range(len(lf.numeric))
     columns = {
-        "skew": F.array(*[F.abs(F.col(f"s{k}")) for k in width]),
-        "kurtosis": F.array(*[F.col(f"k{k}") for k in width]),
+        "skew": F.array(*[F.abs(F.col(f"s{k}")) for k in width]).cast("array<double>"),
+        "kurtosis": F.array(*[F.col(f"k{k}") for k in width]).cast("array<double>"),
     }
     arrays = per.select(
         *lf.keys, *[F.array_sort(F.filter(v, lambda x: x.isNotNull() & ~F.isnan(x))).alias(k) for k, v in columns.items()]
@@ -148,7 +150,7 @@ def pair_correlations(lf: LabelledFrame, block: int = BLOCK) -> DataFrame:
     Values are first centred by their column's mean. Tasks add up products of column blocks (``block``
     columns by as many), so their memory doesn't grow with the number of columns beyond a row's; every pair
     of columns then sums one number per task and kind. No cap on rows or columns. A pair without spread has a
-    null correlation.
+    null correlation, and so has one with fewer than three rows.
     """
     width = len(lf.numeric)
     if width < 2:
@@ -178,13 +180,19 @@ def pair_correlations(lf: LabelledFrame, block: int = BLOCK) -> DataFrame:
     value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
     return summed.select(
         F.col("key").alias(key), "i", "j", F.col("n").cast("bigint").alias("n"),
-        F.when(~flat & (F.col("n") > 1), value).alias("correlation"),
+        F.when(~flat & (F.col("n") >= 3), value).alias("correlation"),
     )
 
 
 def correlation_summary(lf: LabelledFrame, strong: float = STRONG, block: int = BLOCK) -> DataFrame:
     """Mean and largest absolute correlation, and the share of pairs above ``strong``."""
     size = F.abs("correlation")
+    if len(lf.numeric) < 2:
+        none = F.lit(None).cast("double")
+        return lf.df.select(*lf.keys).distinct().select(
+            *lf.keys, F.lit(0).cast("bigint").alias("n_pairs"),
+            *[none.alias(c) for c in ("mean_abs_correlation", "max_abs_correlation", "share_strong")],
+        )
     return pair_correlations(lf, block).groupBy(*lf.keys).agg(
         F.count("correlation").alias("n_pairs"),
         F.avg(size).alias("mean_abs_correlation"),
@@ -193,6 +201,67 @@ def correlation_summary(lf: LabelledFrame, strong: float = STRONG, block: int =
     )
 
 
+def basic_extras(lf: LabelledFrame) -> DataFrame:
+    """Further descriptors from counts, ranges and moments of columns; one row per dataset.
+
+    log_rows, log_features; numeric, categorical and binary columns (exactly two values present); share of
+    columns with gaps and the largest share of gaps; target entropy in nats and relative to its maximum;
+    median of ln(1 + variance) and share of nearly constant numeric columns; surplus duplicates; share of
+    zeros among present numbers.
+    """
+    keys, p = list(lf.keys), len(lf.features)
+    rows = F.count(F.lit(1))
+    facts = [rows.alias("n")]
+    for k, c in enumerate(lf.features):
+        facts.append((rows - F.count(c)).alias(f"gaps{k}"))
+    for k, c in enumerate(lf.numeric):
+        value = F.col(c).cast("double")
+        facts += [
+            F.min(value).alias(f"low{k}"), F.max(value).alias(f"high{k}"), F.var_pop(value).alias(f"m{k}"),
+            F.avg(value * value).alias(f"q{k}"), F.count_if(value == 0).alias(f"z{k}"),
+        ]
+    stats = lf.df.groupBy(*keys).agg(*facts)
+    # Two values are the range of a column with nothing between; this takes a second scan, no distinct count.
+    between = [
+        F.count_if((F.col(c) > F.col(f"low{k}")) & (F.col(c) < F.col(f"high{k}"))).alias(f"between{k}")
+        for k, c in enumerate(lf.numeric)
+    ]
+    bounds = stats.select(*keys, *[F.col(f"{e}{k}") for k in range(len(lf.numeric)) for e in ("low", "high")])
+    inner = lf.df.join(bounds, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *between).drop("__n")
+    levels = cardinalities(lf).groupBy(*keys).agg(F.count_if(F.col("column").isNotNull() & (F.col("n_levels") == 2)).alias("binary_levels"))
+    classes = lf.df.where(F.col(lf.target).isNotNull()).groupBy(*keys, lf.target).agg(rows.alias("c"))
+    entropy = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
+    classes = classes.groupBy(*keys).agg(entropy.alias("target_entropy"), F.count(F.lit(1)).alias("classes"))
+    signatures = lf.df.groupBy(*keys, *lf.features).agg(rows.alias("c")).groupBy(*keys)
+    signatures = signatures.agg(((F.sum("c") - F.count(F.lit(1))) / F.sum("c")).alias("surplus_duplicates"))
+    joined = stats.join(inner, keys).join(levels, keys).join(signatures, keys).join(classes, keys, "left")
+    total = lambda cells: sum(cells, F.lit(0))
+    numbers = range(len(lf.numeric))
+    seen = F.lit(len(lf.numeric)) * F.col("n") - total(F.col(f"gaps{k}") for k in numbers)
+    two = lambda k: (F.col(f"low{k}") < F.col(f"high{k}")) & (F.col(f"between{k}") == 0)
+    binary = total(F.coalesce(two(k).cast("int"), F.lit(0)) for k in numbers)
+    spread = F.array_sort(F.filter(F.array(*[F.log1p(f"m{k}") for k in numbers]).cast("array<double>"), lambda v: v.isNotNull()))
+    known = total(F.col(f"m{k}").isNotNull().cast("int") for k in numbers)
+    still = total(F.coalesce((F.col(f"m{k}") / (F.col(f"q{k}") + 1e-12) < 1e-8).cast("int"), F.lit(0)) for k in numbers)
+    gaps = [F.col(f"gaps{k}") / F.col("n") for k in range(p)]
+    return joined.select(
+        *keys,
+        F.log1p("n").alias("log_rows"),
+        F.log1p(F.lit(float(p))).alias("log_features"),
+        F.lit(len(lf.numeric)).alias("n_numeric"),
+        F.lit(len(lf.categorical)).alias("n_categorical"),
+        (binary + F.coalesce("binary_levels", F.lit(0))).cast("bigint").alias("n_binary"),
+        (total((g > 0).cast("int") for g in gaps) / p).alias("gap_columns_share"),
+        (F.greatest(*gaps) if p > 1 else gaps[0]).alias("largest_gap_share"),
+        "target_entropy",
+        F.when(F.col("classes") > 1, F.col("target_entropy") / F.log("classes")).alias("relative_entropy"),
+        _quantile(spread, 0.5).alias("median_log_variance"),
+        (still / F.nullif(known, F.lit(0))).alias("near_constant_share"),
+        "surplus_duplicates",
+        (total(F.col(f"z{k}") for k in numbers) / F.nullif(seen, F.lit(0))).alias("zero_share"),
+    )
+
+
 def sampled_descriptors(described: DataFrame, keys: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
     """Mean descriptors over the samples of each dataset, as recorded for tables that were benchmarked.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..frame import LabelledFrame
-from ..operators import entity_splits, fold_stats, profile, recommend, resample, shape, sparse, splits
+from ..operators import audit, entity_splits, fold_stats, profile, recommend, resample, shape, sparse, splits
 from ..protocol import FULL
 from ..session import stored
 from ..sources.tables import read_table
@@ -112,6 +112,30 @@ def correlation_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(shape.correlation_summary(_wide(spark, sf)))
 
 
+def basic_extras(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(shape.basic_extras(_wide(spark, sf)))
+
+
+def audit_record(spark: SparkSession, sf: str) -> DataFrame:
+    """The record as plain columns: maps and lists joined to text."""
+    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    found = audit.audit_record(_wide(spark, sf)).drop("notes")
+    return found.withColumns(
+        {
+            "class_counts": pairs("class_counts"),
+            "missing_by_column": pairs("missing_by_column"),
+            "constant_columns": F.array_join(F.array_sort("constant_columns"), ","),
+        }
+    )
+
+
+def winner_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """How the held-out mean does on the suppliers' measured scores, by who really won."""
+    names = {outcomes.GAP: C.GAP, "score_vote": C.SCORE_GBDT, "score_centroid": C.SCORE_DNN}
+    meta = stored(outcomes.measured_meta(spark, sf)).withColumnsRenamed(names)
+    return rounded(recommend.winner_accuracy(recommend.evaluate(meta, recommend.dummy_predictions(meta))))
+
+
 def _learned_and_all(spark: SparkSession, sf: str) -> tuple[LabelledFrame, LabelledFrame]:
     """Lines of every supplier; those shipped early train, later ones bring new parts and months."""
     lf = _wide(spark, sf)
@@ -160,6 +184,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         correlation_summary,
         sparse_dictionary,
         sparse_design,
+        basic_extras,
+        audit_record,
+        winner_accuracy,
     )
 }
 
@@ -184,7 +211,7 @@ def _tails_sql() -> str:
     parts = " UNION ALL ".join(
         f"""SELECT dataset, abs(m3 / m2 ** 1.5) AS s, m4 / (m2 * m2) - 3 AS k FROM (SELECT dataset, avg(({c} - m) ** 2) AS m2,
             avg(({c} - m) ** 3) AS m3, avg(({c} - m) ** 4) AS m4, min({c}) AS low, max({c}) AS high
-            FROM wide JOIN (SELECT dataset, avg({c}) AS m FROM wide GROUP BY dataset) USING (dataset) GROUP BY dataset) WHERE low < high"""
+            FROM wide JOIN (SELECT dataset, avg({c}) AS m FROM wide GROUP BY dataset) USING (dataset) GROUP BY dataset HAVING count({c}) >= 4) WHERE low < high"""
         for c in _NUMERIC
     )
     return f"""WITH {_WIDE}, moments AS ({parts}) SELECT dataset, count(*)::INT AS n_columns,
@@ -239,7 +266,47 @@ _SPARSE = f"""WITH rows_ AS (SELECT 'supplier-' || l_suppkey AS dataset,
         + [f"SELECT dataset, row_id, 'level', '{c}', {c}, 1.0 FROM rows_" for c in ("linestatus", "part", "month")]
     )})"""
 
+_FEATURES = (*_NUMERIC, "linestatus", "part", "month")
+_GAPS = [f"(count(*) - count({c}))" for c in _FEATURES]
+_EXTRAS = f"""WITH {_WIDE.replace("AS month FROM", "AS month, (l_returnflag = 'R')::INT AS y FROM")},
+    binaries AS (SELECT dataset, {" + ".join(f"(count(DISTINCT {c}) = 2)::INT" for c in _FEATURES)} AS n_binary FROM wide GROUP BY dataset),
+    spreads AS ({" UNION ALL ".join(f"SELECT dataset, var_pop({c}) AS m2, avg({c} * {c}) AS q FROM wide GROUP BY dataset" for c in _NUMERIC)}),
+    spread AS (SELECT dataset, quantile_cont(ln(1 + m2), 0.5) AS v, avg((m2 / (q + 1e-12) < 1e-8)::INT) AS still FROM spreads GROUP BY dataset),
+    entropy AS (SELECT dataset, -sum(q * ln(q)) AS e, count(*) AS k FROM (SELECT dataset, y, count(*) / sum(count(*)) OVER (PARTITION BY dataset) AS q
+      FROM wide GROUP BY dataset, y) GROUP BY dataset),
+    plain AS (SELECT dataset, count(*) AS n, ({" + ".join(f"({g} > 0)::INT" for g in _GAPS)}) / {len(_FEATURES)}.0 AS gap_columns,
+      greatest({", ".join(_GAPS)}) / count(*)::DOUBLE AS largest, ({" + ".join(f"count(*) FILTER ({c} = 0)" for c in _NUMERIC)})::DOUBLE
+        / ({" + ".join(f"count({c})" for c in _NUMERIC)}) AS zeros FROM wide GROUP BY dataset),
+    sigs AS (SELECT dataset, (sum(c) - count(*))::DOUBLE / sum(c) AS surplus FROM (SELECT dataset, count(*) AS c FROM wide
+      GROUP BY dataset, {", ".join(_FEATURES)}) GROUP BY dataset)"""
+
 SQL: dict[str, str] = {
+    "basic_extras": _EXTRAS + f""" SELECT dataset, {_r("ln(1 + n)")} AS log_rows, {_r(f"ln(1 + {len(_FEATURES)})")} AS log_features,
+        {len(_NUMERIC)}::INT AS n_numeric, 3::INT AS n_categorical, n_binary::BIGINT AS n_binary, {_r("gap_columns::DOUBLE")} AS gap_columns_share,
+        {_r("largest")} AS largest_gap_share, {_r("e")} AS target_entropy, CASE WHEN k > 1 THEN {_r("e / ln(k)")} END AS relative_entropy,
+        {_r("v")} AS median_log_variance, {_r("still")} AS near_constant_share, {_r("surplus")} AS surplus_duplicates, {_r("zeros")} AS zero_share
+        FROM plain JOIN binaries USING (dataset) JOIN spread USING (dataset) JOIN entropy USING (dataset) JOIN sigs USING (dataset)""",
+    "audit_record": _EXTRAS + f""", groups AS (SELECT dataset, count(*) AS n, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1
+          FROM wide GROUP BY dataset, {", ".join(_FEATURES)}),
+        dup AS (SELECT dataset, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS duplicate_feature_rows,
+          count(*) FILTER (n > 1) AS duplicate_feature_groups,
+          (coalesce(sum(n0) FILTER (n0 > 1), 0) + coalesce(sum(n1) FILTER (n1 > 1), 0))::BIGINT AS exact_duplicate_rows,
+          count(*) FILTER (n0 > 1) + count(*) FILTER (n1 > 1) AS exact_duplicate_groups,
+          coalesce(sum(n) FILTER (n0 > 0 AND n1 > 0), 0)::BIGINT AS conflicting_target_signature_rows,
+          count(*) FILTER (n0 > 0 AND n1 > 0) AS conflicting_target_signature_groups FROM groups GROUP BY dataset),
+        gaps AS (SELECT dataset, ({" + ".join(_GAPS)})::BIGINT AS missing_cells,
+          concat_ws(',', {", ".join(f"CASE WHEN {g} > 0 THEN '{c}:' || {g} END" for c, g in sorted(zip(_FEATURES, _GAPS, strict=True)))}) AS missing_by_column,
+          concat_ws(',', {", ".join(f"CASE WHEN count(DISTINCT {c}) + (count(*) > count({c}))::INT <= 1 THEN '{c}' END" for c in sorted(_FEATURES))}) AS constant_columns,
+          concat_ws(',', CASE WHEN min(y) = 0 THEN '0:' || count(*) FILTER (y = 0) END, CASE WHEN max(y) = 1 THEN '1:' || count(*) FILTER (y = 1) END) AS class_counts
+          FROM wide GROUP BY dataset)
+        SELECT *, {len(_FEATURES)}::BIGINT AS n_features FROM dup JOIN gaps USING (dataset)""",
+    "winner_accuracy": transfer._WITH + f""",
+        sums AS (SELECT family, count(*) AS n, sum(gap) AS g FROM measured GROUP BY family),
+        told AS (SELECT m.*, ((SELECT sum(g) FROM sums) - g) / ((SELECT sum(n) FROM sums) - n) AS predicted FROM measured AS m JOIN sums USING (family)),
+        hits AS (SELECT gap, predicted, gap > 0 AS high, ((predicted > 0.01) = (gap > 0))::INT AS hit FROM told)
+        SELECT count(*) AS n_datasets, {_r("avg(abs(predicted - gap))")} AS mae_gap, count(*) FILTER (NOT high) AS wins_gbdt, count(*) FILTER (high) AS wins_dnn,
+          {_r("avg(hit) FILTER (NOT high)")} AS accuracy_gbdt, {_r("avg(hit) FILTER (high)")} AS accuracy_dnn,
+          {_r("(avg(hit) FILTER (NOT high) + avg(hit) FILTER (high)) / 2")} AS balanced_accuracy FROM hits""",
     "sparse_dictionary": _SPARSE + f""" SELECT dataset, kind, col AS "column", level, index, name, {_r("fill")} AS fill FROM dict""",
     "sparse_design": _SPARSE + f""" SELECT c.dataset, row_id, index, {_r("coalesce(value, fill)")} AS value
         FROM cells AS c JOIN dict AS d ON c.dataset = d.dataset AND c.kind = d.kind AND c.col = d.col

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairgauge.frame import LabelledFrame
 from pairgauge.functions.ranks import running_totals, value_levels
-from pairgauge.operators import entity_splits, fold_stats, prep, resample, shape, sparse
+from pairgauge.operators import audit, entity_splits, fold_stats, prep, resample, shape, sparse
 from pairgauge.plans import catalogue, extended, transfer
 
 from . import compare
@@ -252,3 +252,41 @@ def test_sparse_rows_equal_dense_ones(spark, scaled):
         assert got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1], atol=1e-12)
     packed = sparse.vectors(found, known).where("row_id = 'r1'").first()
     assert packed["indices"] == sorted(packed["indices"]) and packed["size"] == sum(k[0] == "d1" for k in names)
+
+
+# --- absent kinds of columns, records ----------------------------------------------------
+
+
+def test_absent_kinds_of_columns_give_nulls(spark):
+    df = spark.createDataFrame([("a", 1.0, "x", 0), ("a", 2.0, "y", 1), ("b", None, None, 1)], "dataset string, v double, c string, y int")
+    only_text, only_number = LabelledFrame(df, (), ("c",)), LabelledFrame(df, ("v",), ())
+    levels = shape.cardinality_summary(only_number).collect()
+    assert len(levels) == 2 and all(r.mean_levels is None and r.max_levels is None for r in levels)
+    assert all(r.n_columns == 0 and r.p90_kurtosis is None for r in shape.tails(only_text).collect())
+    # Two values are too few for skew.
+    assert all(r.median_abs_skew is None for r in shape.tails(only_number).collect())
+    pairs = shape.correlation_summary(only_number).collect()
+    assert len(pairs) == 2 and all(r.n_pairs == 0 and r.share_strong is None for r in pairs)
+    got = {r.dataset: r for r in shape.basic_extras(only_number).collect()}
+    assert got["a"].n_binary == 1 and got["b"].n_binary == 0 and got["b"].zero_share is None
+    assert np.isclose(got["a"].target_entropy, np.log(2)) and got["a"].relative_entropy == 1.0
+    assert got["b"].target_entropy == 0 and got["b"].relative_entropy is None and got["b"].largest_gap_share == 1.0
+    text = {r.dataset: r for r in shape.basic_extras(only_text).collect()}
+    assert text["a"].n_binary == 1 and text["a"].median_log_variance is None
+
+
+def test_surplus_duplicates_count_copies_beyond_the_first(spark):
+    df = spark.createDataFrame([("d", "a", 0), ("d", "a", 1), ("d", "b", 1)], "dataset string, c string, y int")
+    assert np.isclose(shape.basic_extras(LabelledFrame(df, (), ("c",))).first().surplus_duplicates, 1 / 3)
+
+
+def test_audit_record(spark):
+    rows = [("d", 1.0, None, "k", 0), ("d", 1.0, None, "k", 1), ("d", 2.0, 5.0, "k", 1), ("e", 1.0, 1.0, None, None)]
+    df = spark.createDataFrame(rows, "dataset string, a double, b double, c string, y int")
+    got = {r.dataset: r for r in audit.audit_record(LabelledFrame(df, ("a", "b"), ("c",))).collect()}
+    d, e = got["d"], got["e"]
+    assert (d.n_rows, d.n_features, d.missing_cells, d.missing_by_column) == (3, 3, 2, {"b": 2})
+    assert d.class_counts == {0: 1, 1: 2} and d.constant_columns == ["c"]
+    assert (d.duplicate_feature_rows, d.conflicting_target_signature_rows, d.exact_duplicate_rows) == (2, 2, 0)
+    assert e.class_counts is None and e.constant_columns == ["a", "b", "c"] and e.missing_by_column == {"c": 1}
+    assert d.notes == audit.AUDIT_NOTE
