@@ -229,11 +229,12 @@ def basic_extras(lf: LabelledFrame) -> DataFrame:
     bounds = stats.select(*keys, *[F.col(f"{e}{k}") for k in range(len(lf.numeric)) for e in ("low", "high")])
     inner = lf.df.join(bounds, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *between).drop("__n")
     levels = cardinalities(lf).groupBy(*keys).agg(F.count_if(F.col("column").isNotNull() & (F.col("n_levels") == 2)).alias("binary_levels"))
-    classes = lf.df.where(F.col(lf.target).isNotNull()).groupBy(*keys, lf.target).agg(rows.alias("c"))
-    entropy = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
+    classes = lf.df.where(F.col(lf.target).isNotNull()).groupBy(*keys, lf.target).agg(rows.alias("__copies"))
+    copies = F.col("__copies")
+    entropy = F.log(F.sum(copies)) - F.sum(copies * F.log(copies)) / F.sum(copies)
     classes = classes.groupBy(*keys).agg(entropy.alias("target_entropy"), F.count(F.lit(1)).alias("classes"))
-    signatures = lf.df.groupBy(*keys, *lf.features).agg(rows.alias("c")).groupBy(*keys)
-    signatures = signatures.agg(((F.sum("c") - F.count(F.lit(1))) / F.sum("c")).alias("surplus_duplicates"))
+    signatures = lf.df.groupBy(*keys, *lf.features).agg(rows.alias("__copies")).groupBy(*keys)
+    signatures = signatures.agg(((F.sum(copies) - F.count(F.lit(1))) / F.sum(copies)).alias("surplus_duplicates"))
     joined = stats.join(inner, keys).join(levels, keys).join(signatures, keys).join(classes, keys, "left")
     total = lambda cells: sum(cells, F.lit(0))
     numbers = range(len(lf.numeric))
