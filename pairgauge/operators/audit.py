@@ -82,40 +82,53 @@ def shared_rows(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFr
     return left.select(*columns).intersect(right.select(*columns))
 
 
-def overlap_counts(left: DataFrame, right: DataFrame, columns: list[str], scope: str) -> DataFrame:
-    """One row: signatures on both sides and rows in repeated signatures of each side.
-
-    Both sides go through one aggregation by signature instead of an intersect and two
-    duplicate counts.
-    """
+def _sides(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns, n_left, n_right): rows of each side per signature."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    named = F.lit(scope).alias("scope")
-    if not columns:
-        names = ["shared_signatures", "left_repeated_rows", "right_repeated_rows"]
-        return left.sparkSession.range(1).select(named, *[none.alias(n) for n in names])
     stacked = left.select(*columns, one.alias("in_left"), none.alias("in_right")).unionByName(
         right.select(*columns, none.alias("in_left"), one.alias("in_right"))
     )
-    counted = stacked.groupBy(*columns).agg(
-        F.sum("in_left").alias("n_left"), F.sum("in_right").alias("n_right")
-    )
-    n_left, n_right = F.col("n_left"), F.col("n_right")
+    return stacked.groupBy(*columns).agg(F.sum("in_left").alias("n_left"), F.sum("in_right").alias("n_right"))
+
+
+def _overlap(counted: DataFrame, scope: str) -> DataFrame:
+    n_left, n_right, none = F.col("n_left"), F.col("n_right"), F.lit(0).cast("long")
     return counted.agg(
         F.count_if((n_left > 0) & (n_right > 0)).alias("shared_signatures"),
         F.coalesce(F.sum(F.when(n_left > 1, n_left)), none).alias("left_repeated_rows"),
         F.coalesce(F.sum(F.when(n_right > 1, n_right)), none).alias("right_repeated_rows"),
-    ).select(named, "*")
+    ).select(F.lit(scope).alias("scope"), "*")
+
+
+def _no_overlap(df: DataFrame, scope: str) -> DataFrame:
+    names = ["shared_signatures", "left_repeated_rows", "right_repeated_rows"]
+    none = [F.lit(0).cast("long").alias(n) for n in names]
+    return df.sparkSession.range(1).select(F.lit(scope).alias("scope"), *none)
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, columns: list[str], scope: str) -> DataFrame:
+    """One row: signatures on both sides and rows in repeated signatures of each side.
+
+    Both sides go through one aggregation by signature instead of an intersect and two
+    duplicate counts.
+    """
+    return _overlap(_sides(left, right, columns), scope) if columns else _no_overlap(left, scope)
 
 
 def predictor_overlap(
     train: DataFrame, test: DataFrame, target: str, id_column: str | None = None
 ) -> DataFrame:
-    """Leak check between two tables over their shared predictors, with and without the id."""
+    """Leak check between two tables over their shared predictors, with and without the id.
+
+    Rows are counted once, by all shared columns; signatures without the id add those counts up.
+    """
     shared = [c for c in train.columns if c != target and c in test.columns]
     signature = [c for c in shared if c != id_column]
-    return overlap_counts(train, test, shared, "with_id").unionByName(
-        overlap_counts(train, test, signature, "without_id")
-    )
+    if not signature:
+        return overlap_counts(train, test, shared, "with_id").unionByName(_no_overlap(train, "without_id"))
+    full = _sides(train, test, shared)
+    rolled = full.groupBy(*signature).agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+    return _overlap(full, "with_id").unionByName(_overlap(rolled, "without_id"))
 
 
 def target_summary(df: DataFrame, target: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running_totals, value_levels
+
 # The group with the most distinct scores is cut into buckets of about this many.
 SCORES_PER_RANK_TASK = 200_000
 
@@ -62,24 +64,29 @@ def auc_from_cells(
 ) -> DataFrame:
     """Exact ROC-AUC from tie-free score cells; NULL for one class or a non-finite score.
 
-    Pairs won by positives, counted as neg x (positives above + half the ties). A group with
-    many distinct scores is cut at sketched quantiles: inside a bucket the positives above come
-    from a running sum, between buckets from bucket totals, so no task ranks a whole large group
-    and the value does not depend on where the cuts fall.
+    Pairs won by positives, counted as neg x (positives above + half the ties). Where some group has
+    more scores than one task should rank, positives above come from running totals over levels of the
+    score, so no task ranks a whole large group; the value is the same either way.
     """
     keys = list(keys)
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_scores"))
     most = sizes.agg(F.max("n_scores")).first()[0] or 0
-    buckets = -(-most // scores_per_task)
-    if buckets <= 1:  # the value is the same for any number of buckets
+    if most <= scores_per_task:
         return _auc_of_buckets(cells.withColumn("bucket", F.lit(0)), keys)
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = cells.groupBy(*keys).agg(
-        F.percentile_approx("score", cuts, max(2000, 10 * buckets)).alias("edges")
+    # A score that isn't finite makes the result null wherever it stands.
+    finite = F.when(is_finite(F.col("score")), F.col("score")).otherwise(F.lit(0.0))
+    held = cells.withColumn("place", finite)
+    placed = running_totals(held, keys, ["pos"], value_levels(F.col("place")), [F.col("place")])
+    totals = cells.groupBy(*keys).agg(F.sum("pos").alias("all_pos"))
+    above = F.col("all_pos") - F.col("pos__before") - F.col("pos")
+    wins = F.col("neg") * (above.cast("double") + F.col("pos") / 2)
+    summed = placed.join(totals, keys).groupBy(*keys).agg(
+        F.sum(wins).alias("all_wins"),
+        F.sum("pos").cast("double").alias("pos"),
+        F.sum("neg").cast("double").alias("neg"),
+        F.count_if(~is_finite(F.col("score"))).alias("bad"),
     )
-    below = F.size(F.filter(F.col("edges"), lambda e: e < F.col("score")))
-    bucketed = cells.join(edges, keys).withColumn("bucket", below).drop("edges")
-    return _auc_of_buckets(bucketed, keys)
+    return _auc_of_wins(summed, keys)
 
 
 def _auc_of_buckets(bucketed: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,7 +113,7 @@ def _auc_of_buckets(bucketed: DataFrame, keys: list[str]) -> DataFrame:
         )
     )
     higher = F.coalesce(F.sum("pos").over(above_buckets), F.lit(0.0))
-    return (
+    return _auc_of_wins(
         per_bucket.withColumn("all_wins", F.col("wins") + F.col("neg") * higher)
         .groupBy(*keys)
         .agg(
@@ -114,16 +121,16 @@ def _auc_of_buckets(bucketed: DataFrame, keys: list[str]) -> DataFrame:
             F.sum("pos").alias("pos"),
             F.sum("neg").alias("neg"),
             F.sum("bad").alias("bad"),
-        )
-        .select(
-            *keys,
-            F.when(
-                F.col("bad") == 0, F.try_divide(F.col("all_wins"), F.col("pos") * F.col("neg"))
-            ).alias("roc_auc"),
-        )
+        ),
+        keys,
     )
 
 
+def _auc_of_wins(summed: DataFrame, keys: list[str]) -> DataFrame:
+    share = F.try_divide(F.col("all_wins"), F.col("pos") * F.col("neg"))
+    return summed.select(*keys, F.when(F.col("bad") == 0, share).alias("roc_auc"))
+
+
 def roc_auc(
     scored: DataFrame,
     keys: Sequence[str],

@@ -25,6 +25,20 @@ ROWS_PER_BUCKET = 256
 _BUCKET_DIGITS = 4
 
 
+def row_id_status(lf: LabelledFrame) -> DataFrame:
+    """(keys, n_rows, n_ids, repeated_rows, status): whether ids are present and unique in each dataset."""
+    rows = F.col("__rows")
+    counted = lf.df.groupBy(*lf.keys, lf.row_id).agg(F.count(F.lit(1)).alias("__rows"))
+    missing = F.count_if(F.col(lf.row_id).isNull())
+    repeated = F.coalesce(F.sum(F.when(rows > 1, rows)), F.lit(0).cast("long"))
+    return counted.groupBy(*lf.keys).agg(
+        F.sum(rows).alias("n_rows"),
+        F.count(F.lit(1)).alias("n_ids"),
+        repeated.alias("repeated_rows"),
+        F.when(missing > 0, "missing_row_id").when(repeated > 0, "repeated_row_id").otherwise("ok").alias("status"),
+    )
+
+
 def class_quotas(lf: LabelledFrame, test_size: float) -> DataFrame:
     """Hold-out size per class: ceil(test_size * n) rows by largest remainder, low class first."""
     sizes = lf.df.groupBy(*lf.keys, lf.target).agg(F.count(F.lit(1)).alias("class_rows"))
@@ -252,11 +266,17 @@ def assign_splits(
     inner_folds: int,
     carry: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Every row once per seed with ``part`` ('train'/'test') and its inner ``fold``.
 
-    Test rows have a NULL fold. Both pipelines read this one table, hence identical partitions.
+    Test rows have a NULL fold. Both pipelines read this one table, hence identical partitions. With
+    ``unique_ids``, datasets whose row ids are missing or repeat (see ``row_id_status``) are left out, so
+    that all sizes hold exactly.
     """
+    if unique_ids:
+        good = stored(row_id_status(lf).where("status = 'ok'").select(*lf.keys))
+        lf = lf.with_df(lf.df.join(good, list(lf.keys), "left_semi"))
     cutoffs = stored(block_cutoffs(lf, seeds, test_size, inner_folds, rows_per_bucket))
     return assign_with(lf, cutoffs, seeds, inner_folds, carry)
 

@@ -112,6 +112,16 @@ def correlation_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(shape.correlation_summary(_wide(spark, sf)))
 
 
+def _by_line_number(spark: SparkSession, sf: str) -> LabelledFrame:
+    """Lines named by order and line number, which repeat for some suppliers."""
+    lf = tasks.returns(spark, sf)
+    return lf.with_df(lf.df.withColumn("row_id", F.concat_ws("-", *[F.split("row_id", "-")[k] for k in (0, 1)])))
+
+
+def row_id_status(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.row_id_status(_by_line_number(spark, sf))
+
+
 def basic_extras(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(shape.basic_extras(_wide(spark, sf)))
 
@@ -187,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         basic_extras,
         audit_record,
         winner_accuracy,
+        row_id_status,
     )
 }
 
@@ -281,6 +292,9 @@ _EXTRAS = f"""WITH {_WIDE.replace("AS month FROM", "AS month, (l_returnflag = 'R
       GROUP BY dataset, {", ".join(_FEATURES)}) GROUP BY dataset)"""
 
 SQL: dict[str, str] = {
+    "row_id_status": """SELECT dataset, sum(n)::BIGINT AS n_rows, count(*) AS n_ids, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS repeated_rows,
+        CASE WHEN max(n) > 1 THEN 'repeated_row_id' ELSE 'ok' END AS status
+        FROM (SELECT 'supplier-' || l_suppkey AS dataset, l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY dataset""",
     "basic_extras": _EXTRAS + f""" SELECT dataset, {_r("ln(1 + n)")} AS log_rows, {_r(f"ln(1 + {len(_FEATURES)})")} AS log_features,
         {len(_NUMERIC)}::INT AS n_numeric, 3::INT AS n_categorical, n_binary::BIGINT AS n_binary, {_r("gap_columns::DOUBLE")} AS gap_columns_share,
         {_r("largest")} AS largest_gap_share, {_r("e")} AS target_entropy, CASE WHEN k > 1 THEN {_r("e / ln(k)")} END AS relative_entropy,

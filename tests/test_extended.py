@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairgauge.frame import LabelledFrame
 from pairgauge.functions.ranks import running_totals, value_levels
-from pairgauge.operators import audit, entity_splits, fold_stats, prep, resample, shape, sparse
+from pairgauge.operators import audit, entity_splits, fold_stats, prep, resample, scoring, shape, sparse, splits
 from pairgauge.plans import catalogue, extended, transfer
 
 from . import compare
@@ -290,3 +290,28 @@ def test_audit_record(spark):
     assert (d.duplicate_feature_rows, d.conflicting_target_signature_rows, d.exact_duplicate_rows) == (2, 2, 0)
     assert e.class_counts is None and e.constant_columns == ["a", "b", "c"] and e.missing_by_column == {"c": 1}
     assert d.notes == audit.AUDIT_NOTE
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_area_under_the_curve_by_levels(spark, most):
+    rng = random.Random(9)
+    rows = [("a", rng.choice([0.0, -0.0, rng.uniform(-1, 1), 0.25]), rng.randrange(2)) for _ in range(200)]
+    rows += [("one", 0.5, 1), ("bad", float("nan"), 1), ("bad", 0.3, 0), ("bad", float("inf"), 0), ("bad", 0.2, 0), ("bad", 0.1, 1)]
+    df = spark.createDataFrame(rows, "key string, score double, y int")
+    got = {r.key: r.roc_auc for r in scoring.roc_auc(df, ["key"], scores_per_task=most).collect()}
+    mine = [(s, y) for k, s, y in rows if k == "a"]
+    wins = sum((p > n) + 0.5 * (p == n) for p, a in mine if a for n, b in mine if not b)
+    total = sum(y for _, y in mine) * sum(1 - y for _, y in mine)
+    assert np.isclose(got["a"], wins / total, rtol=1e-12) and got["one"] is None and got["bad"] is None
+
+
+def test_repeated_ids_are_told_and_left_out(spark):
+    rows = [("good", f"r{k}", 1.0, k % 2) for k in range(20)]
+    rows += [("twice", f"r{k % 15}", 1.0, k % 2) for k in range(20)] + [("none", None, 1.0, 1)]
+    lf = LabelledFrame(spark.createDataFrame(rows, "dataset string, row_id string, v double, y int"), ("v",), ())
+    got = {r.dataset: (r.n_rows, r.n_ids, r.repeated_rows, r.status) for r in splits.row_id_status(lf).collect()}
+    assert got == {"good": (20, 20, 0, "ok"), "twice": (20, 15, 10, "repeated_row_id"), "none": (1, 1, 0, "missing_row_id")}
+    kept = splits.assign_splits(lf, (42,), 0.25, 3, unique_ids=True)
+    assert {(r.dataset, r.part): r["count"] for r in kept.groupBy("dataset", "part").count().collect()} == {
+        ("good", "test"): 5, ("good", "train"): 15,
+    }
