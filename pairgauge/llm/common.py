@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pairgauge.session import ensure_checkpoint_dir, stored
 
-__all__ = ["ensure_checkpoint_dir", "partitions", "picked", "read", "stored", "takes_rows"]
+__all__ = ["ensure_checkpoint_dir", "lean", "partitions", "picked", "read", "stored", "takes_rows"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,3 +32,31 @@ def takes_rows(batches: Iterator) -> Iterator:
         if batch.num_rows:
             yield batch
 
+
+
+#: Ways to empty what a worker process remembers between tasks of the same kind.
+REMEMBERED: list[Callable[[], None]] = []
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of batches in a worker that remembers nothing and at its end returns freed memory.
+
+    Spark keeps its Python workers between tasks, with the caches of earlier stages and all they freed.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        for forget in REMEMBERED:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import picked, stored, takes_rows
+from .common import lean, picked, stored, takes_rows
 from .components import components
 
 BANDS = 24
@@ -123,7 +123,7 @@ def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in takes_rows(batches):
             offsets, data = words.utf8(batch.column(2))
-            for low, high in words.slices(offsets):
+            for low, high in words.slices(offsets, words.SMALL_SLICE):
                 own = offsets[low : high + 1] - offsets[low]
                 values, each = shingles(data[offsets[low] : offsets[high]], own, size)
                 rows = signatures(values, each)
@@ -154,7 +154,7 @@ def _sets(size: int):
         for batch in takes_rows(batches):
             offsets, data = words.utf8(batch.column(0))
             wanted = batch.column(1).to_pylist()
-            for low, high in words.slices(offsets):
+            for low, high in words.slices(offsets, words.SMALL_SLICE):
                 own = offsets[low : high + 1] - offsets[low]
                 values, each = shingles(data[offsets[low] : offsets[high]], own, size)
                 names = digests(values, each)
@@ -266,7 +266,7 @@ def near_duplicates(
     texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     rows = stored(
         texts.mapInArrow(
-            _sketched(shingle),
+            lean(_sketched(shingle)),
             f"doc_id {kind}, row_key bigint, n_shingles bigint, node binary, bands array<bigint>, "
             "signature binary",
         )
@@ -289,7 +289,7 @@ def near_duplicates(
     theirs = nodes.select(F.col("node").alias("n2"), F.col("signature").alias("s2"))
     signed = stars.join(mine, F.col("node") == F.col("n1")).join(theirs, F.col("centre") == F.col("n2"))
     coarse = components(
-        signed.select("node", "centre", "s1", "s2").mapInArrow(_alike, "a binary, b binary")
+        signed.select("node", "centre", "s1", "s2").mapInArrow(lean(_alike), "a binary, b binary")
     )
     asked = nodes.select(F.col("node").alias("wanted"), F.col("row_key").alias("key")).join(
         coarse, F.col("wanted") == F.col("node")
@@ -299,7 +299,7 @@ def near_duplicates(
     found = texts.select("row_key", "text").join(asked.hint("merge"), F.col("row_key") == F.col("key"))
     sets = stored(
         found.select("text", "wanted", "root").mapInArrow(
-            _sets(shingle), "node binary, root binary, shingles binary"
+            lean(_sets(shingle)), "node binary, root binary, shingles binary"
         )
     )
     links = (

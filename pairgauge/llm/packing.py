@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import picked, takes_rows
+from .common import REMEMBERED, picked, takes_rows
 
 CAPACITY = 1024
 GROUP_DOCUMENTS = 4096
@@ -158,7 +158,7 @@ class Encoder:
         """Row number of the first text of a slice, and the ids of its texts."""
         texts = pc.fill_null(column, "")
         places = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
-        for low, high in words.slices(places.astype(np.int64)):
+        for low, high in words.slices(places.astype(np.int64), 2 * words.SMALL_SLICE):
             part = texts.slice(low, high - low).to_pylist()
             odd = {k: self.whole(t) for k, t in enumerate(part) if any(s in t for s in self.special)}
             plain = ["" if k in odd else t for k, t in enumerate(part)]
@@ -177,6 +177,7 @@ def _point_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
 
 
 _encoders: dict[str, Encoder] = {}
+REMEMBERED.append(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .chain import marginals
-from .common import picked, stored, takes_rows
+from .common import lean, picked, stored, takes_rows
 
 #: Expected labelled documents that the fit reads, and the most words that get a weight.
 FIT_DOCUMENTS = 6000
@@ -83,7 +83,7 @@ def _word_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in takes_rows(batches):
         offsets, data = words.utf8(batch.column(0))
         labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        for low, high in words.slices(offsets):
+        for low, high in words.slices(offsets, words.SMALL_SLICE):
             own = offsets[low : high + 1] - offsets[low]
             owner, _, _, h = _tokens(own, data[offsets[low] : offsets[high]])
             pair = np.unique(np.stack([owner.astype(np.uint64), h]), axis=1) if len(h) else None
@@ -210,7 +210,7 @@ def fit(
         share = (n_bad + 0.5) / (n + 1)
         empty.curve[0] = np.log(share / (1 - share))
         return empty
-    counted = sample.mapInArrow(_word_documents, "word bigint, bad bigint, good bigint")
+    counted = sample.mapInArrow(lean(_word_documents), "word bigint, bad bigint, good bigint")
     counted = counted.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counted = counted.where("bad + good >= 3")
     table = counted.orderBy(F.desc(F.col("bad")), F.desc("good"), "word").limit(FIT_WORDS).toArrow()
@@ -224,7 +224,7 @@ def fit(
     lexicon = np.append(False, _lexicon(bad, good, n_bad, n - n_bad))
     prior = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n - n_bad + 1))
     model = Model(keys, np.where(lexicon[1:], np.clip(prior, 0, 4), 0.0))
-    rows = sample.mapInArrow(_encoded(keys), "ids binary, toxic int").toArrow()
+    rows = sample.mapInArrow(lean(_encoded(keys)), "ids binary, toxic int").toArrow()
     toxic = rows["toxic"].to_numpy().astype(float)
     size = pc.binary_length(rows["ids"]).to_numpy().astype(np.int64) // 2
     ids = np.frombuffer(b"".join(rows["ids"].to_pylist()), np.uint16)
@@ -262,7 +262,7 @@ def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in takes_rows(batches):
             offsets, data = words.utf8(batch.column(1))
-            for low, high in words.slices(offsets):
+            for low, high in words.slices(offsets, words.SMALL_SLICE):
                 own = offsets[low : high + 1] - offsets[low]
                 raw = data[offsets[low] : offsets[high]]
                 owner, start, end, h = _tokens(own, raw)
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         f"doc_id {kind}, score double, toxic_words double, "
         "spans array<struct<start: bigint, end: bigint>>"
     )
-    return rows.mapInArrow(_scored(model), schema)
+    return rows.mapInArrow(lean(_scored(model)), schema)
 
 
 def clean(
@@ -305,7 +305,7 @@ def clean(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in takes_rows(batches):
             offsets, data = words.utf8(batch.column(at))
-            for low, high in words.slices(offsets):
+            for low, high in words.slices(offsets, words.SMALL_SLICE):
                 own = offsets[low : high + 1] - offsets[low]
                 owner, _, _, h = _tokens(own, data[offsets[low] : offsets[high]])
                 begins = np.ones(len(h), bool)
@@ -314,4 +314,4 @@ def clean(
                 score = model.score(document_features(owner, chance, high - low))
                 yield batch.slice(low, high - low).filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
