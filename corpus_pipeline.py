@@ -7,6 +7,7 @@ one id several times.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from pairgauge.llm.common import read, stored
 #: Documents at least this likely to be toxic are rejected.
 REJECT = 0.5
 TOKENIZER = "byte_bpe_50k.json"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -53,12 +56,27 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
+def _lightly(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """The stage with Arrow batches of BATCH_ROWS rows, unless the session names another number.
+
+    Documents are long; a default batch of them would fill several copies of 30 MB and more in a task.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH, "10000") == "10000":
+            spark.conf.set(BATCH, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", reject_toxic),
-    ("near duplicates", drop_near_duplicates),
-    ("personal data", redact),
-    ("mixing", mix_sources),
-    ("packing", pack),
+    ("toxicity", _lightly(reject_toxic)),
+    ("near duplicates", _lightly(drop_near_duplicates)),
+    ("personal data", _lightly(redact)),
+    ("mixing", _lightly(mix_sources)),
+    ("packing", _lightly(pack)),
 ]
 
 #: No stage but the near duplicates can be said in SQL; the tests compare with a plain version.
