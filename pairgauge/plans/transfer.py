@@ -8,15 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators import models, trees
+from ..operators import models, recommend, trees
 from ..session import stored
 from . import outcomes
-from .oracle import RET_CATEGORICAL, RET_NUMERIC, _describe, _query, _r
+from .oracle import RET_CATEGORICAL, RET_NUMERIC, _describe, _evaluation, _query, _r
 from .queries import rounded
 
 FEATURES = list(C.DESCRIPTORS)
-#: The SQL solves one small system per region; two hundred cells of products each.
-SOLVED = FEATURES
 
 
 def measured_meta(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,6 +74,13 @@ def _held_out(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return rounded(joined.withColumnRenamed("predicted", "predicted_gap"))
 
 
+def held_out_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier's gap as told by the ridge over the ten descriptors of the other nations."""
+    meta = _learned(spark, sf).withColumnRenamed(outcomes.GAP, C.GAP)
+    told = recommend.ridge_predictions(meta, FEATURES).withColumnRenamed(C.GAP, outcomes.GAP)
+    return rounded(told.select("dataset", "family", outcomes.GAP, "predicted_gap"))
+
+
 def held_out_tree(spark: SparkSession, sf: str) -> DataFrame:
     return _held_out(spark, sf, "decision_tree")
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recommend_new_ridge_by_region,
         recommend_new_tree,
         recommend_new_forest,
+        held_out_ridge,
         held_out_tree,
         held_out_forest,
     )
@@ -150,34 +156,54 @@ _WITH = "WITH RECURSIVE" + _CTES
 _CHOICE = """CASE WHEN predicted > 0.01 THEN 'centroid' WHEN predicted IS NOT NULL THEN 'vote' END AS recommendation"""
 
 
-def _ridge(key: str) -> str:
-    """Standardised normal equations, solved by Gauss-Jordan steps on lists."""
-    p = len(SOLVED)
+def _ridge_ctes(train: str, told: str, gap: str) -> str:
+    """Standardised normal equations per model, solved by Gauss-Jordan steps on lists; ``predicted`` per row of ``told``."""
+    p = len(FEATURES)
     stats = ", ".join(
         f"avg({c}) AS m{i}, CASE WHEN stddev_pop({c}) > 1e-12 * greatest(max(abs({c})), 1e-300) THEN stddev_pop({c}) ELSE 1 END AS s{i}"
-        for i, c in enumerate(SOLVED)
+        for i, c in enumerate(FEATURES)
     )
-    z = ", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(SOLVED))
+    z = ", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(FEATURES))
     rows = ", ".join(
         "[" + ", ".join(
-            [f"sum(z{i} * z{j}){' + 1' if i == j else ''}" for j in range(p)] + [f"sum(z{i} * (gap - my))"]
+            [f"sum(z{i} * z{j}){' + 1' if i == j else ''}" for j in range(p)] + [f"sum(z{i} * (y - my))"]
         ) + "]"
         for i in range(p)
     )
-    told = " + ".join(f"w[{i + 1}] * ({c} - m{i}) / s{i}" for i, c in enumerate(SOLVED))
-    return f"""{_WITH},
-    train AS (SELECT *, {key} AS model FROM measured),
-    stats AS (SELECT model, count(*) AS n, avg(gap) AS my, {stats} FROM train GROUP BY model HAVING count(*) >= 2),
-    z AS (SELECT model, gap, my, {z} FROM train JOIN stats USING (model)),
-    system AS (SELECT model, [{rows}] AS m FROM z GROUP BY model),
-    steps AS (SELECT model, 0 AS k, m FROM system UNION ALL
+    linear = " + ".join(f"w[{i + 1}] * ({c} - m{i}) / s{i}" for i, c in enumerate(FEATURES))
+    return f"""train AS ({train}),
+    moments AS (SELECT model, count(*) AS n, avg({gap}) AS my, {stats} FROM train GROUP BY model HAVING count(*) >= 2),
+    z AS (SELECT model, {gap} AS y, my, {z} FROM train JOIN moments USING (model)),
+    equations AS (SELECT model, [{rows}] AS m FROM z GROUP BY model),
+    steps AS (SELECT model, 0 AS k, m FROM equations UNION ALL
       SELECT model, k + 1, [[CASE WHEN i = k + 1 THEN m[k + 1][j] / m[k + 1][k + 1]
         ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END FOR j IN range(1, {p + 2})] FOR i IN range(1, {p + 1})]
       FROM steps WHERE k < {p}),
     weights AS (SELECT model, [r[{p + 1}] FOR r IN m] AS w FROM steps WHERE k = {p}),
-    told AS (SELECT dataset, region, my + {told} AS predicted
-             FROM (SELECT *, {key} AS model FROM fresh) LEFT JOIN stats USING (model) LEFT JOIN weights USING (model))
-    SELECT dataset, region, {_r("predicted")} AS predicted_gap, {_CHOICE} FROM told"""
+    told AS (SELECT * EXCLUDE (w), my + {linear} AS predicted
+             FROM ({told}) LEFT JOIN moments USING (model) LEFT JOIN weights USING (model))"""
+
+
+def _ridge(key: str) -> str:
+    ctes = _ridge_ctes(f"SELECT *, {key} AS model FROM measured", f"SELECT *, {key} AS model FROM fresh", "gap")
+    return f"""{_WITH}, {ctes} SELECT dataset, region, {_r("predicted")} AS predicted_gap, {_CHOICE} FROM told"""
+
+
+def _left_out(source: str) -> str:
+    """Every row once for each family that isn't its own."""
+    return f"SELECT f.family AS model, r.* FROM (SELECT DISTINCT family FROM {source}) AS f JOIN {source} AS r ON r.family <> f.family"
+
+
+def _over_meta() -> dict[str, str]:
+    """The ridges over the rule benchmark's meta-table."""
+    held = _ridge_ctes(_left_out("meta"), "SELECT *, family AS model FROM meta", C.GAP)
+    whole = _ridge_ctes("SELECT *, 'all' AS model FROM meta", "SELECT *, 'all' AS model FROM meta", C.GAP)
+    return {
+        "recommend_ridge_lofo": _evaluation(f"(WITH RECURSIVE {held} SELECT * FROM told)"),
+        "in_sample_ridge": f"""SELECT dataset, {_r("predicted")} AS predicted_gap, CASE WHEN predicted > 0.01 THEN 'DNN' ELSE 'GBDT' END
+            AS recommendation, 'In-sample fit; judge by held-out families instead.' AS warning
+            FROM (WITH RECURSIVE {whole} SELECT * FROM told)""",
+    }
 
 
 SQL: dict[str, str] = {
@@ -192,8 +218,11 @@ SQL: dict[str, str] = {
         SELECT dataset, region, {_r("predicted")} AS predicted_gap, {_CHOICE} FROM told""",
     "recommend_new_ridge": _ridge("'all'"),
     "recommend_new_ridge_by_region": _ridge("region"),
+    "held_out_ridge": f"""{_WITH}, {_ridge_ctes(_left_out("measured"), "SELECT *, family AS model FROM measured", "gap")}
+        SELECT dataset, family, {_r("gap")} AS {outcomes.GAP}, {_r("predicted")} AS predicted_gap FROM told""",
+    **_over_meta(),
 }
 
 
 def statements() -> dict[str, str]:
-    return {name: _query(text) if "WITH" not in text else text for name, text in SQL.items()}
+    return {name: text if text.startswith("WITH") else _query(text) for name, text in SQL.items()}
