@@ -2,14 +2,17 @@
 
 1. Generators, the four base patterns and looser ones, propose spans that may overlap. They run once over
    each whole text; what they find is stored with one row per document.
-2. Base spans are the valid matches of the base patterns. A candidate is a positive example if it is a
-   base span or overlaps one of its kind.
+2. Base spans are the valid matches of the base patterns. Positive examples are base spans, what overlaps one
+   of its kind, and perturbed base spans in their own context: a phone without its sign or country code and
+   with other separators, an address whose signs are spelled, a card with a mistyped digit. Negative are the
+   matches of base patterns whose form is wrong (parts above 255, too few or too many digits). All other
+   finds are unlabelled: a little weight against them in the fit, none in the calibration.
 3. Format and context of a candidate are twelve yes-or-no features, so all candidates of all documents
    reduce to counts per (generator, features): at most 6 * 4096 rows whatever the data. Boosted trees
    are fitted on these weighted rows.
-4. A threshold per kind is the lowest score at which the candidates of a fifth of the documents, which
-   the trees have not seen, reach the precision wanted. Candidates above it join the base spans unless
-   they overlap one.
+4. A threshold per kind is the lowest score, one half at least, at which the labelled and perturbed candidates
+   of a fifth of the documents, which the trees have not seen, reach the precision wanted. Candidates above
+   it join the base spans unless they overlap one.
 
 Patterns never match a line break and use possessive repeats, so long texts cost linear time.
 
@@ -33,8 +36,9 @@ PRECISION = 0.95
 TREES = 10
 DEPTH = 3
 FEATURES = 12
-#: Weight of a loose candidate that overlaps no base span: it is unlabelled rather than wrong.
-UNLABELLED = 0.2
+#: Weight against a find that is neither like a base span nor wrong in form.
+UNLABELLED = 0.05
+LEAST_SCORE = 0.5
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]"
@@ -123,7 +127,18 @@ def located(found: DataFrame) -> DataFrame:
         .when(F.col("generator") == 3, count.between(9, 15))
         .otherwise(False)
     )
-    match, before = F.col("match"), F.col("before")
+    wrong = F.when(F.col("generator") == 2, ~count.between(12, 19)).when(F.col("generator") < BASE, ~valid)
+    kept = [F.when(valid, F.col(c)).alias(c) for c in ("match", "before", "after")]
+    return rows.select(
+        "row", "row_key", "generator", kind.alias("kind"), (end - length).alias("start"), end.alias("end"),
+        valid.alias("base"), F.coalesce(wrong, F.lit(False)).alias("wrong"),
+        _bits(F.col("match"), F.col("before"), F.col("after")).alias("bits"), *kept,
+    )
+
+
+def _bits(match: Column, before: Column, after: Column) -> Column:
+    """Format and context as twelve bits."""
+    count = F.length(F.regexp_replace(match, "[^0-9]", ""))
     signs = [
         F.contains(match, F.lit("@")),
         match.startswith("+"),
@@ -135,15 +150,45 @@ def located(found: DataFrame) -> DataFrame:
         match.rlike(r"[()]"),
         before.rlike(_CONTACT + r"\W{0,4}$"),
         before.rlike(r"\w$"),
-        F.col("after").rlike(r"\w"),
+        after.rlike(r"\w"),
         match.rlike(r"^[0-9]{4}(?:[ -]?[0-9]{4})++$"),
     ]
-    bits = sum((F.coalesce(s, F.lit(False)).cast("int") * (1 << k) for k, s in enumerate(signs)), F.lit(0))
-    rows = rows.select(
-        "row", "row_key", "generator", kind.alias("kind"), (end - length).alias("start"), end.alias("end"),
-        valid.alias("base"), bits.alias("bits"),
-    )
-    return rows
+    return sum((F.coalesce(s, F.lit(False)).cast("int") * (1 << k) for k, s in enumerate(signs)), F.lit(0))
+
+
+def perturbed(base: DataFrame) -> DataFrame:
+    """row_key, generator, kind and bits of what base spans would look like if written more loosely.
+
+    Only forms that the looser generator itself would propose are examples.
+    """
+    match = F.col("match")
+    bare = F.regexp_replace(match, r"^\+[0-9]{1,3}[ .-]*", "")
+    phones = [
+        F.regexp_replace(match, r"^\+", ""), bare, F.regexp_replace(bare, "[ -]", "."), F.regexp_replace(bare, "[ .]", "-"),
+    ]
+    local, host = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+    emails = [
+        form
+        for name in (local, F.regexp_replace(local, "[.]", ""))
+        for form in (
+            F.concat(name, F.lit(" (at) "), F.replace(host, F.lit("."), F.lit(" (dot) "))),
+            F.concat(name, F.lit("[at]"), F.replace(host, F.lit("."), F.lit("[dot]"))),
+            F.concat(name, F.lit(" [at] "), host),
+        )
+    ]
+    # A mistyped digit changes no sign of the form.
+    forms = (
+        F.when(F.col("generator") == 3, F.array(*phones))
+        .when(F.col("generator") == 0, F.array(*emails))
+        .when(F.col("generator") == 2, F.array(match))
+    )
+    by = F.when(F.col("generator") == 3, 5).when(F.col("generator") == 0, 4).otherwise(F.col("generator"))
+    rows = base.select("row_key", "kind", by.alias("generator"), "before", "after", F.explode(F.array_distinct(forms)).alias("match"))
+    found = F.lit(False)
+    for number, (_, pattern, _) in enumerate(GENERATORS):
+        # Before and after a whole string there is nothing for the surroundings of a pattern to see.
+        found = found | ((F.col("generator") == number) & match.rlike(f"^(?:{pattern})$"))
+    return rows.where(found).select("row_key", "generator", "kind", _bits(match, F.col("before"), F.col("after")).alias("bits"))
 
 
 def _touching(scope: list[str]) -> Column:
@@ -185,7 +230,7 @@ def _scored(patterns: DataFrame) -> DataFrame | None:
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=8, stepSize=0.3, weightCol="weight", seed=3)
     model = trees.fit(examples)
     return model.transform(every).select(
-        "generator", "bits", "kind", "held_out", "positive", "negative",
+        "generator", "bits", "kind", "held_out", "positive", "wrong",
         F.round(vector_to_array("probability")[1], 9).alias("score"),
     )
 
@@ -194,11 +239,17 @@ def spans(found: DataFrame, precision: float = PRECISION) -> DataFrame:
     """All chosen spans of a stored table of candidates: row, kind, start, end, base and score."""
     rows = stored(located(found).withColumn("touches", _touching(["row", "kind"])))
     fold = F.pmod(F.xxhash64("row_key"), F.lit(5)) == 0
-    weight = F.when(F.col("generator") >= BASE, UNLABELLED).otherwise(1.0)
+    like = F.col("touches").cast("double")
+    wrong = (F.col("wrong") & ~F.col("touches")).cast("double")
+    labelled = rows.select("generator", "kind", "bits", fold.alias("held_out"), like.alias("like"), wrong.alias("wrong"))
+    loose = perturbed(rows.where("base")).select(
+        "generator", "kind", "bits", fold.alias("held_out"), F.lit(1.0).alias("like"), F.lit(0.0).alias("wrong")
+    )
     patterns = stored(
-        rows.groupBy("generator", "kind", "bits", fold.alias("held_out")).agg(
-            F.sum(F.col("touches").cast("double")).alias("positive"),
-            F.sum((~F.col("touches")).cast("double") * weight).alias("negative"),
+        labelled.union(loose).groupBy("generator", "kind", "bits", "held_out").agg(
+            F.sum("like").alias("positive"),
+            F.sum("wrong").alias("wrong"),
+            F.sum(F.col("wrong") + (1 - F.col("like") - F.col("wrong")) * UNLABELLED).alias("negative"),
         )
     )
     scores = _scored(patterns)
@@ -208,9 +259,10 @@ def spans(found: DataFrame, precision: float = PRECISION) -> DataFrame:
     scores = stored(scores)
     down = Window.partitionBy("kind").orderBy(F.desc("score"))
     so_far = scores.where("held_out").withColumn(
-        "precision", F.sum("positive").over(down) / F.sum(F.col("positive") + F.col("negative")).over(down)
+        "precision", F.try_divide(F.sum("positive").over(down), F.sum(F.col("positive") + F.col("wrong")).over(down))
     )
-    limits = so_far.where(F.col("precision") >= precision).groupBy("kind").agg(F.min("score").alias("limit"))
+    sure = so_far.where((F.col("precision") >= precision) & (F.col("positive") > 0)).groupBy("kind")
+    limits = sure.agg(F.greatest(F.min("score"), F.lit(LEAST_SCORE)).alias("limit"))
     chosen = scores.groupBy("generator", "kind", "bits").agg(F.max("score").alias("score"))
     chosen = chosen.join(limits, "kind").where("score >= limit").drop("limit", "kind")
     extra = rows.where("NOT base").join(stored(chosen), ["generator", "bits"])
