@@ -5,14 +5,17 @@ answer for any partitioning, and reproducible in SQL. The order is cut into cons
 the hold-out, then the inner folds. A row's block follows from comparing its token with the few
 tokens at the block ends, so the rows themselves are never shuffled or sorted.
 
-The block ends are exact order statistics. md5 is uniform, so leading digits cut a large class
-into equal buckets; a histogram of buckets shows where the ends lie and only those buckets are
-ranked. A class holding a third of all rows therefore never sits in one task.
+The block ends are exact order statistics. A class of bounded size is ordered as one list: its row
+ids are exchanged once for all seeds. md5 is uniform, so leading digits cut a larger class into equal
+buckets; a histogram of buckets shows where the ends lie and only those buckets are ranked. A class
+holding a third of all rows therefore never sits in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ from ..session import stored
 
 # A class is cut into buckets of about this many rows; only those that hold a block end are ordered.
 ROWS_PER_BUCKET = 256
+# A class of at most this many buckets is one list; most of its buckets would hold a block end anyway.
+LISTED_BUCKETS = 16
 _BUCKET_DIGITS = 4
 
 
@@ -122,10 +127,66 @@ def block_cutoffs(
             _block_ends(inner_folds).alias("ranks"),
         )
     )
-    sized = quotas.select(*by_class, "class_rows")
+    large = stored(
+        quotas.where(F.col("class_rows") > LISTED_BUCKETS * rows_per_bucket).select(*by_class, "class_rows")
+    )
+    listed = _ends_of_lists(lf, quotas, large, seeds, inner_folds)
+    bucketed = _ends_of_buckets(lf, quotas, large, seeds, inner_folds, rows_per_bucket)
+    return listed.unionByName(bucketed)
+
+
+def _ends_of_lists(
+    lf: LabelledFrame, quotas: DataFrame, large: DataFrame, seeds: Sequence[int], inner_folds: int
+) -> DataFrame:
+    """Block ends of the classes that aren't ``large``, each from the list of its row ids.
+
+    The class sizes come as one more row of each class, so the lists need no join.
+    """
+    by_class = [*lf.keys, lf.target]
+    facts = ["total_rows", "test_total", "ranks"]
+    none = [F.lit(None).cast(quotas.schema[c].dataType).alias(c) for c in facts]
+    # A missing id has a token too, and lists leave out nulls.
+    member = F.struct(F.col(lf.row_id).alias("id")).alias("member")
+    rows = lf.df.join(large, by_class, "left_anti").select(*by_class, member, *none)
+    sizes = quotas.join(large, by_class, "left_anti").select(
+        *by_class, F.lit(None).cast(rows.schema["member"].dataType).alias("member"), *facts
+    )
+    lists = (
+        rows.union(sizes)
+        .repartition(*by_class)
+        .groupBy(*by_class)
+        .agg(F.collect_list("member").alias("members"), *[F.max(c).alias(c) for c in facts])
+        .where(reduce(and_, [F.col(c).isNotNull() for c in by_class]))
+    )
+
+    def tokens(seed: int) -> Column:
+        return F.array_sort(F.transform("members", lambda m: seed_token(F.lit(seed), m["id"])))
+
+    ordered = {f"tokens_{s}": tokens(s) for s in seeds}
+
+    def token(seed: int, rank: Column) -> Column:
+        return F.when(rank > 0, F.get(f"tokens_{seed}", rank.cast("int") - 1)).otherwise("")
+
+    ends = {s: [token(s, F.col("ranks")[i]) for i in range(inner_folds)] for s in seeds}
+    return lists.select(*by_class, *facts, *[v.alias(k) for k, v in ordered.items()]).select(
+        *by_class, "total_rows", "test_total", *[F.array(*ends[s]).alias(ends_column(s)) for s in seeds]
+    )
+
+
+def _ends_of_buckets(
+    lf: LabelledFrame,
+    quotas: DataFrame,
+    large: DataFrame,
+    seeds: Sequence[int],
+    inner_folds: int,
+    rows_per_bucket: int,
+) -> DataFrame:
+    """Block ends of the ``large`` classes, of which only the buckets with an end are ordered."""
+    by_class = [*lf.keys, lf.target]
+    quotas = quotas.join(large.select(*by_class), by_class, "left_semi")
     tokens = (
         lf.df.select(*by_class, lf.row_id)
-        .join(sized, by_class)
+        .join(large, by_class)
         .withColumn("outer_seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
         .withColumn("token", seed_token(F.col("outer_seed"), F.col(lf.row_id)))
         .select(
@@ -237,6 +298,14 @@ def assign_with(
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """``assign_splits`` from cutoffs computed before."""
+    return per_seed(lf, assign_blocks(lf, cutoffs, seeds, inner_folds, carry), seeds, carry)
+
+
+def per_seed(
+    lf: LabelledFrame, blocks: DataFrame, seeds: Sequence[int], carry: Sequence[str] = ()
+) -> DataFrame:
+    """The rows of ``assign_blocks`` once per seed, with part and fold; their ids may have been dropped."""
+    named = [lf.row_id] if lf.row_id in blocks.columns else []
     entries = F.array(
         *[
             F.struct(F.lit(s).alias("outer_seed"), F.col(block_column(s)).alias("block"))
@@ -245,12 +314,11 @@ def assign_with(
     )
     block = F.col("split.block")
     return (
-        assign_blocks(lf, cutoffs, seeds, inner_folds, carry)
-        .withColumn("split", F.explode(entries))
+        blocks.withColumn("split", F.explode(entries))
         .select(
             *lf.keys,
             "split.outer_seed",
-            lf.row_id,
+            *named,
             lf.target,
             *carry,
             F.when(block == 0, "test").otherwise("train").alias("part"),

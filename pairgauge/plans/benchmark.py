@@ -98,8 +98,11 @@ def rule_benchmark(
         ).join(eligible.select(*lf.keys), list(lf.keys), "left_semi")
     )
     seeds, folds = protocol.outer_seeds, protocol.inner_folds
-    assigned = splits.assign_with(lf, cutoffs, seeds, folds, carry=lf.features)
-    blocks = splits.assign_blocks(frame, cutoffs, seeds, folds, carry=["band", "bucket"])
+    # Every row once, next to the others of its class: counts and descriptors of all splits come from here.
+    carry = [*lf.features, "band", "bucket"]
+    blocks = splits.assign_blocks(frame, cutoffs, seeds, folds, carry=carry)
+    blocks = stored(blocks.drop(lf.row_id))
+    assigned = splits.per_seed(lf, blocks, seeds, carry=lf.features)
     scores = rules.rule_scores(blocks, lf.keys, seeds, folds)
     return RuleBenchmark(lf, protocol, cutoffs, assigned, scores)
 

@@ -65,23 +65,27 @@ def add_cells(df: DataFrame, inputs: RuleInputs) -> DataFrame:
     )
 
 
+def _fine_entries() -> Column:
+    """The finest cell of either rule."""
+    return F.array(
+        *[F.struct(F.lit(f).alias("family"), F.col(c).alias("fine")) for f, c in (("GBDT", "band"), ("DNN", "bucket"))]
+    )
+
+
 def _rule_entries() -> Column:
-    entries = []
+    """The cell a finest one belongs to, at each resolution of its rule."""
+    fine = F.col("fine")
+    bands = []
     for cells in RESOLUTIONS["GBDT"]:
         step = FINEST["GBDT"] // cells
-        coarse = F.when(F.col("band") < 0, F.lit(-1)).otherwise(
-            F.floor(F.col("band") / F.lit(step)).cast("int")
-        )
-        entries.append(_entry("GBDT", cells, coarse))
-    for cells in RESOLUTIONS["DNN"]:
-        entries.append(_entry("DNN", cells, F.col("bucket") % F.lit(cells)))
-    return F.array(*entries)
+        coarse = F.when(fine < 0, F.lit(-1)).otherwise(F.floor(fine / F.lit(step)).cast("int"))
+        bands.append(_entry(cells, coarse))
+    buckets = [_entry(cells, fine % F.lit(cells)) for cells in RESOLUTIONS["DNN"]]
+    return F.when(F.col("family") == "GBDT", F.array(*bands)).otherwise(F.array(*buckets))
 
 
-def _entry(family: str, cells: int, cell: Column) -> Column:
-    return F.struct(
-        F.lit(family).alias("family"), F.lit(cells).alias("cells"), cell.alias("cell")
-    )
+def _entry(cells: int, cell: Column) -> Column:
+    return F.struct(F.lit(cells).alias("cells"), cell.alias("cell"))
 
 
 def cell_counts(
@@ -89,11 +93,13 @@ def cell_counts(
 ) -> DataFrame:
     """(keys, family, cells, cell, n_<seed>_<part>, p_<seed>_<part>): rows and positives per cell.
 
-    Part 0 is the test block, part f + 1 inner fold f. Rows are first counted per pair of finest
-    cells (16 bands x 32 buckets), all seeds at once and without repeating rows; the six rules
-    are then sums over that table.
+    Part 0 is the test block, part f + 1 inner fold f. Rows are first counted per finest cell of
+    either rule (17 bands, 32 buckets), all seeds at once; the six rules are then sums over that
+    table. Its cells of a dataset and family lie together, so no later step exchanges them again.
     """
     counts, names = [], []
+    # The cells grow by seeds, stages and resolutions after their exchange, so its parts aren't merged by size.
+    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for seed in seeds:
         block = F.col(block_column(seed))
         for part in range(inner_folds + 1):
@@ -102,10 +108,12 @@ def cell_counts(
             counts.append(F.sum(inside * F.col("y")).alias(f"p_{seed}_{part}"))
             names += [f"n_{seed}_{part}", f"p_{seed}_{part}"]
     return (
-        blocks.groupBy(*keys, "band", "bucket")
+        blocks.withColumn("rule", F.explode(_fine_entries()))
+        .groupBy(*keys, "rule.family", "rule.fine")
         .agg(*counts)
+        .repartition(partitions, *keys, "family")
         .withColumn("rule", F.explode(_rule_entries()))
-        .groupBy(*keys, "rule.family", "rule.cells", "rule.cell")
+        .groupBy(*keys, "family", "rule.cells", "rule.cell")
         .agg(*[F.sum(n).alias(n) for n in names])
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairgauge.frame import LabelledFrame
 from pairgauge.functions.exact import exact_medians
 from pairgauge.operators import prep, scoring, splits, trials
+from pairgauge.plans import rules
 from pairgauge.protocol import FULL, SMOKE, candidates, grid
 
 
@@ -29,6 +30,41 @@ def test_splits_do_not_depend_on_layout_or_buckets(spark):
     assert len(rows) == 3 * 3097
 
 
+def test_classes_as_lists_and_as_buckets_have_the_same_ends(spark):
+    lf = _many(spark, 5)
+    # A missing id is a row like any other; copies of a row count each.
+    extra = spark.createDataFrame([("small", None, 0.5, 1), ("even", "3", 0.1, 0), ("even", "3", 0.1, 0)], lf.df.schema)
+    lf = lf.with_df(lf.df.union(extra))
+    lists = splits.block_cutoffs(lf, FULL.outer_seeds, 0.25, 3)
+    buckets = splits.block_cutoffs(lf, FULL.outer_seeds, 0.25, 3, rows_per_bucket=1)
+    # Listed classes have no bucket that could hold an end.
+    assert lists.where("size(ends_42) = 3").count() == 6
+    assert {tuple(map(str, r)) for r in lists.collect()} == {tuple(map(str, r)) for r in buckets.collect()}
+    # Their row ids are exchanged once, whatever the number of seeds.
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+
+
+def test_rule_scores_exchange_counted_cells_only(spark):
+    lf = _many(spark, 5)
+    blocks = spark.createDataFrame(
+        [(d, y, b, k, *[(b + k + s) % 4 for s in range(3)]) for d in "ab" for y in (0, 1) for b in range(-1, 16) for k in range(32)],
+        "dataset string, y int, band int, bucket int, " + ", ".join(f"block_{s} int" for s in FULL.outer_seeds),
+    )
+    scores = rules.rule_scores(blocks, lf.keys, FULL.outer_seeds, FULL.inner_folds)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    # One exchange of partial counts and one that brings the cells of a rule together.
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 2
+    found = rules.cell_counts(blocks, lf.keys, FULL.outer_seeds, FULL.inner_folds).where("dataset = 'a'").collect()
+    assert {(r.family, r.cells, r.cell) for r in found} == (
+        {("GBDT", n, c) for n in (4, 8, 16) for c in range(-1, n)} | {("DNN", n, c) for n in (8, 16, 32) for c in range(n)}
+    )
+    for family, cells, per in (("GBDT", 4, 4 * 64), ("DNN", 8, 4 * 34)):
+        for r in found:
+            if r.family == family and r.cells == cells and r.cell >= 0:
+                assert sum(r[f"n_42_{p}"] for p in range(4)) == per and sum(r[f"p_42_{p}"] for p in range(4)) == per / 2
+
+
 def test_split_sizes(spark):
     assigned = splits.assign_splits(_many(spark, 3), FULL.outer_seeds, 0.25, 3).cache()
     for row in assigned.groupBy("dataset", "outer_seed").agg(
