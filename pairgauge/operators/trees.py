@@ -17,9 +17,11 @@ Rows may belong to groups, which share nothing; a dataset is one row of its grou
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,53 +81,53 @@ def _binned(rows: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFr
     return out, edges
 
 
-def _best_split(total: Column, own: Column) -> Column:
-    """(gain, left, right) of the best split of the rows in ``total`` that aren't in ``own``.
+def _best_split(total: tuple, own: tuple) -> tuple[float, int, int] | None:
+    """(gain, left, right) of the best split of the rows in ``total`` that aren't in ``own``, if there is one.
 
-    Both are cells (bin, m, w, s) in order of bins: rows, weight and weighted target.
+    Both are columns (bin, m, w, s) in order of bins: rows, weight and weighted target.
     """
-    mine = F.map_from_entries(F.transform(own, lambda c: F.struct(c["bin"], c)))
-
-    def rest(cell: Column) -> Column:
-        other = F.try_element_at(mine, cell["bin"])
-        less = lambda name: cell[name] - F.coalesce(other[name], F.lit(0).cast(kinds[name]))
-        return F.struct(
-            cell["bin"].alias("bin"), less("m").alias("m"), less("w").alias("w"), less("s").alias("s")
-        )
-
-    kinds = {"m": "bigint", "w": "bigint", "s": "double"}
-    cells = F.filter(F.when(F.size(own) > 0, F.transform(total, rest)).otherwise(total), lambda c: c["m"] > 0)
-    zero = {"m": F.lit(0).cast("bigint"), "w": F.lit(0).cast("bigint"), "s": F.lit(0.0)}
-    sums = F.aggregate(
-        cells,
-        F.struct(*[v.alias(k) for k, v in zero.items()]),
-        lambda a, c: F.struct(*[(a[k] + c[k]).alias(k) for k in zero]),
-    )
-    start = F.struct(
-        *[v.alias(k) for k, v in zero.items()],
-        F.lit(-1).alias("last"),
-        F.lit(float("-inf")).alias("gain"),
-        F.lit(-1).alias("left"),
-        F.lit(-1).alias("right"),
-    )
-
-    def step(a: Column, c: Column) -> Column:
-        # In doubles, so that a side without weight gives no error; such a side has no rows either.
-        side = lambda s, w: s * s / F.greatest(w, F.lit(1)).cast("double")
-        gain = side(a["s"], a["w"]) + side(a["all"]["s"] - a["s"], a["all"]["w"] - a["w"])
-        fits = (a["m"] >= LEAST_ROWS) & (a["all"]["m"] - a["m"] >= LEAST_ROWS) & (gain > a["gain"])
-        return F.struct(
-            *[(a[k] + c[k]).alias(k) for k in zero],
-            c["bin"].alias("last"),
-            F.when(fits, gain).otherwise(a["gain"]).alias("gain"),
-            F.when(fits, a["last"]).otherwise(a["left"]).alias("left"),
-            F.when(fits, c["bin"]).otherwise(a["right"]).alias("right"),
-            a["all"].alias("all"),
-        )
-
-    whole = F.struct(*[start[k].alias(k) for k in ("m", "w", "s", "last", "gain", "left", "right")], sums.alias("all"))
-    found = F.aggregate(cells, whole, step)
-    return F.struct(found["gain"].alias("gain"), found["left"].alias("left"), found["right"].alias("right"))
+    bins, *sums = total
+    if len(own[0]):
+        at = np.searchsorted(bins, own[0])
+        for k, mine in enumerate(own[1:]):
+            sums[k] = sums[k].copy()
+            sums[k][at] -= mine
+        held = sums[0] > 0
+        bins, sums = bins[held], [x[held] for x in sums]
+    if len(bins) < 2:
+        return None
+    m, w, s = (np.cumsum(x) for x in sums)
+    # A side without weight gives no error; such a side has no rows either.
+    side = lambda s, w: s * s / np.maximum(w, 1).astype(np.float64)
+    gain = side(s[:-1], w[:-1]) + side(s[-1] - s[:-1], w[-1] - w[:-1])
+    gain[(m[:-1] < LEAST_ROWS) | (m[-1] - m[:-1] < LEAST_ROWS)] = -np.inf
+    best = int(np.argmax(gain))
+    return None if gain[best] == -np.inf else (float(gain[best]), int(bins[best]), int(bins[best + 1]))
+
+
+def _cells_of(column: pa.Array) -> Callable[[int], tuple]:
+    """The cells of a row of a list column as arrays; a null is an empty list."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends, cells = column.offsets.to_numpy(), column.values
+    parts = [cells.field(c).to_numpy(zero_copy_only=False) for c in ("bin", "m", "w", "s")]
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    return lambda i: tuple(x[ends[i] : ends[i + 1]] if known[i] else x[:0] for x in parts)
+
+
+def _with_splits(names: Sequence[str]):
+    """Rows with cells ``total`` and ``own`` to rows with their best split; rows without one are left out."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, own = _cells_of(batch.column("total")), _cells_of(batch.column("own"))
+            splits = [_best_split(total(i), own(i)) for i in range(batch.num_rows)]
+            rows = [i for i, s in enumerate(splits) if s is not None]
+            kept = batch.select(list(names)).take(pa.array(rows, pa.int64()))
+            gain, left, right = zip(*[splits[i] for i in rows], strict=True) if rows else ((), (), ())
+            columns = [pa.array(gain, pa.float64()), pa.array(left, pa.int32()), pa.array(right, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*names, "gain", "left", "right"])
+
+    return found
 
 
 def _totals(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -189,9 +191,12 @@ def grow(
             total, mine = _histograms(members)
             candidates = valued.where(F.col("m") >= 2 * LEAST_ROWS).join(total, at)
             candidates = candidates.join(mine, [*at, "feature", "fold"], "left")
-            split = _best_split(F.col("total"), F.coalesce("own", F.expr("filter(total, c -> false)")))
-            candidates = candidates.select("fold", "node", *at, "feature", split.alias("split")).where("split.left >= 0")
-            order = F.struct("split.gain", (-F.col("feature")).alias("first"), "split.left", "split.right")
+            names = ["fold", "node", *at, "feature"]
+            kinds = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in names)
+            candidates = candidates.select(*names, "total", "own").mapInArrow(
+                _with_splits(names), f"{kinds}, gain double, left int, right int"
+            )
+            order = F.struct("gain", (-F.col("feature")).alias("first"), "left", "right")
             best = candidates.groupBy("fold", "node", *at).agg(F.max(order).alias("b"))
             best = best.select("fold", "node", *at, (-F.col("b.first")).alias("feature"), "b.left", "b.right")
             left = edges.select("group", "feature", F.col("bin").alias("left"), "high")

@@ -180,6 +180,24 @@ def test_held_out_trees_match_a_plain_version(spark, shape, seed):
                 assert abs(found[0][d] - sum(want) / len(want)) < 1e-12
 
 
+def test_best_split_is_found_in_one_pass_over_the_cells():
+    rng = np.random.default_rng(4)
+    m = rng.integers(1, 4, 1024)
+    total = (np.arange(1024), m, m + rng.integers(0, 2, 1024), rng.normal(size=1024))
+    own = tuple(x[::2] for x in total)
+    rest = tuple(x[1::2] for x in total)
+    assert trees._best_split(total, own) == trees._best_split(rest, tuple(x[:0] for x in total))
+    bins, m, w, s = rest
+    gains = {
+        k: s[:k].sum() ** 2 / w[:k].sum() + s[k:].sum() ** 2 / w[k:].sum()
+        for k in range(1, len(bins)) if m[:k].sum() >= 2 and m[k:].sum() >= 2
+    }
+    best = max(gains, key=gains.get)
+    gain, left, right = trees._best_split(total, own)
+    assert (left, right) == (bins[best - 1], bins[best]) and abs(gain - gains[best]) < 1e-9
+    assert trees._best_split(tuple(x[:1] for x in total), tuple(x[:0] for x in total)) is None
+
+
 def test_stored_trees_tell_new_rows(spark):
     cases = _cases(5, 60)
     df = spark.createDataFrame([(d, f, y, *x) for d, f, y, x in cases], f"dataset string, place string, {C.GAP} double, a double, b double, c double, d double")
