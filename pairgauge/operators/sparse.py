@@ -2,8 +2,8 @@
 
 The columns of the encoded matrix are numbered per dataset: numeric columns, then indicators of columns with
 training gaps, then the levels of each categorical column in code-point order. Numbers come from one sorted,
-range-partitioned table, so a column may have as many levels as rows. Rows meet the dictionary in one join;
-zeros are not stored, and names are kept once, in the dictionary.
+range-partitioned table, so a column may have as many levels as rows. Rows meet the dictionary of their dataset
+in one join, and cells of columns with very many levels in a second one; zeros are not stored, and names are kept once, in the dictionary.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from ..functions.ranks import numbered
 from ..session import stored
 from . import prep
 
+#: A column with at most this many levels in a dataset is looked up in a map, one with more by a join.
+LISTED_LEVELS = 1024
+
 
 def dictionary(train: LabelledFrame) -> DataFrame:
     """(keys, kind, column, level, index, name, fill, mean, scale): one row per encoded column.
@@ -67,36 +70,57 @@ def dictionary(train: LabelledFrame) -> DataFrame:
     )
 
 
-def entries(rows: LabelledFrame, known: DataFrame, scaled: bool = False) -> DataFrame:
+def _packed(rows: LabelledFrame, known: DataFrame, long: DataFrame) -> DataFrame:
+    """One row per dataset: a struct per number and indicator, a map from level to index per other column.
+
+    Columns in ``long`` have too many levels for a map and get none.
+    """
+    keys = list(rows.keys)
+    of = lambda kind, c: (F.col("kind") == kind) & (F.col("column") == c)
+    facts = F.struct("index", "fill", "mean", "scale")
+    levels = F.struct("level", "index")
+    found = [F.max(F.when(of(kind, c), facts)).alias(f"__{kind}_{c}") for c in rows.numeric for kind in ("value", "gap")]
+    found += [F.map_from_entries(F.collect_list(F.when(of("level", c), levels))).alias(f"__level_{c}") for c in rows.categorical]
+    short = known.join(long, [*keys, "column"], "left_anti")
+    return short.groupBy(*keys).agg(*found)
+
+
+def entries(rows: LabelledFrame, known: DataFrame, scaled: bool = False, listed: int = LISTED_LEVELS) -> DataFrame:
     """(keys, row_id, index, value) of every encoded cell that isn't zero.
 
     A level that training rows didn't have has no entry; a missing number is filled, and has an indicator
     only where training had gaps. Scaling touches numbers and indicators, which are dense once scaled.
+    A row meets its dataset's dictionary once; only columns of more than ``listed`` levels are joined by cell.
     """
     prep.check_columns(rows.df.columns, rows.features)
     keys = list(rows.keys)
+    levels = known.where("kind = 'level'")
+    long = levels.groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > listed)
+    long = stored(long.select(*keys, "column"))
     cells: list[Column] = []
-    number = lambda c, v: F.struct(F.lit("value").alias("kind"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("level"), v.cast("double").alias("value"))
+
+    def cell(entry: Column, value: Column) -> Column:
+        value = F.coalesce(value, entry["fill"])
+        if scaled:
+            value = (value - entry["mean"]) / entry["scale"]
+        return F.when(entry.isNotNull(), F.struct(entry["index"].alias("index"), value.alias("value")))
+
     for c in rows.numeric:
-        cells.append(number(c, F.col(c)))
-        gap = F.struct(F.lit("gap").alias("kind"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("level"), F.col(c).isNull().cast("double").alias("value"))
+        cells.append(cell(F.col(f"__value_{c}"), F.col(c).cast("double")))
+        gap = cell(F.col(f"__gap_{c}"), F.col(c).isNull().cast("double"))
         cells.append(gap if scaled else F.when(F.col(c).isNull(), gap))
     for c in rows.categorical:
-        cells.append(
-            F.struct(F.lit("level").alias("kind"), F.lit(c).alias("column"), prep.filled_level(c).alias("level"), F.lit(1.0).alias("value"))
-        )
-    long = rows.df.select(
-        *keys, rows.row_id, F.explode(F.filter(F.array(*cells), lambda e: e.isNotNull())).alias("e")
-    ).select(*keys, rows.row_id, "e.*")
-    same = F.col("r.kind") == F.col("d.kind")
-    for k in keys:
-        same = same & (F.col(f"r.{k}") == F.col(f"d.{k}"))
-    same = same & (F.col("r.column") == F.col("d.column")) & F.col("r.level").eqNullSafe(F.col("d.level"))
-    joined = long.alias("r").join(known.alias("d"), same)
-    value = F.coalesce("r.value", "d.fill")
-    if scaled:
-        value = F.when(F.col("r.kind") == "level", value).otherwise((value - F.col("d.mean")) / F.col("d.scale"))
-    found = joined.select(*[F.col(f"r.{k}") for k in keys], F.col(f"r.{rows.row_id}"), F.col("d.index"), value.alias("value"))
+        index = F.try_element_at(F.col(f"__level_{c}"), prep.filled_level(c))
+        cells.append(F.when(index.isNotNull(), F.struct(index.alias("index"), F.lit(1.0).alias("value"))))
+    present = F.explode(F.filter(F.array(*cells), lambda e: e.isNotNull())).alias("e")
+    narrow = rows.df.select(*keys, rows.row_id, *rows.features)
+    found = narrow.join(_packed(rows, known, long), keys).select(*keys, rows.row_id, present).select(*keys, rows.row_id, "e.*")
+    if rows.categorical:
+        entry = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), prep.filled_level(c).alias("level")) for c in rows.categorical]))
+        split = narrow.select(*keys, rows.row_id, entry.alias("e")).select(*keys, rows.row_id, "e.*")
+        split = split.join(long, [*keys, "column"], "left_semi")
+        split = split.join(levels.join(long, [*keys, "column"], "left_semi").select(*keys, "column", "level", "index"), [*keys, "column", "level"])
+        found = found.union(split.select(*keys, rows.row_id, "index", F.lit(1.0).alias("value")))
     return found.where("value <> 0")
 
 

@@ -180,6 +180,19 @@ def test_fold_statistics_match_numpy(spark):
 # --- shape ---------------------------------------------------------------------------------
 
 
+def test_fold_statistics_of_windows_and_of_levels_agree(spark):
+    rng = random.Random(8)
+    rows = [(f"d{k % 2}", k % 3, rng.choice([None, rng.randrange(12) / 4]), rng.uniform(-5, 5)) for k in range(300)]
+    df = spark.createDataFrame(rows, "dataset string, fold int, a double, b double")
+    got = [
+        {tuple(r)[:3]: tuple(r)[3:] for r in fold_stats.fold_statistics(df, ["dataset"], ["a", "b"], 3, listed=n).collect()}
+        for n in (1, 50, 1000)
+    ]
+    assert got[0].keys() == got[1].keys() == got[2].keys() and len(got[0]) == 12
+    for k, v in got[0].items():
+        assert np.allclose(v, got[1][k], atol=1e-12) and np.allclose(v, got[2][k], atol=1e-12)
+
+
 def test_tails_are_stable_far_from_zero(spark):
     rng = np.random.default_rng(6)
     x = rng.exponential(1.0, 4000)
@@ -254,6 +267,19 @@ def test_sparse_rows_equal_dense_ones(spark, scaled):
     assert packed["indices"] == sorted(packed["indices"]) and packed["size"] == sum(k[0] == "d1" for k in names)
 
 
+def test_sparse_rows_meet_the_dictionary_once(spark):
+    rng = random.Random(12)
+    rows = [(f"d{k % 2}", f"r{k}", rng.choice([None, 2.0, 0.0]), rng.choice([None, "u", "v"]), f"x{rng.randrange(30)}", k < 90, k % 2) for k in range(120)]
+    df = spark.createDataFrame(rows, "dataset string, row_id string, a double, c string, d string, train boolean, y int")
+    lf = LabelledFrame(df, ("a",), ("c", "d"))
+    known = sparse.dictionary(lf.with_df(df.where("train")))
+    found = [Counter(tuple(r) for r in sparse.entries(lf, known, listed=n).collect()) for n in (0, 5, 1024)]
+    assert found[0] == found[1] == found[2] and max(found[0].values()) == 1
+    # Rows, not cells, are joined: the cells come after the join.
+    text = sparse.entries(lf, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate explode(filter(array(") < text.index("Join Inner")
+
+
 # --- absent kinds of columns, records ----------------------------------------------------
 
 
