@@ -2,19 +2,23 @@
 
 A cell is a distinct value of a column with the number of rows in each fold. What a fold's training set sees
 is all cells minus the fold's counts, so ranks, means and spreads of all folds follow from one scan and one
-set of running totals. Running totals go over levels of the value, never over a whole column in one task.
+set of running totals. A column of a bounded number of cells is added up in one window; beyond that, running
+totals go over levels of the value, never over a whole column in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import running_totals, value_levels
 from ..session import stored
 
+#: Columns of at most this many distinct values in a training set are added up in one window.
+LISTED_CELLS = 65536
+
 
 def _cells(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], fold: str, k: int) -> DataFrame:
     entry = F.explode(
@@ -25,7 +29,7 @@ def _cells(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], fold: s
 
 
 def fold_statistics(
-    train: DataFrame, keys: Sequence[str], columns: Sequence[str], k: int, fold: str = "fold"
+    train: DataFrame, keys: Sequence[str], columns: Sequence[str], k: int, fold: str = "fold", listed: int = LISTED_CELLS
 ) -> DataFrame:
     """(keys, fold, column, n_rows, n_missing, median, has_indicator, imputed_mean, scale).
 
@@ -40,6 +44,7 @@ def fold_statistics(
     present = cells.where("value IS NOT NULL")
     other = lambda name, f: sum((F.col(name.format(g)) for g in folds if g != f), F.lit(0))
     totals = cells.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("cells"),
         *[F.sum(f"c{f}").alias(f"n{f}") for f in folds],
         *[F.sum(F.when(F.col("value").isNotNull(), F.col(f"c{f}")).otherwise(0)).alias(f"p{f}") for f in folds],
         # Any value near the middle keeps later sums from cancelling.
@@ -47,8 +52,13 @@ def fold_statistics(
     )
     totals = stored(totals)
     sizes = [f"c{f}" for f in folds]
-    placed = running_totals(present, by, sizes, value_levels(F.col("value")), [F.col("value")])
-    placed = placed.join(totals, by)
+    large = stored(totals.where(F.col("cells") > listed).select(*by))
+    window = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(c).over(window), F.lit(0)).alias(f"{c}__before") for c in sizes]
+    short = present.join(large, by, "left_anti").select("*", *before)
+    long = present.join(large, by, "left_semi")
+    long = running_totals(long, by, sizes, value_levels(F.col("value")), [F.col("value")])
+    placed = short.unionByName(long).join(totals, by)
 
     def holds(f: int, rank: Column) -> Column:
         before, own = other("c{}__before", f), other("c{}", f)
