@@ -77,7 +77,7 @@ def _votes(rows: DataFrame) -> DataFrame:
     """What a fold's fit sees is all counts minus the fold's."""
     cell = F.explode(F.array(*[F.struct(F.lit(k).alias("candidate_order"), F.col(c).alias("level")) for k, c in enumerate(VOTES)]))
     counts = [F.count_if((F.col("fold") == f) & (F.col("y") == y)).alias(f"n{f}{y}") for f in range(FOLDS) for y in (0, 1)]
-    cells = rows.select("dataset", "fold", "y", cell.alias("c")).groupBy("dataset", "c.candidate_order", "c.level").agg(*counts)
+    cells = stored(rows.select("dataset", "fold", "y", cell.alias("c")).groupBy("dataset", "c.candidate_order", "c.level").agg(*counts))
     own = lambda f, y: F.col(f"n{f}{y}")
     rest = lambda f, y: sum((own(g, y) for g in range(FOLDS) if g != f), F.lit(0))
     each = F.explode(
@@ -88,28 +88,33 @@ def _votes(rows: DataFrame) -> DataFrame:
             ]
         )
     )
-    long = stored(cells.select("dataset", "candidate_order", "level", each.alias("e")).select("dataset", "candidate_order", "level", "e.*"))
-    whole = long.groupBy("dataset", "candidate_order", "fold").agg(F.sum("fit0").alias("whole0"), F.sum("fit1").alias("whole1"))
-    joined = long.join(whole, ["dataset", "candidate_order", "fold"])
+    whole = [F.struct(*[F.sum(rest(f, y)).alias(f"whole{y}") for y in (0, 1)]) for f in range(FOLDS)]
+    whole = cells.groupBy("dataset", "candidate_order").agg(F.array(*whole).alias("wholes"))
+    # Levels meet the totals once and are taken apart by fold afterwards.
+    joined = cells.join(whole, ["dataset", "candidate_order"]).select("dataset", "candidate_order", "wholes", each.alias("e"))
+    joined = joined.select("dataset", "candidate_order", "e.*", F.get("wholes", "e.fold").alias("all")).select("*", "all.*")
     guess = F.col("fit1") * (F.col("whole0") + F.col("whole1")) > F.col("whole1") * (F.col("fit0") + F.col("fit1"))
     return joined.select("dataset", F.lit("vote").alias("side"), "candidate_order", "fold", "n0", "n1", guess.alias("guess"), ((F.col("whole0") > 0) & (F.col("whole1") > 0)).alias("known"))
 
 
 def _means(rows: DataFrame) -> DataFrame:
     cell = F.explode(F.array(*[F.struct(F.lit(k).alias("candidate_order"), F.col(c).alias("x")) for k, c in enumerate(MEANS)]))
-    long = rows.select("dataset", "fold", "y", cell.alias("c")).select("dataset", "fold", "y", "c.*").where("x IS NOT NULL")
+    present = lambda df, *more: df.select("dataset", "fold", "y", *more, cell.alias("c")).select("dataset", "fold", "y", *more, "c.*").where("x IS NOT NULL")
     sums = [
         e.alias(f"{n}{y}")
         for y in (0, 1)
         for n, e in (("s", F.sum(F.when(F.col("y") == y, F.col("x")).otherwise(0.0))), ("c", F.count_if(F.col("y") == y)))
     ]
-    per_fold = stored(long.groupBy("dataset", "candidate_order", "fold").agg(*sums))
+    per_fold = stored(present(rows).groupBy("dataset", "candidate_order", "fold").agg(*sums))
     names = ["s0", "c0", "s1", "c1"]
     whole = per_fold.groupBy("dataset", "candidate_order").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
     rest = per_fold.join(whole, ["dataset", "candidate_order"]).select(
         "dataset", "candidate_order", "fold", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in names]
     )
-    told = long.join(rest, ["dataset", "candidate_order", "fold"])
+    # A row meets the sums of all candidates at once and is taken apart afterwards.
+    packed = F.map_from_entries(F.collect_list(F.struct("candidate_order", F.struct(*names).alias("sums")))).alias("known")
+    told = present(rows.join(rest.groupBy("dataset", "fold").agg(packed), ["dataset", "fold"]), "known")
+    told = told.withColumn("sums", F.try_element_at("known", F.col("candidate_order"))).select("*", "sums.*")
     centre = [F.col(f"s{y}") / F.nullif(F.col(f"c{y}"), F.lit(0)) for y in (0, 1)]
     guess = F.coalesce(F.abs(F.col("x") - centre[1]) + 1e-9 < F.abs(F.col("x") - centre[0]), F.lit(False))
     return told.select(
@@ -136,7 +141,8 @@ def _encodings(rows: DataFrame) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stored(_rows(spark, sf))
+    # Rows of a dataset side by side, so that every count below is nearly complete before its exchange.
+    rows = stored(_rows(spark, sf).repartition("dataset"))
     classes = rows.groupBy("dataset").agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(F.col("y") == 0).alias("zeros"))
     sides = F.explode(F.array(*[F.lit(s) for s in SIDES])).alias("side")
     searches = classes.select("dataset", F.least("ones", "zeros").alias("class_rows"), sides)

@@ -82,3 +82,18 @@ def test_searches_and_pairs(spark, evidence):
     both = failures.pair_status(found.union(found.selectExpr("dataset", "'b' AS side", "n_trials", "failed_trials", "all_trials_completed", "error", "first_error", "search_seconds", "convergence_warnings", "selected_candidate_order", "0.75D AS inner_balanced_accuracy")), ["dataset"], ("a", "b"))
     row = both.where("dataset = 'good'").first()
     assert row.paired_success and row.reason is None and abs(row.gap - 0.14) < 1e-12
+
+
+def test_rows_meet_sums_of_all_candidates_at_once(spark):
+    rows = spark.createDataFrame(
+        [(f"t{k % 2}", k % 3, k // 3 % 2, "F", str(k % 5), "1", float(k % 7), float(k % 4), None if k % 5 else 1.0) for k in range(60)],
+        "dataset string, fold int, y int, linestatus string, band string, month string, quantity double, price double, discount double",
+    )
+    for made in (attempts._votes(rows), attempts._means(rows)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        # Rows and levels are taken apart after the join, above it in the plan.
+        assert plan.index("Generate") < plan.index("Join Inner")
+    told = attempts._means(rows).groupBy("candidate_order").count().collect()
+    assert {r.candidate_order: r["count"] for r in told} == {0: 60, 1: 60, 2: 12}
+    votes = attempts._votes(rows).groupBy("candidate_order").agg({"n0": "sum", "n1": "sum"}).collect()
+    assert {tuple(r) for r in votes} == {(k, 30, 30) for k in range(3)}
