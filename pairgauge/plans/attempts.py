@@ -147,7 +147,8 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     sides = F.explode(F.array(*[F.lit(s) for s in SIDES])).alias("side")
     searches = classes.select("dataset", F.least("ones", "zeros").alias("class_rows"), sides)
     candidates = searches.select("dataset", "side", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("candidate_order"))
-    fits = _scored(_votes(rows).unionByName(_means(rows)))
+    # Apart, since either side already lies by dataset and candidate or fold.
+    fits = _scored(_votes(rows)).unionByName(_scored(_means(rows)))
     return failures.trial_evidence(searches, _encodings(rows), fits, candidates, ["dataset", "side"], FOLDS)
 
 
