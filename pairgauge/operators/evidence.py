@@ -91,14 +91,17 @@ def _flag(v: Column) -> Column:
 
 def _whole(v: Column) -> Column:
     """The value of an exact integer, else NULL."""
-    return F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+    return F.when(_kind(v) == "BIGINT", F.to_json(v).try_cast("bigint"))
 
 
 def _real(v: Column) -> Column:
-    """The value of a number, else NULL; booleans and texts are no numbers."""
-    return F.when(_kind(v).rlike("^(BIGINT|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double")).when(
-        _kind(v) == "DOUBLE", F.try_variant_get(v, "$", "double")
-    )
+    """The value of a number, else NULL; booleans and texts are no numbers.
+
+    Only a number reads as one in JSON, where a text has its quotes. Reading a variant as a double builds a cast
+    per value, and a record has hundreds; only an infinite one needs it.
+    """
+    infinite = F.when(_kind(v) == "DOUBLE", F.try_variant_get(v, "$", "double"))
+    return F.coalesce(F.to_json(v).try_cast("double"), infinite)
 
 
 def _within(value: Column, low: float, high: float = float("inf")) -> Column:
@@ -385,7 +388,9 @@ def _fold_scores(t: Column, metric: str) -> Column:
     return F.transform(t["folds"], lambda g: _real(g[metric]))
 
 
-def _trial_rules(t: Column, wanted: Column, p: Protocol) -> list[Rule]:
+def _trial_rules(trial: Column, wanted: Column, p: Protocol) -> list[Rule]:
+    """Rules of one trial ``t``, whose fold scores have been read before."""
+    t = trial["t"]
     rules = [
         Rule(".params", "unexpected_value", _same_params(t["params"], wanted)),
         Rule(".status", "unexpected_value", _equals(t["status"], "success")),
@@ -395,7 +400,7 @@ def _trial_rules(t: Column, wanted: Column, p: Protocol) -> list[Rule]:
         _numbered(".folds", t["folds"], p.inner_folds, "fold"),
     ]
     for metric in _SCORES.split():
-        own = _fold_scores(t, metric)
+        own = trial[metric]
         mean = _mean(own, p.inner_folds)
         rules += [
             Rule(f".folds.{metric}", "out_of_range", _all(own, lambda x: _within(x, 0.0, 1.0))),
@@ -439,12 +444,16 @@ def _broken(typed: DataFrame, p: Protocol, project: str) -> DataFrame:
         F.when(F.col("i").isNotNull(), _at(_first_broken(own), 1, split=F.col("i"))).alias("in_split"),
         F.explode(opened).alias("e"),
     ).select(*key, "outside", "in_split", "i", "train", "test", "e.*")
+    # Fold scores are read once, for the winner of a search and for the rules of its trials.
+    scored = F.transform(
+        F.col("v.trials"),
+        lambda t: F.struct(t.alias("t"), *[_fold_scores(t, m).alias(m) for m in _SCORES.split()]),
+    )
     best = F.array_max(
         F.transform(
-            F.col("v.trials"),
+            F.col("scored"),
             lambda t, k: F.struct(
-                _mean(_fold_scores(t, "balanced_accuracy"), p.inner_folds).alias("mean"),
-                (-k).alias("behind"),
+                _mean(t["balanced_accuracy"], p.inner_folds).alias("mean"), (-k).alias("behind")
             ),
         )
     )
@@ -454,7 +463,7 @@ def _broken(typed: DataFrame, p: Protocol, project: str) -> DataFrame:
             F.col("family").alias("of"), F.col("candidate_order").alias("at"), F.col("params").alias("wanted")
         )
     )
-    families = families.withColumn("best", best)
+    families = families.withColumn("scored", scored).withColumn("best", best)
     chosen = (F.col("family") == F.col("of")) & (F.col("at") == -F.col("best.behind"))
     families = families.join(drawn, chosen, "left").drop("of", "at")
     inner = _family_rules(F.col("v"), F.col("best"), F.col("wanted"), p)
@@ -463,7 +472,7 @@ def _broken(typed: DataFrame, p: Protocol, project: str) -> DataFrame:
         F.when(
             F.col("i").isNotNull(), _at(_first_broken(inner), 1, split=F.col("i"), family=F.col("f"))
         ).alias("in_family"),
-        F.posexplode_outer("v.trials").alias("j", "t"),
+        F.posexplode_outer("scored").alias("j", "t"),
     )
     trials = trials.join(drawn, (F.col("family") == F.col("of")) & (F.col("at") == F.col("j")), "left")
     innermost = _trial_rules(F.col("t"), F.col("wanted"), p)
@@ -506,10 +515,13 @@ def _identity(r: Column, p: Protocol, project: str) -> Column:
 
 
 def validate(artifacts: DataFrame, p: Protocol = FULL, project: str = C.PROJECT) -> DataFrame:
-    """(path, occurrence, doc, identity, code, reason) of each record on its own."""
+    """(path, occurrence, doc, identity, code, reason) of each record on its own.
+
+    Parsed records are stored: the rules and the result both read them, and parsing asks for whole texts.
+    """
     if p not in (FULL, SMOKE):
         raise ValueError("Records are admitted under the full or the smoke protocol only.")
-    typed = A.parse(artifacts).withColumn("record", F.try_variant_get("doc", "$", RECORD_TYPE))
+    typed = stored(A.parse(artifacts)).withColumn("record", F.try_variant_get("doc", "$", RECORD_TYPE))
     parsed = typed.where("code IS NULL").select("path", "occurrence", "record")
     broken = _broken(parsed, p, project).select(
         F.col("path").alias("of"), F.col("occurrence").alias("at"), F.col("reason").alias("broken")
