@@ -150,17 +150,15 @@ def rule_scores(
     """
     group = [*keys, "outer_seed", "family", "cells", "stage"]
     whole = Window.partitionBy(*group)
-    at_least = whole.orderBy(F.col("score").desc()).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    at_most = whole.orderBy(F.col("score").asc()).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    # One order for all: what scores at least as much is the rest of the group and the cell's ties.
+    by_score = whole.orderBy(F.col("score").asc())
+    at_most = by_score.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = by_score.rangeBetween(Window.currentRow, Window.currentRow)
     prior = F.col("p_all") / F.col("n_all")
     positives = F.col("p_eval").cast("double")
     negatives = (F.col("n_eval") - F.col("p_eval")).cast("double")
     above = F.col("eval_positives") - F.sum(positives).over(at_most)
-    wins = negatives * (F.sum(positives).over(at_least) + above) / 2
+    wins = negatives * (above + F.sum(positives).over(ties) + above) / 2
     scored = (
         cell_counts(blocks, keys, seeds, inner_folds)
         .withColumn("e", F.explode(_evaluations(seeds, inner_folds)))

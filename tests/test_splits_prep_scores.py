@@ -65,6 +65,23 @@ def test_rule_scores_exchange_counted_cells_only(spark):
                 assert sum(r[f"n_42_{p}"] for p in range(4)) == per and sum(r[f"p_42_{p}"] for p in range(4)) == per / 2
 
 
+def test_rule_scores_order_cells_once(spark):
+    """Cells are ordered by rising score only; ties and the cells above come from the same order."""
+    lf = _many(spark, 2)
+    blocks = splits.assign_blocks(
+        lf.with_df(lf.df.withColumns({"band": F.lit(1), "bucket": F.lit(2)})),
+        splits.block_cutoffs(lf, FULL.outer_seeds, 0.25, 3), FULL.outer_seeds, 3, carry=["band", "bucket"],
+    )
+    scores = rules.rule_scores(blocks, lf.keys, FULL.outer_seeds, 3)
+    assert " DESC " not in scores._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["roc_auc"] for r in scores.collect()} == {0.5}
+
+
+def test_listed_tokens_need_no_comparator(spark):
+    ends = splits.block_cutoffs(_many(spark, 2), FULL.outer_seeds, 0.25, 3)
+    assert "array_sort" not in ends._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_split_sizes(spark):
     assigned = splits.assign_splits(_many(spark, 3), FULL.outer_seeds, 0.25, 3).cache()
     for row in assigned.groupBy("dataset", "outer_seed").agg(
