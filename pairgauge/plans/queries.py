@@ -15,7 +15,7 @@ from .. import constants as C
 from ..frame import LabelledFrame, role_rows
 from ..operators import audit, evidence, prep, profile, recommend, scoring, splits, trials
 from ..protocol import FULL, SMOKE
-from ..session import stored
+from ..session import LONG_ROWS, stored
 from ..sources import artifacts, registry
 from ..sources.tables import read_table, union_datasets
 from . import benchmark, ml, tasks
@@ -530,7 +530,7 @@ def _recorded_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _validated(spark: SparkSession, sf: str) -> DataFrame:
     """Validated artifacts, written once because the duplicate policy looks at them twice."""
-    return stored(evidence.validate(_recorded_runs(spark, sf), FULL))
+    return stored(evidence.validate(_recorded_runs(spark, sf), FULL), LONG_ROWS)
 
 
 def admission_ledger(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,13 +41,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Row groups of tables whose rows are whole documents.
+LONG_ROWS = 1 << 20
+
+
+def stored(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """Write an intermediate result to the checkpoint folder and read it back.
 
     For small results that several later steps use: the lineage is cut, lost executors cost
     nothing, and the planner sees the true size when it chooses join strategies.
+
+    A task reads up to 4096 rows of a row group at once, whatever their length; ``group_bytes`` (as written,
+    compressed) keeps the groups of long rows small.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairgauge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
