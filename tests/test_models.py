@@ -222,3 +222,40 @@ def test_bins_hold_equal_numbers_of_values(spark, monkeypatch):
     assert [(r.low, r.high) for r in edges.orderBy("bin").collect()][0] == (0.0, 81.0)
     tiny = df.where("id < 0")
     assert trees.grow(tiny, ["x"], trees.SHAPES["decision_tree"], tiny.select("group", "fold"))[1].count() == 0
+
+
+@pytest.mark.parametrize("shape", [trees.Shape(1, 3, False), trees.Shape(12, 4, True, 5)])
+def test_a_task_grows_the_trees_that_counts_over_all_tasks_grow(spark, monkeypatch, shape):
+    """Thirds and sevenths round, names repeat in two folds, values are NaN, infinite or more than there are bins."""
+    monkeypatch.setattr(trees, "BINS", 16)
+    rng = random.Random(8)
+    rows = [
+        (g, f"d{k}", f"f{rng.randrange(4)}", rng.randrange(-9, 9) / 7, rng.gauss(0, 1), rng.randrange(3) / 3, rng.choice([0.0, -0.0, 1.0, math.inf, math.nan]))
+        for g in ("u", "v") for k in range(50)
+    ]
+    rows += [("u", f"d{k}", f"f{rng.randrange(4)}", 0.5, rng.gauss(0, 1), 0.0, 1.0) for k in range(0, 50, 9)]
+    rows += [("w", "only", "f0", 0.5, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "group string, dataset string, fold string, y double, a double, b double, c double")
+    folds = df.select("group", "fold").distinct().unionByName(spark.createDataFrame([("u", "none of them"), ("x", "f0")], "group string, fold string"))
+    found = []
+    for held in (trees.HELD, 60, 0):
+        monkeypatch.setattr(trees, "HELD", held)
+        nodes, told = trees.grow(df, ["a", "b", "c"], shape, folds)
+        found.append((sorted(nodes.collect(), key=str), {(r.group, r.dataset): r.predicted for r in told.collect()}))
+    assert len(found[0][0]) > 100 * (shape.trees > 1)
+    for nodes, told in found[1:]:
+        assert nodes == found[0][0] and told.keys() == found[0][1].keys()
+        for k, v in told.items():
+            assert v == found[0][1][k] or abs(v - found[0][1][k]) < 1e-12
+
+
+def test_rows_of_a_group_are_not_taken_apart_by_tree_and_cell(spark, monkeypatch):
+    """A forest that leaves out each of many folds is a few tasks, not counts per fold, tree, path and cell."""
+    monkeypatch.setattr(trees, "_grow_spread", None)
+    rng = random.Random(9)
+    rows = [("all", f"d{k}", f"f{k % 25}", rng.gauss(0, 0.1), *(rng.gauss(0, 1) for _ in range(3))) for k in range(200)]
+    df = spark.createDataFrame(rows, "group string, dataset string, fold string, y double, a double, b double, c double")
+    nodes, told = trees.grow(df, ["a", "b", "c"], trees.Shape(30, 5, True), df.select("group", "fold").distinct())
+    assert told.count() == 200 and nodes.select("fold", "tree").distinct().count() == 25 * 30
+    with pytest.raises(TypeError):
+        trees.grow(df.withColumn("y", F.lit(1e6)), ["a"], trees.SHAPES["decision_tree"], df.select("group", "fold").distinct())
