@@ -18,6 +18,7 @@ over all tasks, level by level. Both find the same trees.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
@@ -337,6 +338,14 @@ def _splits(rows, at, first, open_, cells, w, t, seen, less: bool, scale: float)
     return found
 
 
+def _return_memory() -> None:
+    """Give back what was freed: Spark keeps its Python workers between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _task(shape: Shape, width: int, limit: int, scale: int, schema: pa.Schema):
     """Rows and folds of a group to nodes of a few trees and sums of leaf values of its rows."""
 
@@ -366,6 +375,8 @@ def _task(shape: Shape, width: int, limit: int, scale: int, schema: pa.Schema):
                     reached[mine] = True
                     total[mine] += np.nan_to_num(told)
                     n[mine] += ~np.isnan(told)
+            del w, t, cells
+            _return_memory()
         f, tree, node, feature, threshold, value = ([*x] for x in zip(*out, strict=True)) if out else ([],) * 6
         value = [None if math.isnan(v) else v for v in value]
         told = np.flatnonzero(reached)
@@ -391,7 +402,7 @@ def _grow_held(rows: DataFrame, features: Sequence[str], shape: Shape, folds: Da
     parts = -(-shape.trees // TREES_PER_TASK)
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     keys = ["group", "part"]
-    deal = max(2 * parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deal = max(8 * parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # 0.0 and -0.0 are one value.
     values = [(F.col(c).cast("double") + F.lit(0.0)).alias(f"x{k}") for k, c in enumerate(features)]
     known = rows.where("group IS NOT NULL AND dataset IS NOT NULL")
